@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, secret_scan, slots
+from . import bpe, mixing, ngram_join, secret_scan, slots, spotsigs, toxicity
 from .common import hex_sha256, span_text, table
 
 
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spotsigs.fingerprint(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_spots")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -43,11 +48,43 @@ def op7_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_spotsigs": op4_spotsigs,
     "op5_mixing": op5_mixing,
     "op6_secrets": op6_secrets,
     "op7_slots": op7_slots,
+    "op9_toxicity": op9_toxicity,
+    "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLE: dict[str, str] = {}
+#: All pairs that share an n-gram are compared; components by recursion.
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(x) = 0 THEN []::VARCHAR[]
+    WHEN len(x) < 5 THEN [array_to_string(x, ' ')]
+    ELSE list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i+4], ' ')) END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT p.a, p.b FROM p JOIN n AS na ON na.doc_id = p.a JOIN n AS nb ON nb.doc_id = p.b
+  WHERE p.k::DOUBLE / (na.c + nb.c - p.k) >= 0.8
+), r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT d.doc_id, (SELECT min(r.c) FROM r WHERE r.doc_id = d.doc_id) AS class_id,
+       (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
+FROM documents d
+"""
+
+ORACLE: dict[str, str] = {"op10_ngram_join": NGRAM_SQL}
