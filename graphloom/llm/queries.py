@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, secret_scan, slots, spotsigs, toxicity
+from . import bpe, mixing, ngram_join, pii, secret_scan, slots, spotsigs, toxicity
 from .common import hex_sha256, span_text, table
 
 
@@ -22,6 +22,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return out.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in pii.BASE),
+        hex_sha256(span_text(F.col("base"))).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spotsigs.fingerprint(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_spots")
@@ -59,6 +70,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_pii": op3_pii,
     "op4_spotsigs": op4_spotsigs,
     "op5_mixing": op5_mixing,
     "op6_secrets": op6_secrets,
