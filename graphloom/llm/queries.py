@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, pii, secret_scan, slots, spotsigs, toxicity
+from . import bpe, ego, mixing, ngram_join, pii, secret_scan, slots, spotsigs, toxicity
 from .common import hex_sha256, span_text, table
 
 
@@ -22,6 +22,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -70,6 +74,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_ego": op2_ego,
     "op3_pii": op3_pii,
     "op4_spotsigs": op4_spotsigs,
     "op5_mixing": op5_mixing,
