@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, common, mixing, secret_scan
+from graphloom.llm import bpe, common, mixing, ngram_join, secret_scan, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones that this stage is given."""
+    out = toxicity.classify(docs, common.table(spark, sf_dir, "labels"))
+    return out.filter("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays, once; rows without an id stay."""
+    kept = ngram_join.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("__n__", F.row_number().over(once)).filter("__n__ = 1")
+    return named.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +49,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_duplicates_stage),
     ("secret scans", secrets_stage),
     ("mixing sources to target weights", mixing_stage),
     ("byte-level BPE encoding and decoding", bpe_stage),
