@@ -26,7 +26,7 @@ from .common import map_texts
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Words whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
 DECODED = T.StructField("decoded", T.BinaryType())
@@ -37,97 +37,106 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Token ids of each word, as by merging its lowest-ranked, leftmost pair again and again."""
-    sym: list[bytes | None] = []  # the token that starts here; None once merged into its left neighbour
-    after: list[int] = []  # the next token's place, -1 at a word's end
-    before: list[int] = []
-    word_of: list[int] = []
-    first: list[int] = []
-    single = [bytes([b]) for b in range(256)]
-    index: dict[int, list[int]] = {}
-    get = ranks.get
-    for w, data in enumerate(words):
-        at = len(sym)
-        first.append(at)
-        n = len(data)
-        sym.extend([single[b] for b in data])
-        after.extend(range(at + 1, at + n))
-        after.append(-1)
-        before.append(-1)
-        before.extend(range(at, at + n - 1))
-        word_of.extend([w] * n)
-        for i in range(n - 1):
-            r = get(data[i : i + 2])
-            if r is not None:
-                if r in index:
-                    index[r].append(at + i)
-                else:
-                    index[r] = [at + i]
+class Merges:
+    """A rank file as tables: the id of each byte, and the id that each pair of ids merges to."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs: dict[int, int] = {}
+        get = ranks.get
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = get(token[:i]), get(token[i:])
+                if left is not None and right is not None:
+                    self.pairs[left << 20 | right] = rank
+        self.of_bytes = np.full(1 << 16, -1, np.int64)
+        for x in range(256):
+            for y in range(256):
+                self.of_bytes[x << 8 | y] = get(bytes([x, y]), -1)
+
+
+def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all words and how many each has, as by merging the lowest-ranked, leftmost pair again and again."""
+    data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths)
+    total = len(data)
+    if not total:
+        return np.empty(0, np.int32), lengths
+    last = ends[lengths > 0] - 1
+    start = ends - lengths
+    rank = merges.of_bytes[data[:-1] << 8 | data[1:]]
+    rank[last[:-1]] = -1
+    place = np.flatnonzero(rank >= 0)
+    place = place[np.argsort(rank[place], kind="stable")]
+    distinct, cuts = np.unique(rank[place], return_index=True)
+    index = {r: x.tolist() for r, x in zip(distinct.tolist(), np.split(place, cuts[1:]), strict=True)} if len(distinct) else {}
+    sym = merges.of_byte[data].tolist()  # the token that starts here; -1 once merged into its left neighbour
+    sym.append(-1)
+    after = np.arange(1, total + 1)
+    after[last] = total
+    before = np.arange(-1, total - 1)
+    before[start[lengths > 0]] = total
+    after, before = after.tolist(), before.tolist()
     heap = list(index)
     heapq.heapify(heap)
+    pair = merges.pairs.get
+    push = heapq.heappush
     while heap:
         r = heapq.heappop(heap)
-        places = index.pop(r, None)
-        if places is None:
-            continue
+        places = index.pop(r)
         places.sort()
         waits: list[int] = []
-        held = -1  # a word in which this merge made a pair of lower rank: that one goes first
+        held = -1  # the end of a word in which this merge made a pair of lower rank: that one goes first
         for i in places:
             j = after[i]
-            left = sym[i]
-            if left is None or j < 0 or get(left + sym[j]) != r:
+            if pair(sym[i] << 20 | sym[j]) != r:
                 continue
-            if word_of[i] == held:
+            if i < held:
                 waits.append(i)
                 continue
-            token = left + sym[j]
-            sym[i] = token
-            sym[j] = None
+            sym[i] = r
+            sym[j] = -1
             k = after[j]
             after[i] = k
-            if k >= 0:
+            if k < total:
                 before[k] = i
-                q = get(token + sym[k])
+                q = pair(r << 20 | sym[k])
                 if q is not None:
                     if q in index:
                         index[q].append(i)
                     else:
                         index[q] = [i]
-                        heapq.heappush(heap, q)
+                        push(heap, q)
                     if q < r:
-                        held = word_of[i]
+                        held = ends[np.searchsorted(ends, i, "right")]
             h = before[i]
-            if h >= 0:
-                q = get(sym[h] + token)
+            if h < total:
+                q = pair(sym[h] << 20 | r)
                 if q is not None:
                     if q in index:
                         index[q].append(h)
                     else:
                         index[q] = [h]
-                        heapq.heappush(heap, q)
+                        push(heap, q)
                     if q < r:
-                        held = word_of[i]
+                        held = ends[np.searchsorted(ends, i, "right")]
         if waits:
-            index.setdefault(r, []).extend(waits)
-            heapq.heappush(heap, r)
-    out = []
-    for at, data in zip(first, words, strict=True):
-        ids = []
-        i = at if data else -1
-        while i >= 0:
-            ids.append(ranks[sym[i]])
-            i = after[i]
-        out.append(ids)
-    return out
+            if r not in index:
+                index[r] = []
+                push(heap, r)
+            index[r] += waits
+    ids = np.array(sym[:total], np.int32)
+    alive = np.concatenate([[0], np.cumsum(ids >= 0)])
+    return ids[ids >= 0], alive[ends] - alive[start]
 
 
 class Words:
     """Ids of the words met so far, in flat arrays: word w has ids[start[w]:start[w + 1]]."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
         self.clear()
 
     def clear(self) -> None:
@@ -142,14 +151,11 @@ class Words:
         if len(self.at) + len(new) > REMEMBERED:
             self.clear()
             new = list(words)
-        data = [w.encode() for w in new]
-        known = [self.ranks.get(d) for d in data]
-        rest = iter(replay([d for d, k in zip(data, known, strict=True) if k is None], self.ranks))
-        ids = [next(rest) if k is None else [k] for k in known]
+        ids, counts = replay([w.encode("utf-8", "surrogatepass") for w in new], self.merges)
         at = len(self.at)
         self.at.update(zip(new, range(at, at + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
 
 
 _words: dict[str, Words] = {}
@@ -166,7 +172,7 @@ def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str =
     find = regex.compile(pattern).findall
 
     def fn(texts: list[str]) -> list[pa.Array]:
-        words = _words.get(ranks) or _words.setdefault(ranks, Words(load_ranks(ranks)))
+        words = _words.get(ranks) or _words.setdefault(ranks, Words(Merges(load_ranks(ranks))))
         found = [find(t) for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         flat = [w for x in found for w in x]
