@@ -1,12 +1,12 @@
-"""Removal of long repeated byte strings, over sampled suffixes with run-compressed contexts.
-
-Only suffixes at content-defined anchors are kept: of every 200-byte window the
-64-byte string with the lowest hash, so equal windows have equal anchors at
-equal places. An anchor's context is all windows that it serves, about 270
-bytes. Equal contexts form a run, of which one sample goes on; each member of a
-run of two or more is a repeat as a whole. Samples of different runs of one
-anchor are then compared window by window, and windows that stand in two of them
-are long matches. The README says how this relates to a full run-length BWT.
+"""Removal of long repeated byte strings by run-length indexes over parts of the corpus.
+
+One index of a whole corpus would be one structure in one place. Texts are
+therefore dealt out by content: of every 200-byte window the 64-byte string with
+the lowest hash is its anchor, so equal windows have equal anchors and meet. An
+anchor's context is all windows that it serves, about 270 bytes. Equal contexts
+count once (each of two or more is a repeat as a whole); the different contexts
+of some anchors make the text of one run-length index, whose matching statistics
+mark the windows that stand in two contexts.
 """
 
 from __future__ import annotations
@@ -19,11 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .run_index import RunIndex
 
 LENGTH = 200
 GRAM = 64
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
+#: Bytes of contexts that make an index, and the most that one anchor may bring to it;
+#: the windows of an anchor with more are compared by their hashes.
+INDEX_BYTES = 1 << 19
+MOST_BYTES = 1 << 22
 #: Bits of the filter that says which runs need their bytes; its size never changes.
 FILTER_BITS = 26
 _P = 0x9E3779B97F4A7C15 | 1
@@ -204,12 +209,9 @@ def _needed_bytes(bits, length: int, gram: int):
     return run
 
 
-def _match(rows: list[tuple], length: int) -> list[tuple]:
-    """(doc_id, k, start, end) of the stretches of each context that stand in another one too."""
-    data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
+def _repeated_windows(data: np.ndarray, of: np.ndarray, length: int) -> np.ndarray:
+    """Places of windows that stand in ``data`` twice or more, by hash; ``of`` is the text of each byte."""
     sums, inverse = _prefix(data)
-    of = np.repeat(np.arange(len(rows)), np.diff(bounds))
     n = len(data) - length + 1
     window = np.flatnonzero(of[:n] == of[length - 1 :])
     value = (sums[window + length] - sums[window]) * inverse[window]
@@ -218,7 +220,21 @@ def _match(rows: list[tuple], length: int) -> list[tuple]:
     twice = np.zeros(len(window), bool)
     twice[order[same]] = True
     twice[order[np.flatnonzero(same) - 1]] = True
-    hit = window[twice]
+    return window[twice]
+
+
+def _match(rows: list[tuple], length: int) -> list[tuple]:
+    """(doc_id, k, start, end) of the stretches of each context that stand in another one too."""
+    data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
+    of = np.repeat(np.arange(len(rows)), np.diff(bounds))
+    if len(data) <= MOST_BYTES:
+        index = RunIndex(data, bounds)
+        inside = np.ones(len(index.symbols), bool)
+        inside[index.ends] = False
+        hit = np.flatnonzero(index.longest_matches()[inside] >= length)
+    else:
+        hit = _repeated_windows(data, of, length)
     if not len(hit):
         return []
     new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(of[hit]) != 0)]))
@@ -248,7 +264,7 @@ def _compare(length: int):
                     if closed and len(held) - closed == 1:
                         held.pop()  # a lone context matches nothing
                     closed, at = len(held), h
-                    if size >= CHUNK:
+                    if size >= INDEX_BYTES:
                         yield from close(closed)
                         held, closed, size = [], 0, 0
                 held.append((doc, k, start, data))

@@ -1,7 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
+
 from graphloom.llm import queries, suffix_dedup
+from graphloom.llm.run_index import RunIndex
 
 
 def brute(rows, length):
@@ -46,3 +49,33 @@ def test_short_strings_equal_brute_force(spark, docs):
         df = docs(rows).repartition(5)
         assert result(suffix_dedup.remove_repeats(df, length=20, gram=8)) == brute(rows, 20)
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
+
+
+def test_run_index_equals_brute_force():
+    rng = random.Random(1)
+    for _ in range(60):
+        alphabet = rng.choice(["ab", "a", "abcdef"])
+        base = "".join(rng.choice(alphabet) for _ in range(60))
+        texts = []
+        for _ in range(rng.randint(1, 7)):
+            i = rng.randint(0, 40)
+            texts.append((base[i : i + rng.randint(0, 30)] + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9)))).encode())
+        places = [(k, i) for k, t in enumerate(texts) for i in range(len(t))]
+
+        def common(a, b):
+            x, y = texts[a[0]][a[1] :], texts[b[0]][b[1] :]
+            return next((n for n, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+        index = RunIndex(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        got = index.longest_matches()
+        assert all(got[index.starts[k] + i] == max((common((k, i), p) for p in places if p != (k, i)), default=0) for k, i in places)
+        assert len(index.head_samples) == len(index.tail_samples) == len(index.run_symbols)
+
+
+def test_large_anchors_are_compared_by_hash(monkeypatch):
+    rng = random.Random(4)
+    passage = bytes(rng.choice(b"abcdefgh") for _ in range(260))
+    rows = [(i, i, 0, bytes(rng.choice(b"abcdefgh") for _ in range(30)) + passage[: 190 + 10 * i] + b"#") for i in range(6)]
+    small = suffix_dedup._match(rows, 200)
+    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", 0)
+    assert suffix_dedup._match(rows, 200) == small and small
