@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts
@@ -162,12 +163,23 @@ _words: dict[str, Words] = {}
 _tokens: dict[str, list[bytes]] = {}
 
 
-def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = PATTERN, keep: list[str] | None = None) -> DataFrame:
-    """Append ``ids``, the token ids of each text.
+def _bytes_of(ids: pa.Array, ranks: str) -> pa.Array:
+    """The bytes that each list of ids stands for; null for null."""
+    if ranks not in _tokens:
+        by_rank = load_ranks(ranks)
+        _tokens[ranks] = sorted(by_rank, key=by_rank.get)
+    token = _tokens[ranks].__getitem__
+    flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    data = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return pa.array(data, pa.binary(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+
+
+def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = PATTERN, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """Append ``ids``, the token ids of each text, and if asked for ``decoded``, the bytes that these ids stand for.
 
     Every match of ``pattern`` is encoded apart from the others; special tokens
     are ordinary text. Null and empty texts have no ids. Long words, repeated
-    rows and empty tables need no care; a column named ``ids`` is replaced.
+    rows and empty tables need no care; columns of these names are replaced.
     """
     find = regex.compile(pattern).findall
 
@@ -176,16 +188,19 @@ def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str =
         found = [find(t) for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         flat = [w for x in found for w in x]
+        del found
         words.learn(dict.fromkeys(flat))
         which = np.fromiter(map(words.at.__getitem__, flat), np.int64, len(flat))
+        del flat
         lengths = words.start[which + 1] - words.start[which]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         source = np.arange(total) + np.repeat(words.start[which] - (ends - lengths), lengths)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(words.ids[source], pa.int32()))]
+        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(words.ids[source], pa.int32()))
+        return [ids, _bytes_of(ids, ranks)] if decoded else [ids]
 
-    return map_texts(df, [IDS], fn, text, keep)
+    return map_texts(df, [IDS, DECODED] if decoded else [IDS], fn, text, keep)
 
 
 def decode(df: DataFrame, ids: str = "ids", ranks: str = RANKS, keep: list[str] | None = None) -> DataFrame:
@@ -194,21 +209,10 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str = RANKS, keep: list[str]
     schema = T.StructType([df.schema[c] for c in keep] + [DECODED])
     width = len(keep)
 
-    def run(batches):
-        if ranks not in _tokens:
-            by_rank = load_ranks(ranks)
-            _tokens[ranks] = sorted(by_rank, key=by_rank.get)
-        token = _tokens[ranks].__getitem__
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = part.column(width)
-                flat, offsets = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
-                data = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(width)] + [pa.array(data, pa.binary(), mask=rows.is_null().to_numpy(zero_copy_only=False))], names=schema.names
-                )
-
-    from pyspark.sql import functions as F
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(width)), _bytes_of(part.column(width), ranks)], names=schema.names)
 
     return df.select(*keep, F.col(ids).alias("__ids__")).mapInArrow(run, schema)

@@ -1,16 +1,19 @@
-"""What the corpus operators share: table reading, lineage cuts, batched Arrow maps, span digests."""
+"""What the corpus operators share: table reading, stored frames, batched Arrow maps, span digests."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.iterate import cut
+
 #: A word: a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,17 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) is a temporary folder used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most ``rows`` rows, cut once a piece's texts reach ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1
+        to = min(to, at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def map_texts(
@@ -39,8 +40,9 @@ def map_texts(
     text: str = "text",
     keep: list[str] | None = None,
     rows: int = 256,
+    size: int = 1 << 20,
 ) -> DataFrame:
-    """Append columns computed from a text column, ``rows`` rows at a time.
+    """Append columns computed from a text column, at most ``rows`` rows or about ``size`` bytes of text at a time.
 
     ``fn`` gets a list of texts (null comes as the empty text) and returns one
     Arrow array for each of ``fields``. ``keep`` lists the columns that pass
@@ -53,8 +55,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, width, rows, size):
                 texts = [x or "" for x in part.column(width).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(width)] + list(fn(texts)), names=schema.names

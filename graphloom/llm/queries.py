@@ -13,7 +13,7 @@ from .common import hex_sha256, span_text, table
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, keep=["doc_id"]))
+    out = bpe.encode(docs, keep=["doc_id"], decoded=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -113,4 +113,18 @@ SELECT d.doc_id, (SELECT min(r.c) FROM r WHERE r.doc_id = d.doc_id) AS class_id,
 FROM documents d
 """
 
-ORACLE: dict[str, str] = {"op10_ngram_join": NGRAM_SQL}
+#: All pairs of one label are compared; components by recursion.
+COSINE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v WHERE list_dot_product(e, e) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93
+), r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM m
+"""
+
+ORACLE: dict[str, str] = {"op2_ego": COSINE_SQL, "op10_ngram_join": NGRAM_SQL}
