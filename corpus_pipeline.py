@@ -43,7 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and whether they decode to the row's text."""
-    out = bpe.decode(bpe.encode(docs))
+    out = bpe.encode(docs, decoded=True)
     back = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
 
