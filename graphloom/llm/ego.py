@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from ..plans.iterate import components, cut
 
 THRESHOLD = 0.93
 #: Leading principal dimensions that the grid has.

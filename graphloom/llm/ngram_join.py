@@ -7,8 +7,8 @@ smallest), and all pairs of a cluster are verified on the full sets, in tiles of
 two blocks. A tile gives sums and a spanning forest, never its pairs.
 
 Bands follow from the recall asked for: two sets of similarity s share one of b
-bands of r rows with probability 1 - (1 - s^r)^b. For 0.8, r = 6 and b = 40
-that leaves out five links in a million before clusters add more.
+bands of r rows with probability 1 - (1 - s^r)^b. For 0.8, r = 6 and b = 38
+that leaves out ten links in a million before clusters add more.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut, map_texts
-from .components import components
+from ..plans.iterate import components, cut
+from .common import WORD, map_texts
 
 N = 5
 THRESHOLD = 0.8
