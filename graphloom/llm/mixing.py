@@ -13,13 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from ..plans.iterate import cut
+from .common import WORD
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 FAN = 64
 SEED = 20
+#: Sources up to which their table is broadcast; beyond it rows are joined by shuffling.
+FEW_SOURCES = 10_000
 
 _ITEM = "struct<h:bigint,id:bigint,size:bigint,base:bigint,f:double>"
 _DONE = "array<struct<id:bigint,size:bigint,copies:bigint>>"
@@ -92,9 +95,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """
     sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     targets = cut(source_targets(sizes))
+    # a source may hold most rows: the table of sources is sent to them while it is short
+    near = F.broadcast if targets.count() <= FEW_SOURCES else (lambda x: x)
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))  # null is a source of its own
     names = targets.select(key.alias("k"), "source_size", "target")
-    rows = sizes.withColumn("k", key).join(names, "k").withColumn("p", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    rows = sizes.withColumn("k", key).join(near(names), "k").withColumn("p", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rows = rows.withColumn("base", F.floor("p").cast("long")).withColumn("f", F.col("p") - F.floor("p"))
     settled = rows.filter((F.col("f") <= 0) | (F.col("size") == 0)).select("k", "id", "size", F.col("base").alias("copies"))
     open_rows = rows.filter((F.col("f") > 0) & (F.col("size") > 0))
@@ -115,6 +120,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     done = parts[0]
     for x in parts[1:]:
         done = done.unionByName(x)
-    return done.join(targets.select(key.alias("k"), "source", "source_size", "target"), "k").select(
+    return done.join(near(targets.select(key.alias("k"), "source", "source_size", "target")), "k").select(
         F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
