@@ -25,11 +25,12 @@ LENGTH = 200
 GRAM = 64
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
-#: Bytes of contexts that make an index, and the most that one anchor may bring to it;
-#: the windows of an anchor with more are compared by their hashes.
+#: Bytes of contexts that make an index.
 INDEX_BYTES = 1 << 19
-MOST_BYTES = 1 << 22
-#: Bits of the filter that says which runs need their bytes; its size never changes.
+#: Different contexts up to which an anchor's are indexed in one task; the windows of an anchor
+#: with more are spread over the cluster by their own hashes.
+MOST_CONTEXTS = 15_000
+#: Bits of the filters that say which contexts need their bytes and which anchors have too many; their size never changes.
 FILTER_BITS = 26
 _P = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(41).integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -114,7 +115,8 @@ def _contexts(column: pa.Array, length: int, gram: int):
 
 
 _FOUND = "h long, c long, many boolean, doc_id long, k long, start long, end long"
-_DECIDED = "doc_id long, k long, start long, end long, need long"
+_DECIDED = "doc_id long, k long, start long, end long, need long, anchor long"
+_WINDOWS = "h long, w long, doc_id long, k long, start long"
 _BYTES = "h long, c long, doc_id long, k long, start long, bytes binary"
 
 
@@ -168,12 +170,12 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_c, seen = (int(h[n - 1]), int(first[n - 1])), (int(h[n - 1]), int(c[n - 1]))
         out = np.flatnonzero((whole | need)[:n])
         col = lambda name, gone: pa.array(t.column(name).to_numpy()[out], mask=gone[out]) if name not in ("doc_id", "k") else t.column(name).combine_chunks().take(pa.array(out))
-        return _batch(_DECIDED, [col("doc_id", whole), col("k", whole), col("start", ~whole), col("end", ~whole), pa.array(c[out], mask=~need[out])])
+        return _batch(_DECIDED, [col("doc_id", whole), col("k", whole), col("start", ~whole), col("end", ~whole), pa.array(c[out], mask=~need[out]), pa.array(h[out], mask=~need[out])])
 
     for batch in batches:
         settled = batch.filter(batch.column(0).is_null())
         if settled.num_rows:
-            yield _batch(_DECIDED, [settled.column(i) for i in range(3, 7)] + [pa.nulls(settled.num_rows, pa.int64())])
+            yield _batch(_DECIDED, [settled.column(i) for i in range(3, 7)] + [pa.nulls(settled.num_rows, pa.int64())] * 2)
         batch = batch.filter(batch.column(0).is_valid())
         if batch.num_rows:
             t = pa.Table.from_batches(([held] if held is not None else []) + [batch])
@@ -185,42 +187,61 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _needed_bytes(bits, length: int, gram: int):
-    """The bytes of contexts that the filter knows, each once a batch."""
+def _chosen(c: np.ndarray, bits) -> np.ndarray:
+    """Which hashes the filter knows."""
+    table = np.frombuffer(bits.value, np.uint8)
+    slot = c & np.uint64((1 << FILTER_BITS) - 1)
+    return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _needed(batch: pa.RecordBatch, needed, large, length: int, gram: int, of_large: bool):
+    """The contexts of a batch that are needed, each once: of large anchors or of the others."""
+    row, start, end, h, c = _contexts(batch.column(2), length, gram)
+    if not len(row):
+        return row, start, end, h, c, []
+    hit = np.flatnonzero(_chosen(c, needed) & (_chosen(h, large) == of_large))
+    at = hit[np.unique(c[hit], return_index=True)[1]]
+    texts = batch.column(2)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :].astype(np.int64)
+    data = memoryview(texts.buffers()[2] or b"")
+    base = offsets[row[at]]
+    found = [data[a:b].tobytes() for a, b in zip((base + start[at]).tolist(), (base + end[at]).tolist(), strict=True)]
+    return row[at], start[at], end[at], h[at], c[at], found
+
+
+def _needed_bytes(needed, large, length: int, gram: int):
+    """The bytes of needed contexts, but for those of large anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            texts = batch.column(2)
-            row, start, end, h, c = _contexts(texts, length, gram)
-            if not len(row):
-                continue
-            slot = c & np.uint64((1 << FILTER_BITS) - 1)
-            hit = np.flatnonzero((table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
-            _, one = np.unique(c[hit], return_index=True)
-            at = hit[one]
-            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :].astype(np.int64)
-            data = memoryview(texts.buffers()[2] or b"")
-            base = offsets[row[at]]
-            found = [data[a:b].tobytes() for a, b in zip((base + start[at]).tolist(), (base + end[at]).tolist(), strict=True)]
-            rows = pa.array(row[at])
-            yield _batch(_BYTES, [h[at].view(np.int64), c[at].view(np.int64), batch.column(0).take(rows), batch.column(1).take(rows), start[at], pa.array(found, pa.binary())])
+            row, start, _, h, c, found = _needed(batch, needed, large, length, gram, False)
+            if len(found):
+                rows = pa.array(row)
+                yield _batch(_BYTES, [h.view(np.int64), c.view(np.int64), batch.column(0).take(rows), batch.column(1).take(rows), start, pa.array(found, pa.binary())])
 
     return run
 
 
-def _repeated_windows(data: np.ndarray, of: np.ndarray, length: int) -> np.ndarray:
-    """Places of windows that stand in ``data`` twice or more, by hash; ``of`` is the text of each byte."""
-    sums, inverse = _prefix(data)
-    n = len(data) - length + 1
-    window = np.flatnonzero(of[:n] == of[length - 1 :])
-    value = (sums[window + length] - sums[window]) * inverse[window]
-    order = np.argsort(value)
-    same = np.concatenate([[False], value[order][1:] == value[order][:-1]])
-    twice = np.zeros(len(window), bool)
-    twice[order[same]] = True
-    twice[order[np.flatnonzero(same) - 1]] = True
-    return window[twice]
+def _large_windows(needed, large, length: int, gram: int):
+    """The windows of large anchors' contexts, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, end, h, _, found = _needed(batch, needed, large, length, gram, True)
+            if not len(found):
+                continue
+            data = np.frombuffer(b"".join(found), np.uint8)
+            size = end - start
+            ends = np.cumsum(size)
+            of = np.repeat(np.arange(len(found)), size - length + 1)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
+            at = (ends - size)[of] + place
+            sums, inverse = _prefix(data)
+            w = _mix((sums[at + length] - sums[at]) * inverse[at])
+            rows = pa.array(row[of])
+            yield _batch(_WINDOWS, [h[of].view(np.int64), w.view(np.int64), batch.column(0).take(rows), batch.column(1).take(rows), start[of] + place])
+
+    return run
 
 
 def _match(rows: list[tuple], length: int) -> list[tuple]:
@@ -228,13 +249,10 @@ def _match(rows: list[tuple], length: int) -> list[tuple]:
     data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
     of = np.repeat(np.arange(len(rows)), np.diff(bounds))
-    if len(data) <= MOST_BYTES:
-        index = RunIndex(data, bounds)
-        inside = np.ones(len(index.symbols), bool)
-        inside[index.ends] = False
-        hit = np.flatnonzero(index.longest_matches()[inside] >= length)
-    else:
-        hit = _repeated_windows(data, of, length)
+    index = RunIndex(data, bounds)
+    inside = np.ones(len(index.symbols), bool)
+    inside[index.ends] = False
+    hit = np.flatnonzero(index.longest_matches()[inside] >= length)
     if not len(hit):
         return []
     new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(of[hit]) != 0)]))
@@ -275,6 +293,16 @@ def _compare(length: int):
     return run
 
 
+def _filter(values: DataFrame):
+    """A broadcast bitmap of the low bits of column x: 8 MB whatever the input."""
+    slot = F.col("x").bitwiseAND((1 << FILTER_BITS) - 1)
+    parts = values.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits")).collect()
+    bits = bytearray(1 << (FILTER_BITS - 3))
+    for part, x in parts:
+        bits[part << 12 : (part << 12) + len(x)] = x
+    return values.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, k, spans) of texts that hold repeats; k is the hash of the text, spans are byte ranges, unmerged.
 
@@ -287,14 +315,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     seen = texts.mapInArrow(_first_look(length, gram), _FOUND)
     seen = seen.repartition(F.coalesce("h", "k")).sortWithinPartitions("h", "c")
     decided = stored(seen.mapInArrow(_decide, _DECIDED))
-    slot = F.col("need").bitwiseAND((1 << FILTER_BITS) - 1)
-    parts = decided.filter("need IS NOT NULL").groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits")).collect()
-    bits = bytearray(1 << (FILTER_BITS - 3))  # 8 MB whatever the input
-    for part, x in parts:
-        bits[part << 12 : (part << 12) + len(x)] = x
-    known = docs.sparkSession.sparkContext.broadcast(bytes(bits))
-    sent = texts.mapInArrow(_needed_bytes(known, length, gram), _BYTES).repartition("h").sortWithinPartitions("h", "c")
+    wanted = decided.filter("need IS NOT NULL")
+    needed = _filter(wanted.select(F.col("need").alias("x")))
+    crowded = wanted.groupBy(F.col("anchor").alias("x")).count().filter(F.col("count") > MOST_CONTEXTS).select("x")
+    large = _filter(crowded)
+    sent = texts.mapInArrow(_needed_bytes(needed, large, length, gram), _BYTES).repartition("h").sortWithinPartitions("h", "c")
     found = sent.mapInArrow(_compare(length), "doc_id long, k long, start long, end long")
+    if large.value.strip(b"\0"):
+        each = texts.mapInArrow(_large_windows(needed, large, length, gram), _WINDOWS)
+        twice = each.groupBy("h", "w").count().filter("count > 1").select("h", "w")
+        found = found.union(each.join(twice, ["h", "w"]).select("doc_id", "k", "start", (F.col("start") + length).alias("end")))
     whole = decided.filter("start IS NOT NULL").select("doc_id", "k", "start", "end")
     return whole.union(found).groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 

@@ -72,10 +72,9 @@ def test_run_index_equals_brute_force():
         assert len(index.head_samples) == len(index.tail_samples) == len(index.run_symbols)
 
 
-def test_large_anchors_are_compared_by_hash(monkeypatch):
+def test_windows_of_large_anchors_equal_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", 1)
     rng = random.Random(4)
-    passage = bytes(rng.choice(b"abcdefgh") for _ in range(260))
-    rows = [(i, i, 0, bytes(rng.choice(b"abcdefgh") for _ in range(30)) + passage[: 190 + 10 * i] + b"#") for i in range(6)]
-    small = suffix_dedup._match(rows, 200)
-    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", 0)
-    assert suffix_dedup._match(rows, 200) == small and small
+    passage = "".join(rng.choice("abcdefgh") for _ in range(260))
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(30)) + passage[: 150 + 10 * i] + "#" * (i % 2), "a") for i in range(12)]
+    assert result(suffix_dedup.remove_repeats(docs(rows).repartition(3))) == brute(rows, 200)
