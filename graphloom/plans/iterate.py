@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rounds of a fixpoint that stay apart before they are written as one.
+TOGETHER = 12
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder (``spark.checkpoint.dir``) and go on from there.
@@ -24,13 +28,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int = 1000) -> DataFrame:
-    """All rows that ``step`` derives from ``seed``, directly or again; each round works on new rows only."""
-    every = delta = cut(seed.distinct())
+    """All rows that ``step`` derives from ``seed``, directly or again.
+
+    Each round works on the new rows only and writes these only; the rounds are
+    put together once in ``TOGETHER``.
+    """
+    delta = cut(seed.distinct())
+    parts = [delta]
     for _ in range(cap):
+        every = reduce(DataFrame.union, parts)
         new = cut(step(delta).select(*every.columns).distinct().join(every, every.columns, "left_anti"))
         if new.isEmpty():
             return every
-        every, delta = cut(every.union(new)), new
+        parts = [*parts, new] if len(parts) < TOGETHER else [cut(every), new]
+        delta = new
     raise RuntimeError(f"no fixpoint after {cap} rounds")
 
 
