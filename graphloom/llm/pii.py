@@ -39,7 +39,7 @@ CONTEXTS = (
     r"(?i)host|server|ip\b|addr|subnet|login",
     r"(?i)mail|write to|e-mail|contact|reply",
 )
-#: At most so many proposals, those of the lowest hashes, are learnt from.
+#: At most so many proposals, those of the lowest hashes, are fitted; thresholds are set from the whole table.
 SAMPLE = 20_000
 PRECISION = 0.95
 
@@ -158,26 +158,27 @@ def model_sql(model: GBTClassificationModel, f: str) -> str:
 
 
 def learn(rows: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, id_col: str = "doc_id") -> tuple[str, dict[str, float]]:
-    """(SQL of the probability of ``c``, threshold of each generator), from at most ``sample`` proposals.
+    """(SQL of the probability of ``c``, threshold of each generator).
 
-    Four fifths of the sample are fitted, the rest sets the thresholds. Without
-    confirmed and unconfirmed proposals nothing is selected.
+    Every proposal of the whole table in one fifth of the hashes is held out, and
+    a count by generator and score of these sets the thresholds. The trees are
+    fitted to the others among the ``sample`` proposals of the lowest hashes.
+    Without confirmed and unconfirmed ones there nothing is selected.
     """
     each = rows.filter("size(proposals) > 0").select(F.col(id_col).alias("id"), "base", F.explode("proposals").alias("c"))
     each = each.select(F.xxhash64("id", "c.start", "c.generator").alias("h"), "c", F.when(_confirmed(F.col("base"), F.col("c")), 1.0).otherwise(0.0).alias("label"))
     few = cut(each.orderBy("h", "c", "label").limit(sample))
     width = len(CONTEXTS) + 15
     names = [f"f{i}" for i in range(width)]
-    few = few.select("h", "label", "c", *(F.col("c.f")[i].alias(n) for i, n in enumerate(names)))
     fold = F.pmod("h", F.lit(5)) == 0
-    train = few.filter(~fold)
+    train = few.filter(~fold).select("label", *(F.col("c.f")[i].alias(n) for i, n in enumerate(names)))
     seen = {r[0] for r in train.select("label").distinct().collect()}
     if len(seen) < 2:
         return "0D", dict.fromkeys(GENERATORS, 2.0)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train)
     model = GBTClassifier(maxIter=8, maxDepth=3, maxBins=32, stepSize=0.3, seed=1).fit(vectors.select("features", "label"))
     sql = model_sql(model, "c.f")
-    bins = few.filter(fold).select(F.col("c.generator").alias("g"), F.floor(F.expr(sql) * 100).cast("int").alias("p"), "label").groupBy("g", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    bins = each.filter(fold).select(F.col("c.generator").alias("g"), F.floor(F.expr(sql) * 100).cast("int").alias("p"), "label").groupBy("g", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
     out = {}
     for g in GENERATORS:
         n = good = 0.0

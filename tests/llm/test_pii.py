@@ -59,3 +59,15 @@ def test_edges(spark, docs):
     rows = [(1, None, "a"), (2, "mail me: a@b.co", "a"), (2, "mail me: a@b.co", "a"), (None, "+1 234 567 890", "a")]
     out = pii.find(docs(rows).withColumnRenamed("lang", "spans").withColumnRenamed("source", "proposals")).collect()
     assert sorted(len(r.base) for r in out) == [0, 1, 1, 1] and all(r.spans[: len(r.base)] == r.base for r in out)
+
+
+def test_thresholds_count_all_held_out_proposals(spark):
+    text = lambda i: f"call +1 (988) 555-{i:04d} or {i:06d} - 12" + f" or mail a{i}@b.co and x@y{i}" * (i % 100 == 0)
+    rows = pii.propose(spark.createDataFrame([(i, text(i)) for i in range(2500)], "doc_id long, text string")).select("doc_id", "base", "proposals")
+    sql, got = pii.learn(rows, sample=90)
+    each = rows.selectExpr("doc_id", "base", "explode(proposals) c").selectExpr("base", "c", "pmod(xxhash64(doc_id, c.start, c.generator), 5) fold", f"floor({sql} * 100) / 100 p").filter("fold = 0").collect()
+    held = {g: [(r.p, any(abs(b.start - r.c.start) <= 2 and abs(b.end - r.c.end) <= 2 for b in r.base)) for r in each if r.c.generator == g] for g in pii.GENERATORS}
+    assert len(held["number"]) > 800 and len(held["mailbox"]) > 5
+    above = {g: {t: [good for p, good in x if p >= t] for t, _ in x} for g, x in held.items()}
+    assert got == {g: min((t for t, x in a.items() if t >= 0.5 and sum(x) >= pii.PRECISION * len(x)), default=2.0) for g, a in above.items()}
+    assert max(got.values()) < 2
