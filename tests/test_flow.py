@@ -142,3 +142,17 @@ def test_steps(spark):
     ]
     df = spark.createDataFrame(rows, f"a {step}, b {step}, want boolean")
     assert all(r.got == r.want for r in df.withColumn("got", conflicts.separable(F.col("a"), F.col("b"))).collect())
+
+
+def test_components_take_every_line(spark, tmp_path):
+    from graphloom.queries.trees import components_all_parts, components_parts
+
+    lines = [(1, 7, 50, 0.1), (2, 7, 50, 0.1), (3, 7, 1, 0.0), (3, 8, 2, 0.0), (4, 8, 3, 0.05), (5, 9, 50, 0.0), (6, 9, 1, 0.1), (7, 5, 1, 0.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity int, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, 10 + o) for o in range(1, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.id: r.component for r in components_parts(spark, str(tmp_path)).collect()} == {11: 11, 12: 11}
+    want = {c: c for c in range(11, 18)}
+    for _ in lines:
+        for o, part, *_ in lines:
+            want[10 + o] = min(want[10 + x[0]] for x in lines if x[1] == part or x[0] == o)
+    assert {r.id: r.component for r in components_all_parts(spark, str(tmp_path)).collect()} == want == {11: 11, 12: 11, 13: 11, 14: 11, 15: 15, 16: 15, 17: 17}
