@@ -130,11 +130,16 @@ def without_repeats(nodes: DataFrame) -> DataFrame:
 
 
 def repeated_graphs(nodes: DataFrame, show: int = 5) -> DataFrame:
-    """(shape, n, graph_ids): graphs that occur more than once, and up to ``show`` of their ids."""
+    """(shape, n, graph_ids): graphs that occur more than once, and up to ``show`` of their ids, the smallest.
+
+    Each task passes on its ``show`` smallest ids of a shape, never all of them.
+    """
     rows = [c for c in nodes.columns if c not in ("graph_id", "node_id")]
-    shape = nodes.groupBy("graph_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("node_id", *rows)))), 256).alias("shape"))
-    few = F.slice(F.array_sort(F.collect_list("graph_id")), 1, show)
-    return shape.groupBy("shape").agg(F.count("*").alias("n"), few.alias("graph_ids")).filter("n > 1")
+    shape = cut(nodes.groupBy("graph_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("node_id", *rows)))), 256).alias("shape")))
+    n = shape.groupBy("shape").agg(F.count("*").alias("n")).filter("n > 1")
+    order = Window.partitionBy("shape").orderBy(F.asc_nulls_last("graph_id"))
+    low = shape.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= show)
+    return n.join(low.groupBy("shape").agg(F.array_sort(F.collect_list("graph_id")).alias("graph_ids")), "shape").select("shape", "n", "graph_ids")
 
 
 def counts(nodes: DataFrame) -> DataFrame:

@@ -78,14 +78,24 @@ def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
     return forest.counts(forest_nodes(spark, sf))
 
 
+def _histories(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph a user and day, a node an event in order of time."""
+    order = Window.partitionBy("graph_id").orderBy("ts", "event_id")
+    e = _t(spark, sf, "events").withColumn("graph_id", F.concat_ws("/", "user_id", F.to_date("ts"))).withColumn("n", F.row_number().over(order))
+    return e.select("graph_id", F.col("n").alias("node_id"), F.lit(None).cast("long").alias("source"), F.col("event_type").alias("kind"))
+
+
 def repeated_histories(spark: SparkSession, sf: str) -> DataFrame:
     """Days of a user whose three first events are alike: graphs that repeat, and how often."""
-    order = Window.partitionBy("graph_id").orderBy("ts", "event_id")
-    e = _t(spark, sf, "events").withColumn("graph_id", F.concat_ws("/", "user_id", F.to_date("ts"))).withColumn("n", F.row_number().over(order)).filter("n <= 3")
-    n = e.select("graph_id", F.col("n").alias("node_id"), F.lit(None).cast("long").alias("source"), F.col("event_type").alias("kind"))
+    n = _histories(spark, sf).filter("node_id <= 3")
     return forest.repeated_graphs(n).select("n", F.array_join("graph_ids", ",").alias("graph_ids"))
 
 
+def repeated_whole_histories(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of a user whose events are all alike: graphs that repeat, and how often."""
+    return forest.repeated_graphs(_histories(spark, sf)).select("n", F.array_join("graph_ids", ",").alias("graph_ids"))
+
+
 def asof_object(spark: SparkSession, sf: str) -> DataFrame:
     """Sign-ups begin an interval of as many hours as their value; other events look for theirs."""
     s = (F.unix_timestamp("ts") - F.lit(1_704_067_200)).cast("long")
@@ -222,7 +232,7 @@ def live_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "needs_write": needs_write, "last_descendants": last_descendants, "flow_exact": flow_exact, "unique_nodes": unique_nodes, "graph_permissions": graph_permissions,
-    "graph_counts": graph_counts, "repeated_histories": repeated_histories, "asof_object": asof_object, "leaks": leaks, "provenance_fold": provenance_fold,
+    "graph_counts": graph_counts, "repeated_histories": repeated_histories, "repeated_whole_histories": repeated_whole_histories, "asof_object": asof_object, "leaks": leaks, "provenance_fold": provenance_fold,
     "node_kinds": node_kinds, "hook_events": hooked, "perm_fixpoint": perm_fixpoint, "perm_masked": perm_masked, "cell_flags": cell_flags,
     "pointee_types": pointee_types, "type_classes": type_classes, "class_numbers": class_numbers, "ownership_bounds": ownership_bounds,
     "recent_writes": recent_writes, "last_uses": last_uses, "live_orders": live_orders,
@@ -243,6 +253,8 @@ ORACLE = {
     "repeated_histories": """WITH e AS (SELECT user_id || '/' || ts::DATE AS g, event_type, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events),
       s AS (SELECT g, string_agg(event_type, ',' ORDER BY n) AS shape FROM e WHERE n <= 3 GROUP BY 1)
       SELECT count(*) AS n, array_to_string(list_sort(list(g))[1:5], ',') AS graph_ids FROM s GROUP BY shape HAVING count(*) > 1""",
+    "repeated_whole_histories": """WITH s AS (SELECT user_id || '/' || ts::DATE AS g, string_agg(event_type, ',' ORDER BY ts, event_id) AS shape FROM events GROUP BY 1)
+      SELECT count(*) AS n, array_to_string(list_sort(list(g))[1:5], ',') AS graph_ids FROM s GROUP BY shape HAVING count(*) > 1""",
     "asof_object": """WITH e AS (SELECT *, epoch(date_trunc('second', ts))::BIGINT AS s FROM events), i AS (SELECT user_id, s, floor(value)::BIGINT * 3600 AS size, event_id AS object FROM e WHERE event_type = 'signup')
       SELECT e.event_id, CASE WHEN e.s <= f.s + f.size THEN f.object END AS object FROM e LEFT JOIN LATERAL (
         SELECT * FROM i WHERE i.user_id = e.user_id AND i.s <= e.s ORDER BY i.s DESC, i.object DESC LIMIT 1) f ON true WHERE event_type <> 'signup'""",

@@ -156,3 +156,15 @@ def test_components_take_every_line(spark, tmp_path):
         for o, part, *_ in lines:
             want[10 + o] = min(want[10 + x[0]] for x in lines if x[1] == part or x[0] == o)
     assert {r.id: r.component for r in components_all_parts(spark, str(tmp_path)).collect()} == want == {11: 11, 12: 11, 13: 11, 14: 11, 15: 15, 16: 15, 17: 17}
+
+
+def test_repeated_graphs_are_whole_and_few_ids_are_gathered(spark, tmp_path):
+    day = lambda u, kinds: [(u * 10 + i, f"2024-01-01 00:00:0{i}", u, k) for i, k in enumerate(kinds)]
+    rows = [e for u in range(1, 10) for e in day(u, ["view"] * 3 + ["click"] * (u > 7))]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    ids = lambda *us: ",".join(f"{u}/2024-01-01" for u in us)
+    got = flow.repeated_whole_histories(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(2, ids(8, 9)), (7, ids(1, 2, 3, 4, 5))]
+    plan = got._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
