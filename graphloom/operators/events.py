@@ -7,9 +7,10 @@ Their order is ``seq`` alone. Pointers are unsigned and held as
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +100,8 @@ class _Fold:
         """The entry whose interval, end included, holds the pointer; also the floor entry itself."""
         from bisect import bisect_right
 
+        if ptr is None:
+            return None, None
         i = bisect_right(self.start, ptr)
         if not i:
             return None, None
@@ -110,6 +113,8 @@ class _Fold:
     def put(self, ptr: int, node: tuple[int, int], size: int | None) -> None:
         from bisect import insort
 
+        if ptr is None:
+            return
         if ptr not in self.entry:
             insort(self.start, ptr)
         self.entry[ptr] = (*node, size)
@@ -128,26 +133,26 @@ class _Fold:
             self.graph_sizes.append(0)
         else:
             graph, source = found
-            if e.source_local is not None and not pd.isna(e.source_local):
+            if e.source_local is not None:
                 source = self.by_dest.get((graph, (e.func, e.source_local)), source)
         node = self.graph_sizes[graph]
         self.graph_sizes[graph] += 1
-        if e.dest_local is not None and not pd.isna(e.dest_local):
+        if e.dest_local is not None:
             self.by_dest[graph, (e.func, e.dest_local)] = node
         self._map(e, (graph, node), found, floor)
         return graph, node, source
 
     def _map(self, e, node: tuple[int, int], found, floor) -> None:
-        size = None if pd.isna(e.size) else int(e.size)
+        size = None if e.size is None else int(e.size)
         if e.kind in ("Alloc", "Realloc", "AddrOfLocal") and e.node_kind != "Copy":
-            self.put(int(e.new_ptr) if e.kind == "Realloc" else e.ptr, node, size)
+            self.put(e.new_ptr if e.kind == "Realloc" else e.ptr, node, size)
         elif e.kind == "AddrOfSized":
             if e.ptr not in self.entry:
                 self.put(e.ptr, node, size)
         elif e.kind == "Free":
             self.drop(e.ptr)
         elif e.node_kind in ("Copy", "Offset", "Project"):
-            ptr = e.ptr if e.node_kind == "Copy" or pd.isna(e.new_ptr) else int(e.new_ptr)
+            ptr = e.ptr if e.node_kind == "Copy" or e.new_ptr is None else e.new_ptr
             hit, floor = self.find(ptr)
             unsized = floor is not None and self.entry[floor][2] is None
             if hit is None and (floor is None or unsized or e.node_kind == "Copy"):
@@ -155,28 +160,37 @@ class _Fold:
 
 
 _OUT = "run_id {run}, graph_id long, node_id long, source long, kind string, func string, dest_local long, ptr long, offset long, seq long"
+_Event = namedtuple("_Event", "run_id seq kind node_kind func source_local dest_local ptr new_ptr size offset")
 
 
 def provenance(events: DataFrame) -> DataFrame:
     """(run_id, graph_id, node_id, source, kind, func, dest_local, ptr, offset, seq): a node for each event that makes one.
 
     The map from pointers to graphs changes with every event, so a run is one
-    fold in order; runs are independent and spread over the cluster. A pointer
-    that no interval holds opens a graph of its own.
+    fold in order; runs are independent and spread over the cluster. Of a run
+    only the fold's state is held, its events pass in batches. A pointer that no
+    interval holds opens a graph of its own.
     """
-    e = node_kinds(events).filter("node_kind IS NOT NULL")
+    e = node_kinds(events).filter("node_kind IS NOT NULL").select(*_Event._fields)
     run = events.schema["run_id"].dataType.simpleString()
 
-    def fold(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        state, out = _Fold(), []
-        pdf = pdfs.sort_values("seq")
-        for r in pdf.itertuples(index=False):
-            graph, node, source = state.add(r)
-            out.append((r.run_id, graph, node, source, r.node_kind, r.func, r.dest_local, r.ptr, r.offset, r.seq))
-        frame = pd.DataFrame(out, columns=["run_id", "graph_id", "node_id", "source", "kind", "func", "dest_local", "ptr", "offset", "seq"])
-        return frame.astype({c: "Int64" for c in ("source", "dest_local", "offset")})
-
-    return e.groupBy("run_id").applyInPandas(fold, _OUT.format(run=run))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, at = None, None
+        for b in batches:
+            out = []
+            for r in map(_Event._make, zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if state is None or r.run_id != at:
+                    state, at = _Fold(), r.run_id
+                out.append(state.add(r))
+            graph, node, source = (pa.array([x[i] for x in out], pa.int64()) for i in range(3))
+            long = lambda c: b.column(c).cast(pa.int64())  # noqa: E731, B023
+            made = {
+                "run_id": b.column("run_id"), "graph_id": graph, "node_id": node, "source": source, "kind": b.column("node_kind"), "func": b.column("func"),
+                "dest_local": long("dest_local"), "ptr": long("ptr"), "offset": long("offset"), "seq": long("seq"),
+            }
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    return e.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInArrow(fold, _OUT.format(run=run))
 
 
 def locations(nodes: DataFrame) -> DataFrame:

@@ -83,12 +83,19 @@ def unified(nodes: DataFrame, equal: DataFrame) -> DataFrame:
 
 
 def renumbered(nodes: DataFrame, equal: DataFrame) -> DataFrame:
-    """(id, rep, number): classes represented by a global member if there is one, numbered from 0 in order of first id."""
+    """(id, rep, number): classes represented by a global member if there is one, numbered from 0 in order of first id.
+
+    Ranges of first ids are numbered apart and moved by the sizes of those before.
+    """
     comp = components(equal.select("a", "b"))
     named = nodes.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
     reps = named.groupBy("c").agg(F.min(F.struct((~F.col("is_global")).alias("local"), "id")).alias("r"), F.min("id").alias("first"))
-    number = F.dense_rank().over(Window.orderBy("first")) - 1
-    return named.join(reps.withColumn("number", number.cast("long")), "c").select("id", F.col("r.id").alias("rep"), "number")
+    placed = cut(reps.repartitionByRange("first").withColumn("part", F.spark_partition_id()))
+    sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    below = {p: sum(n for q, n in sizes.items() if q < p) for p in sizes}
+    offset = F.create_map(*(F.lit(x).cast("long") for kv in below.items() for x in kv))[F.col("part").cast("long")] if below else F.lit(0)
+    number = F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1 + offset
+    return named.join(placed.withColumn("number", number.cast("long")), "c").select("id", F.col("r.id").alias("rep"), "number")
 
 
 def bounds(variables: DataFrame, at_most: DataFrame, caps: DataFrame) -> DataFrame:

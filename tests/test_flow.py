@@ -168,3 +168,38 @@ def test_repeated_graphs_are_whole_and_few_ids_are_gathered(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [(2, ids(8, 9)), (7, ids(1, 2, 3, 4, 5))]
     plan = got._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_runs_are_folded_in_batches_with_sources_by_destination(spark):
+    n = 400
+    rows = [("r", 0, "Alloc", 100, None, 50, None, 0)]
+    rows += [("r", i, "CopyPtr", 100, None, None, (i - 1) % 3 if i % 5 else 9, i % 3) for i in range(1, n)]
+    rows += [("s", i, "Alloc" if i == 0 else "LoadAddr", 7, None, 1, None, None) for i in range(n)]
+    df = spark.createDataFrame(rows, "run_id string, seq long, kind string, ptr long, new_ptr long, size long, source_local long, dest_local long")
+    df = df.withColumns({"offset": F.lit(0).cast("long"), "func": F.lit("f"), "local": F.lit(0).cast("long")})
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        out = flow.ev.provenance(df)
+        got = {(r.run_id, r.seq): (r.graph_id, r.node_id, r.source) for r in out.collect()}
+        plan = out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(key, before)
+    want, last = {("r", 0): (0, 0, None)}, {0: 0}
+    for i in range(1, n):
+        want["r", i] = (0, i, last.get((i - 1) % 3 if i % 5 else 9, 0))
+        last[i % 3] = i
+    want |= {("s", i): (0, i, None if i == 0 else 0) for i in range(n)}
+    assert got == want
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_classes_are_numbered_without_a_global_window(spark):
+    nodes = spark.createDataFrame([(i, i % 7 == 3) for i in range(600)], "id long, is_global boolean")
+    equal = spark.createDataFrame([(i, i + 300) for i in range(0, 300, 2)], "a long, b long")
+    out = lattice.renumbered(nodes, equal)
+    first = {i: i - 300 if i >= 300 and i % 2 == 0 else i for i in range(600)}
+    number = {f: n for n, f in enumerate(sorted(set(first.values())))}
+    assert {r.id: r.number for r in out.collect()} == {i: number[f] for i, f in first.items()}
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
