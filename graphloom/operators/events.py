@@ -11,9 +11,12 @@ from collections import namedtuple
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.iterate import cut
+
 #: Event kind to node kind; kinds that are absent make no node.
 NODE_KINDS = {
     "Alloc": "Alloc", "Realloc": "Alloc", "Free": "Free", "CopyPtr": "Copy", "CopyRef": "Copy", "Arg": "Copy", "Offset": "Offset", "Project": "Project",
@@ -72,18 +75,19 @@ def owned_paths(nodes: DataFrame) -> DataFrame:
     The way follows the first incoming edge only: ``nodes`` is (graph_id,
     node_id, source, kind) with one source each.
     """
-    from ..plans.iterate import fixpoint
-
-    up = nodes.select(F.col("graph_id").alias("g"), F.col("node_id").alias("n"), F.col("source").alias("next"), F.col("kind").alias("k"))
-    start = nodes.filter("kind IN ('Free', 'Leak')").select("graph_id", F.col("node_id").alias("tail"), F.col("node_id").alias("at"), F.array().cast("array<long>").alias("path"))
-
-    def climb(d: DataFrame) -> DataFrame:
-        j = d.join(up, F.expr("graph_id = g AND at = n")).filter("next IS NOT NULL")
-        seen = F.when(F.col("k") == "Deref", F.col("path")).otherwise(F.concat(F.array(F.col("n").cast("long")), F.col("path")))
-        return j.select("graph_id", "tail", F.col("next").alias("at"), seen.alias("path"))
-
-    ends = fixpoint(start, climb).join(up.filter("k = 'Alloc'"), F.expr("graph_id = g AND at = n")).select("graph_id", "at", "path")
-    one = ends.groupBy("graph_id", F.col("at").alias("allocation")).agg(F.count("*").alias("n"), F.first("path").alias("path"))
+    up = nodes.select("graph_id", F.col("node_id").alias("n"), F.col("source").alias("next"), F.col("kind").alias("k"), (F.col("kind") == "Deref").alias("skip"))
+    own = F.when(F.col("skip"), F.array().cast("array<long>")).otherwise(F.array(F.col("n").cast("long")))
+    # of each node the way up that is known so far: where it stops, and the nodes on it from there down
+    way = cut(up.filter("next IS NOT NULL AND k <> 'Alloc'").select("graph_id", F.col("n").alias("at"), F.col("next").alias("stop"), own.alias("path")))
+    while True:
+        on = way.select("graph_id", F.col("at").alias("stop"), F.col("stop").alias("then"), F.col("path").alias("more"))
+        joined = cut(way.join(on, ["graph_id", "stop"], "left"))
+        if joined.filter("then IS NOT NULL").isEmpty():
+            break
+        way = joined.select("graph_id", "at", F.coalesce("then", "stop").alias("stop"), F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("more", "path")).alias("path"))
+    tails = nodes.filter("kind IN ('Free', 'Leak')").select("graph_id", F.col("node_id").alias("at"))
+    ends = tails.join(way, ["graph_id", "at"]).select("graph_id", F.col("stop").alias("n"), "path").join(up.filter("k = 'Alloc'"), ["graph_id", "n"])
+    one = ends.groupBy("graph_id", F.col("n").alias("allocation")).agg(F.count("*").alias("n"), F.first("path").alias("path"))
     return one.filter("n = 1").drop("n")
 
 
@@ -126,52 +130,61 @@ class _Fold:
             del self.start[bisect_left(self.start, ptr)]
 
     def add(self, e) -> tuple[int, int, int | None]:
-        """A node for an event: a root opens a graph, others hang under the source's node of the graph that the pointer finds."""
+        """A node for an event: a root opens a graph, others hang under the source's node of the graph that the pointer finds.
+
+        The source's node is the last one of that graph whose destination is the
+        event's source, a whole local on both sides, in whatever function; if there
+        is none, the one that the pointer finds.
+        """
         found, floor = self.find(e.ptr)
         if e.node_kind in ROOTS or found is None:
             graph, source = len(self.graph_sizes), None
             self.graph_sizes.append(0)
         else:
             graph, source = found
-            if e.source_local is not None:
-                source = self.by_dest.get((graph, (e.func, e.source_local)), source)
+            if e.source_local is not None and not e.source_path:
+                source = self.by_dest.get((graph, e.source_local), source)
         node = self.graph_sizes[graph]
         self.graph_sizes[graph] += 1
-        if e.dest_local is not None:
-            self.by_dest[graph, (e.func, e.dest_local)] = node
-        self._map(e, (graph, node), found, floor)
+        if e.dest_local is not None and not e.dest_path:
+            self.by_dest[graph, e.dest_local] = node
+        self._map(e, (graph, node))
         return graph, node, source
 
-    def _map(self, e, node: tuple[int, int], found, floor) -> None:
+    def _map(self, e, node: tuple[int, int]) -> None:
+        """What the event says of its kind, whatever node it made: an address of a local taken again is a copy, and still overwrites."""
         size = None if e.size is None else int(e.size)
-        if e.kind in ("Alloc", "Realloc", "AddrOfLocal") and e.node_kind != "Copy":
+        if e.kind in ("Alloc", "Realloc", "AddrOfLocal"):
             self.put(e.new_ptr if e.kind == "Realloc" else e.ptr, node, size)
         elif e.kind == "AddrOfSized":
             if e.ptr not in self.entry:
                 self.put(e.ptr, node, size)
         elif e.kind == "Free":
             self.drop(e.ptr)
-        elif e.node_kind in ("Copy", "Offset", "Project"):
-            ptr = e.ptr if e.node_kind == "Copy" or e.new_ptr is None else e.new_ptr
+        elif e.kind in ("CopyPtr", "Offset", "Project"):
+            ptr = e.ptr if e.kind == "CopyPtr" or e.new_ptr is None else e.new_ptr
             hit, floor = self.find(ptr)
             unsized = floor is not None and self.entry[floor][2] is None
-            if hit is None and (floor is None or unsized or e.node_kind == "Copy"):
+            if hit is None and (floor is None or unsized or e.kind == "CopyPtr"):
                 self.put(ptr, node, None)
 
 
-_OUT = "run_id {run}, graph_id long, node_id long, source long, kind string, func string, dest_local long, ptr long, offset long, seq long"
-_Event = namedtuple("_Event", "run_id seq kind node_kind func source_local dest_local ptr new_ptr size offset")
+_OUT = "run_id {run}, graph_id long, node_id long, source long, kind string, func string, dest_local long, ptr long, is_null boolean, offset long, seq long"
+_Event = namedtuple("_Event", "run_id seq kind node_kind func source_local dest_local ptr new_ptr size offset source_path dest_path")
 
 
 def provenance(events: DataFrame) -> DataFrame:
-    """(run_id, graph_id, node_id, source, kind, func, dest_local, ptr, offset, seq): a node for each event that makes one.
+    """(run_id, graph_id, node_id, source, kind, func, dest_local, ptr, is_null, offset, seq): a node for each event that makes one.
 
     The map from pointers to graphs changes with every event, so a run is one
     fold in order; runs are independent and spread over the cluster. Of a run
     only the fold's state is held, its events pass in batches. A pointer that no
-    interval holds opens a graph of its own.
+    interval holds opens a graph of its own. ``source_path`` and ``dest_path``
+    are the fields of a place's local that are meant; without these columns
+    places are whole locals.
     """
-    e = node_kinds(events).filter("node_kind IS NOT NULL").select(*_Event._fields)
+    whole = {c: F.array().cast("array<int>") for c in ("source_path", "dest_path") if c not in events.columns}
+    e = node_kinds(events).filter("node_kind IS NOT NULL").withColumns(whole).select(*_Event._fields)
     run = events.schema["run_id"].dataType.simpleString()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +199,7 @@ def provenance(events: DataFrame) -> DataFrame:
             long = lambda c: b.column(c).cast(pa.int64())  # noqa: E731, B023
             made = {
                 "run_id": b.column("run_id"), "graph_id": graph, "node_id": node, "source": source, "kind": b.column("node_kind"), "func": b.column("func"),
-                "dest_local": long("dest_local"), "ptr": long("ptr"), "offset": long("offset"), "seq": long("seq"),
+                "dest_local": long("dest_local"), "ptr": long("ptr"), "is_null": pc.fill_null(pc.equal(long("ptr"), 0), False), "offset": long("offset"), "seq": long("seq"),
             }
             yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
@@ -194,6 +207,27 @@ def provenance(events: DataFrame) -> DataFrame:
 
 
 def locations(nodes: DataFrame) -> DataFrame:
-    """Append node_block and node_stmt: an argument's node stands at the start of the callee, others where their event does."""
+    """Append node_func, node_block and node_stmt: an argument's node stands at the start of the callee, others where their event does.
+
+    ``nodes`` has func, block, stmt, transfer (null, Arg or Ret) and transfer_func.
+    """
     moved = F.coalesce(F.col("transfer") == "Arg", F.lit(False))
-    return nodes.withColumns({"node_block": F.when(moved, 0).otherwise(F.col("block")), "node_stmt": F.when(moved, 0).otherwise(F.col("stmt"))})
+    at = {"node_func": F.col("transfer_func"), "node_block": F.lit(0), "node_stmt": F.lit(0)}
+    return nodes.withColumns({c: F.when(moved, v).otherwise(F.col(c.removeprefix("node_"))) for c, v in at.items()})
+
+
+def chains(events: DataFrame) -> DataFrame:
+    """(run_id, ptr, alloc_seq, place, seq, kind): the events of each allocation in order, from its own to its free, else to Done.
+
+    ``events`` is (run_id, seq, kind, ptr) with the base pointer of the allocation
+    that an event is about. Events of no live allocation are left out. The end of a
+    run closes what is left over, with a null seq.
+    """
+    order = Window.partitionBy("run_id", "ptr").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.last(F.when(F.col("kind").isin("Alloc", "Free"), F.struct("kind", "seq")), ignorenulls=True)
+    e = events.withColumns({"now": state.over(order), "was": state.over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    mine = F.when(F.col("kind") == "Free", F.when(F.col("was.kind") == "Alloc", F.col("was.seq"))).otherwise(F.when(F.col("now.kind") == "Alloc", F.col("now.seq")))
+    e = e.withColumn("alloc_seq", mine).filter("alloc_seq IS NOT NULL").select("run_id", "ptr", "alloc_seq", "seq", "kind")
+    left = lifetimes(events).filter("leaked").select("run_id", "ptr", "alloc_seq", F.lit(None).cast(events.schema["seq"].dataType).alias("seq"), F.lit("Done").alias("kind"))
+    place = F.row_number().over(Window.partitionBy("run_id", "ptr", "alloc_seq").orderBy(F.asc_nulls_last("seq"))) - 1
+    return e.union(left).withColumn("place", place).select("run_id", "ptr", "alloc_seq", "place", "seq", "kind")

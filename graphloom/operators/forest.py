@@ -1,7 +1,7 @@
 """Queries on provenance forests: nodes (graph_id, node_id, source, kind, field, offset), source < node_id, roots without source.
 
-Ancestry goes upward from the few nodes that decide something, so the pairs
-made follow depth, not the square of a graph's size.
+Ancestry goes by doubling: each node meets its ancestor 1, 2, 4, ... steps above, so
+rounds grow as the logarithm of the depth and no pairs of nodes are stored.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import cut, fixpoint, until_stable
+from ..plans.iterate import below, cut, over_subtrees
 
 KEY = ["graph_id", "node_id"]
 #: What a node counts as, for the four flows.
@@ -17,12 +17,9 @@ LOADS = ("LoadAddr", "LoadValue")
 STORES = ("StoreAddr", "StoreValue")
 
 
-_ON = "graph_id = g AND node_id = n"
-
-
-def _upward(nodes: DataFrame) -> DataFrame:
-    """(g, n, s): each node with its source, under names of their own."""
-    return nodes.filter("source IS NOT NULL").select(F.col("graph_id").alias("g"), F.col("node_id").alias("n"), F.col("source").alias("s"))
+def _parents(nodes: DataFrame) -> DataFrame:
+    """(graph_id, id, up): each node with its source."""
+    return nodes.filter("source IS NOT NULL").select("graph_id", F.col("node_id").alias("id"), F.col("source").alias("up"))
 
 
 def flows(kind: Column, offset: Column) -> dict[str, Column]:
@@ -37,10 +34,9 @@ def flows(kind: Column, offset: Column) -> dict[str, Column]:
 
 def ancestors_of(nodes: DataFrame, want: Column, itself: bool = True) -> DataFrame:
     """(graph_id, node_id) of the matching nodes' ancestors, distinct; with the nodes themselves or without."""
-    up = cut(_upward(nodes))
-    above = lambda d: d.join(up, F.expr(_ON)).select("graph_id", F.col("s").alias("node_id"))
-    start = nodes.filter(want).select(*KEY)
-    return fixpoint(start if itself else above(start), above)
+    start = nodes.filter(want)
+    seed = start.select("graph_id", F.col("node_id").alias("id")) if itself else start.filter("source IS NOT NULL").select("graph_id", F.col("source").alias("id"))
+    return over_subtrees(_parents(nodes), seed.distinct(), ["graph_id"], {}).select("graph_id", F.col("id").alias("node_id"))
 
 
 def needs_write(nodes: DataFrame) -> DataFrame:
@@ -50,14 +46,8 @@ def needs_write(nodes: DataFrame) -> DataFrame:
 
 def last_descendants(nodes: DataFrame) -> DataFrame:
     """(graph_id, node_id, last_desc): the largest id in each node's subtree, itself included."""
-    up = cut(_upward(nodes))
-    seed = nodes.select(*KEY, F.col("node_id").alias("last_desc"))
-
-    def step(s: DataFrame) -> DataFrame:
-        pushed = s.join(up, F.expr(_ON)).select("graph_id", F.col("s").alias("node_id"), "last_desc")
-        return s.union(pushed).groupBy(*KEY).agg(F.max("last_desc").alias("last_desc"))
-
-    return until_stable(seed, step)
+    seed = nodes.select("graph_id", F.col("node_id").alias("id"), F.col("node_id").alias("last_desc"))
+    return over_subtrees(_parents(nodes), seed, ["graph_id"], {"last_desc": F.max}).withColumnRenamed("id", "node_id").select(*KEY, "last_desc")
 
 
 def flow_nodes(nodes: DataFrame) -> DataFrame:
@@ -65,35 +55,45 @@ def flow_nodes(nodes: DataFrame) -> DataFrame:
 
     A node that has the flow itself takes its own id; else it takes the value of
     its direct child of the highest id whose subtree has one. This is neither
-    the largest nor any such id.
+    the largest nor any such id. Which subtrees have a flow is found first; then
+    each node points to itself or to that child, and pointers are followed by doubling.
     """
     each = nodes.select(*KEY, "source", F.explode(F.array(*(F.struct(F.lit(n).alias("flow"), c.alias("own")) for n, c in flows(F.col("kind"), F.col("offset")).items()))).alias("x"))
-    each = cut(each.select(*KEY, "source", "x.flow", "x.own"))
-    up = cut(_upward(nodes))
-    seed = each.filter("own").select(*KEY, "flow", F.col("node_id").alias("via"), F.col("node_id").alias("value"), F.lit(True).alias("own"))
-
-    def step(s: DataFrame) -> DataFrame:
-        pushed = s.join(up, F.expr(_ON)).select("graph_id", F.col("s").alias("node_id"), "flow", F.col("n").alias("via"), "value", F.lit(False).alias("own"))
-        best = F.max_by(F.struct("via", "value", "own"), F.struct("own", "via"))
-        return s.filter("own").union(pushed).groupBy(*KEY, "flow").agg(best.alias("b")).select(*KEY, "flow", "b.via", "b.value", "b.own")
-
-    found = until_stable(seed, step).groupBy(*KEY).pivot("flow", ["load", "store", "pos_offset", "neg_offset"]).agg(F.max("value"))
+    own = cut(each.filter("x.own").select("graph_id", "x.flow", F.col("node_id").alias("id")))
+    # one forest for each flow that a graph has, so that all go in one run
+    parents = _parents(nodes).join(own.select("graph_id", "flow").distinct(), "graph_id").select("graph_id", "flow", "id", "up")
+    parents = cut(parents)
+    has = over_subtrees(parents, own, ["graph_id", "flow"], {})
+    best = has.join(parents, ["graph_id", "flow", "id"]).groupBy("graph_id", "flow", F.col("up").alias("id")).agg(F.max("id").alias("to"))
+    at = cut(best.join(own, ["graph_id", "flow", "id"], "left_anti").select("graph_id", "flow", "id", "to"))
+    ends = cut(own.select("graph_id", "flow", "id", F.col("id").alias("value")))
+    while not at.isEmpty():
+        onward = ends.select("graph_id", "flow", F.col("id").alias("to"), "value")
+        ends = cut(ends.union(at.join(onward, ["graph_id", "flow", "to"]).select("graph_id", "flow", "id", "value")))
+        further = at.select("graph_id", "flow", F.col("id").alias("to"), F.col("to").alias("then"))
+        at = cut(at.join(further, ["graph_id", "flow", "to"]).select("graph_id", "flow", "id", F.col("then").alias("to")))
+    found = ends.groupBy("graph_id", F.col("id").alias("node_id")).pivot("flow", ["load", "store", "pos_offset", "neg_offset"]).agg(F.max("value"))
     return nodes.select(*KEY).join(found, KEY, "left")
 
 
 def collapsed_children(nodes: DataFrame) -> DataFrame:
     """(graph_id, node_id, parent, path) of the nodes that are no projections, under their nearest such ancestor.
 
-    path is the fields of the projections passed, from the parent down.
+    path is the fields of the projections passed, from the parent down. A root is
+    no projection here, whatever its kind. Runs of projections are put together
+    by doubling.
     """
-    proj = cut(nodes.filter("kind = 'Project'").select(F.col("graph_id").alias("g"), F.col("node_id").alias("p"), F.col("source").alias("up"), "field"))
-    start = nodes.filter("kind <> 'Project'").select(*KEY, F.col("source").alias("at"), F.array().cast("array<int>").alias("path"))
-
-    def climb(d: DataFrame) -> DataFrame:
-        return d.join(proj, F.expr("graph_id = g AND at = p")).select("graph_id", "node_id", F.col("up").alias("at"), F.concat("field", "path").alias("path"))
-
-    every = fixpoint(start, climb)
-    return every.join(proj.select("g", "p"), F.expr("graph_id = g AND at = p"), "left_anti").select(*KEY, F.col("at").alias("parent"), "path")
+    proj = nodes.filter("kind = 'Project' AND source IS NOT NULL").select("graph_id", F.col("node_id").alias("p"), F.col("source").alias("up"), "field")
+    name = lambda d, s: d.select("graph_id", F.col("p").alias("up"), F.col("up").alias(f"{s}_up"), F.col("field").alias(f"{s}_field"))
+    proj = cut(proj)
+    open_ = proj.join(name(proj, "o"), ["graph_id", "up"], "left_semi")
+    while not open_.isEmpty():
+        proj = cut(proj.join(name(proj, "o"), ["graph_id", "up"], "left").select("graph_id", "p", F.when(F.col("o_field").isNotNull(), F.col("o_up")).otherwise(F.col("up")).alias("up"), F.concat(F.coalesce("o_field", F.array().cast("array<int>")), "field").alias("field")))
+        open_ = proj.join(name(proj, "o"), ["graph_id", "up"], "left_semi")
+    rest = nodes.filter("kind <> 'Project' OR source IS NULL").select(*KEY, F.col("source").alias("up"))
+    out = rest.join(name(proj, "o"), ["graph_id", "up"], "left")
+    hit = F.col("o_field").isNotNull()
+    return out.select(*KEY, F.when(hit, F.col("o_up")).otherwise(F.col("up")).alias("parent"), F.when(hit, F.col("o_field")).otherwise(F.array().cast("array<int>")).alias("path"))
 
 
 def aliases(a: Column, b: Column) -> Column:
@@ -115,9 +115,7 @@ def unique_nodes(nodes: DataFrame) -> DataFrame:
     seen = kids.withColumnsRenamed({"path": "other"}).join(pairs, ["graph_id", "parent", "other"])
     before = Window.partitionBy("graph_id", "parent", "path").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     busy = seen.withColumn("busy", F.max("last_desc").over(before)).filter("other = path AND busy > node_id").select("graph_id", F.col("parent").alias("node_id"))
-    down = _upward(nodes)
-    below = lambda d: d.join(down, F.expr("graph_id = g AND node_id = s")).select("graph_id", F.col("n").alias("node_id"))
-    bad = fixpoint(busy, below).withColumn("bad", F.lit(True))
+    bad = below(_parents(nodes), busy.withColumnRenamed("node_id", "id"), ["graph_id"]).select("graph_id", F.col("id").alias("node_id"), F.lit(True).alias("bad"))
     return nodes.select(*KEY).join(bad, KEY, "left").select(*KEY, F.col("bad").isNull().alias("unique"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import components, cut, fixpoint, until_stable
+from ..plans.iterate import along, components, cut, fixpoint, numbered, pushed
 
 #: Permission bits.
 READ, WRITE, UNIQUE, LINEAR, OFFSET_ADD, OFFSET_SUB, FREE, NON_NULL, HEAP, STACK = (1 << i for i in range(10))
@@ -18,54 +18,66 @@ def _and(a: Column, b: Column | int) -> Column:
     return a.bitwiseAND(b)
 
 
-def propagate(pointers: DataFrame, subsets: DataFrame, cap: int = 1000) -> DataFrame:
-    """Permission bits at the fixpoint.
+def propagate(pointers: DataFrame, subsets: DataFrame, constraints: DataFrame | None = None) -> DataFrame:
+    """(id, perms): permission bits at the fixpoint.
 
-    ``pointers`` is (id, perms, forbidden), ``subsets`` (a, b, except_mask): b's
-    value flows from a. What b lacks of the DOWN bits, a loses; what b has of
-    the UP bits, a gains; if a has FREE and b an offset, a gains that offset.
+    ``pointers`` is (id, perms, forbidden), ``subsets`` (a, b, except_mask): what a
+    points to, b may point to. What b lacks of the DOWN bits, a loses; what a has
+    of the UP bits, b gains; if a has FREE and b an offset, a gains that offset.
     LINEAR does not move. Masked bits are left out of a constraint, forbidden
-    bits keep their first value. Both kinds are monotone, so order is no matter.
+    bits keep their first value. Bits of UP only come and bits of DOWN only go, so
+    the order of constraints is no matter, and pointers that changed in a round
+    are the only ones whose constraints are looked at in the next.
+
+    ``constraints`` (id, kind, mask) set bits (all_perms) and clear bits (no_perms)
+    first; that the flow brings back what they took is an error, as no values satisfy both.
     """
-    first = pointers.select("id", F.coalesce("forbidden", F.lit(0)).alias("f"), F.col("perms").alias("old"))
-
-    def step(state: DataFrame) -> DataFrame:
-        b = state.select(F.col("id").alias("b"), F.col("perms").alias("pb"))
-        down = _and(F.bitwise_not("pb"), DOWN)
-        said = subsets.join(b, "b").select(
-            F.col("a").alias("id"),
-            _and(down, F.bitwise_not(F.coalesce("except_mask", F.lit(0)))).alias("lose"),
-            _and(_and(F.col("pb"), UP), F.bitwise_not(F.coalesce("except_mask", F.lit(0)))).alias("gain"),
-        )
-        free = subsets.join(b, "b").join(state.select(F.col("id").alias("a"), F.col("perms").alias("pa")), "a").filter(_and(F.col("pa"), FREE) != 0)
-        extra = free.select(F.col("a").alias("id"), F.lit(0).alias("lose"), _and(F.col("pb"), OFFSETS).alias("gain"))
-        per = said.union(extra).groupBy("id").agg(F.bit_or("lose").alias("lose"), F.bit_or("gain").alias("gain"))
-        new = state.join(per, "id", "left").join(first, "id")
+    first = pointers.select("id", F.col("perms").cast("int").alias("perms"), F.coalesce("forbidden", F.lit(0)).cast("int").alias("f"))
+    if constraints is not None:
+        said = cut(constraints.groupBy("id").agg(*(F.bit_or(F.when(F.col("kind") == k, F.col("mask")).otherwise(0)).cast("int").alias(k) for k in ("all_perms", "no_perms"))))
+        given = _and(F.col("perms").bitwiseOR(F.coalesce("all_perms", F.lit(0))), F.bitwise_not(F.coalesce("no_perms", F.lit(0))))
+        kept = _and(given, F.bitwise_not("f")).bitwiseOR(_and(F.col("perms"), F.col("f")))
+        first = first.join(said, "id", "left").select("id", kept.alias("perms"), "f")
+    edges = cut(subsets.select("a", "b", F.bitwise_not(F.coalesce("except_mask", F.lit(0)).cast("int")).alias("mask")).repartition("a"))
+    state = cut(first)
+    touched = edges
+    while True:
+        value = lambda n: state.select(F.col("id").alias(n), F.col("perms").alias(f"p{n}"))  # noqa: E731, B023
+        both = touched.join(value("a"), "a").join(value("b"), "b")
+        offsets = F.when(_and(F.col("pa"), FREE) != 0, _and(F.col("pb"), OFFSETS)).otherwise(0)
+        to_a = F.struct(F.col("a").alias("id"), _and(F.bitwise_not("pb"), _and(F.col("mask"), DOWN)).alias("lose"), _and(offsets, F.col("mask")).alias("gain"))
+        to_b = F.struct(F.col("b").alias("id"), F.lit(0).alias("lose"), _and(F.col("pa"), _and(F.col("mask"), UP)).alias("gain"))
+        per = both.select(F.explode(F.array(to_a, to_b)).alias("x")).select("x.*").groupBy("id").agg(F.bit_or("lose").alias("lose"), F.bit_or("gain").alias("gain"))
         moved = _and(F.col("perms").bitwiseOR(F.coalesce("gain", F.lit(0))), F.bitwise_not(F.coalesce("lose", F.lit(0))))
-        return new.select("id", _and(moved, F.bitwise_not("f")).bitwiseOR(_and(F.col("old"), F.col("f"))).cast("int").alias("perms"))
-
-    return until_stable(pointers.select("id", F.col("perms").cast("int").alias("perms")), step, cap)
-
-
-def constrained(pointers: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Bits given outright: (id, kind, mask) rows of kind all_perms are set, of kind no_perms cleared."""
-    per = constraints.groupBy("id").agg(*(F.bit_or(F.when(F.col("kind") == k, F.col("mask")).otherwise(0)).alias(k) for k in ("all_perms", "no_perms")))
-    value = _and(F.col("perms").bitwiseOR(F.coalesce("all_perms", F.lit(0))), F.bitwise_not(F.coalesce("no_perms", F.lit(0))))
-    return pointers.join(per, "id", "left").select("id", value.cast("int").alias("perms"))
+        new = _and(moved, F.bitwise_not("f")).bitwiseOR(_and(F.col("perms"), F.col("f")))
+        state = cut(state.join(per, "id", "left").select("id", new.alias("perms"), "f", (new != F.col("perms")).alias("changed")))
+        dirty = state.filter("changed").select("id")
+        if dirty.isEmpty():
+            break
+        touched = edges.join(dirty, edges["a"] == dirty["id"], "left_semi").union(edges.join(dirty, edges["b"] == dirty["id"], "left_semi")).distinct()
+    if constraints is None:
+        return state.select("id", "perms")
+    broken = _and(_and(F.col("perms"), F.col("no_perms")).bitwiseOR(_and(F.bitwise_not("perms"), F.col("all_perms"))), F.bitwise_not("f")) != 0
+    ok = F.assert_true(~F.coalesce(broken, F.lit(False)), F.lit("constraints contradict each other"))
+    return state.join(said, "id", "left").filter(F.coalesce(ok.cast("boolean"), F.lit(True))).select("id", "perms")
 
 
 def cells(pointers: DataFrame, subsets: DataFrame) -> DataFrame:
-    """(id) of pointers that need a cell: seeded where WRITE is there without UNIQUE, spread both ways, never into WRITE with UNIQUE."""
-    both = subsets.select("a", "b").union(subsets.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """(id) of pointers that need a cell: seeded where WRITE is there without UNIQUE, spread both ways over subsets (a, b).
+
+    b does not keep a flag that comes from a if b has WRITE with UNIQUE; a takes
+    b's flag whatever its own bits are, and passes it on to what flows into it.
+    """
     w, u = _and(F.col("perms"), WRITE) != 0, _and(F.col("perms"), UNIQUE) != 0
     shut = pointers.filter(w & u).select(F.col("id").alias("b"))
-    e = cut(both.join(shut, "b", "left_anti"))
+    e = cut(subsets.select("a", "b").join(shut, "b", "left_anti").select("a", "b").union(subsets.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     return fixpoint(pointers.filter(w & ~u).select("id"), lambda d: d.join(e, F.expr("id = a")).select(F.col("b").alias("id")))
 
 
 def pointees(seeds: DataFrame, subsets: DataFrame) -> DataFrame:
     """(id, type) with types pushed along Subset(p, q) from p to q."""
-    return fixpoint(seeds.select("id", "type"), lambda d: d.join(subsets, F.expr("id = p")).select(F.col("q").alias("id"), "type"))
+    e = cut(subsets.select("p", "q"))
+    return fixpoint(seeds.select("id", "type"), lambda d: d.join(e, F.expr("id = p")).select(F.col("q").alias("id"), "type"))
 
 
 def sole_types(types: DataFrame) -> DataFrame:
@@ -83,63 +95,67 @@ def unified(nodes: DataFrame, equal: DataFrame) -> DataFrame:
 
 
 def renumbered(nodes: DataFrame, equal: DataFrame) -> DataFrame:
-    """(id, rep, number): classes represented by a global member if there is one, numbered from 0 in order of first id.
-
-    Ranges of first ids are numbered apart and moved by the sizes of those before.
-    """
+    """(id, rep, number): classes represented by a global member if there is one, numbered from 0 in order of first id."""
     comp = components(equal.select("a", "b"))
-    named = nodes.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    named = cut(nodes.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")))
     reps = named.groupBy("c").agg(F.min(F.struct((~F.col("is_global")).alias("local"), "id")).alias("r"), F.min("id").alias("first"))
-    placed = cut(reps.repartitionByRange("first").withColumn("part", F.spark_partition_id()))
-    sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    below = {p: sum(n for q, n in sizes.items() if q < p) for p in sizes}
-    offset = F.create_map(*(F.lit(x).cast("long") for kv in below.items() for x in kv))[F.col("part").cast("long")] if below else F.lit(0)
-    number = F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1 + offset
-    return named.join(placed.withColumn("number", number.cast("long")), "c").select("id", F.col("r.id").alias("rep"), "number")
+    return named.join(numbered(reps, "first", "number"), "c").select("id", F.col("r.id").alias("rep"), "number")
 
 
-def bounds(variables: DataFrame, at_most: DataFrame, caps: DataFrame) -> DataFrame:
-    """(id, low, high) over an ordered lattice of integers: low is the largest start that reaches id, high the smallest cap that id reaches.
+def bounds(variables: DataFrame, at_most: DataFrame, caps: DataFrame, top: int = 2, mins: DataFrame | None = None) -> DataFrame:
+    """(id, low, high) over an ordered lattice from 0 to ``top``: low is the largest start that reaches id, high the smallest cap that id reaches, else ``top``.
 
-    ``at_most`` is (a, b) for a <= b.
+    ``at_most`` is (a, b) for a <= b; ``mins`` is (id, part) for a variable that
+    is the least of its parts, and so at most each of them. What is at most such a
+    variable is at most all parts; that the variable reaches one of its parts
+    from below is not concluded, so its low may be lower than it need be.
     """
-    def push(seed: DataFrame, src: str, dst: str, agg) -> DataFrame:
-        e = at_most.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-        step = lambda s: s.union(s.join(e, F.expr("id = u")).select(F.col("v").alias("id"), "x")).groupBy("id").agg(agg("x").alias("x"))
-        return until_stable(seed, step)
+    e = at_most.select("a", "b")
+    if mins is not None:
+        e = e.union(mins.select("id", "part"))
+    low = pushed(variables.select("id", F.coalesce("low", F.lit(0)).cast("long").alias("low")), along(e.select(F.col("a").alias("id"), F.col("b").alias("to_id")), ["id"]), ["id"], {"low": F.max})
+    high = pushed(caps.select("id", F.col("cap").cast("long").alias("high")), along(e.select(F.col("b").alias("id"), F.col("a").alias("to_id")), ["id"]), ["id"], {"high": F.min})
+    return variables.select("id").join(low, "id").join(high, "id", "left").select("id", "low", F.coalesce("high", F.lit(top)).cast("long").alias("high"))
 
-    low = push(variables.select("id", F.col("low").alias("x")), "a", "b", F.max).withColumnRenamed("x", "low")
-    high = push(variables.select("id").join(caps.select("id", F.col("cap").alias("x")), "id"), "b", "a", F.min).withColumnRenamed("x", "high")
-    return variables.select("id").join(low, "id").join(high, "id", "left")
 
+def recent_writes(statements: DataFrame, entry: DataFrame | None = None) -> DataFrame:
+    """Append ``write``: the last statement strictly before that wrote the place, null if none did or several may have.
 
-def recent_writes(statements: DataFrame) -> DataFrame:
-    """Append ``write``: the last statement of the same block strictly before that wrote the place; null at the block's start.
-
-    ``statements`` is (func, block, place, stmt, writes, partial); a partial write leaves none.
+    ``statements`` is (func, block, place, stmt, writes, partial). A write of the same
+    block counts first; a partial one leaves none. Before a block's first write
+    the state at its start counts: ``entry`` is (func, block, place, low, high) from
+    ``block_entry_writes``; without it a block starts unwritten.
     """
     before = Window.partitionBy("func", "block", "place").orderBy("stmt").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("writes"), F.struct("stmt", "partial")), ignorenulls=True).over(before)
-    return statements.withColumn("w", last).withColumn("write", F.when(~F.col("w.partial"), F.col("w.stmt"))).drop("w")
+    own = F.when(~F.col("w.partial"), F.col("w.stmt"))
+    if entry is None:
+        return statements.withColumn("w", last).withColumn("write", own).drop("w")
+    one = entry.filter("low = high").select("func", "block", "place", F.col("low").alias("__entry__"))
+    out = statements.withColumn("w", last).join(one, ["func", "block", "place"], "left")
+    return out.select(*statements.columns, F.when(F.col("w").isNull(), F.col("__entry__")).otherwise(own).alias("write"))
 
 
-def block_entry_writes(blocks: DataFrame, edges: DataFrame, cap: int = 1000) -> DataFrame:
-    """(block, place, low, high): writes that may reach a block's start; equal for one, different for several.
+def last_writes(statements: DataFrame) -> DataFrame:
+    """(func, block, place, low, high) at a block's end, of places that it writes: the last write; low and high differ if it is partial."""
+    last = statements.filter("writes").groupBy("func", "block", "place").agg(F.max(F.struct("stmt", "partial")).alias("w"))
+    several = lambda side: F.when(F.col("w.partial"), F.lit(side).cast("long")).otherwise(F.col("w.stmt"))
+    return last.select("func", "block", "place", several(-2).alias("low"), several(-1).alias("high"))
 
-    ``blocks`` is (block, place, gen): the last write inside, null if none. A
-    block that writes passes its own write on, others what they get.
-    """
-    seed = blocks.filter("gen IS NOT NULL").select("block", "place", F.col("gen").alias("low"), F.col("gen").alias("high"), F.lit("out").alias("side"))
-    through = blocks.filter("gen IS NULL").select(F.col("block").alias("b2"), F.col("place").alias("p2"))
 
-    def step(s: DataFrame) -> DataFrame:
-        out = s.filter("side = 'out'")
-        into = out.join(edges, F.expr("block = src")).select(F.col("dst").alias("block"), "place", "low", "high", F.lit("in").alias("side"))
-        into = s.filter("side = 'in'").unionByName(into)
-        passed = into.join(through, (F.col("block") == F.col("b2")) & (F.col("place") == F.col("p2")), "left_semi").withColumn("side", F.lit("out"))
-        return out.unionByName(into).unionByName(passed).groupBy("block", "place", "side").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("block", "place", "low", "high", "side")
+def block_entry_writes(statements: DataFrame, edges: DataFrame) -> DataFrame:
+    """(func, block, place, low, high): writes that may reach a block's start; equal for one, different for several.
 
-    return until_stable(seed, step, cap).filter("side = 'in'").drop("side")
+    A block that writes a place passes its own last write on (several, if that
+    is partial), others what they get. ``edges`` is (func, src, dst). States
+    are joined as smallest and largest write, so no set of writes is kept.
+    """
+    gen = cut(last_writes(statements))
+    hop = along(edges.select("func", F.col("src").alias("block"), F.col("dst").alias("to_block")), ["func", "block"])
+    own = gen.select("func", "block", "place")
+    through = lambda d: hop(d.join(own, ["func", "block", "place"], "left_anti"))
+    start = hop(gen).groupBy("func", "block", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return pushed(start, through, ["func", "block", "place"], {"low": F.min, "high": F.max})
 
 
 def last_uses(uses: DataFrame, live_out: DataFrame) -> DataFrame:
@@ -155,17 +171,28 @@ def last_uses(uses: DataFrame, live_out: DataFrame) -> DataFrame:
 
 def live_in(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """(block, local) live at a block's start: used before any definition there, or live at a successor's start and not defined."""
-    kill = blocks.filter("defines").select(F.col("block").alias("kb"), F.col("local").alias("kl"))
+    kill = cut(blocks.filter("defines").select(F.col("block").alias("kb"), F.col("local").alias("kl")))
+    hop = cut(edges.select("src", "dst"))
 
     def step(d: DataFrame) -> DataFrame:
-        back = d.join(edges, F.expr("block = dst")).select(F.col("src").alias("block"), "local")
+        back = d.join(hop, F.expr("block = dst")).select(F.col("src").alias("block"), "local")
         return back.join(kill, (F.col("block") == F.col("kb")) & (F.col("local") == F.col("kl")), "left_anti")
 
     return fixpoint(blocks.filter("uses_first").select("block", "local"), step)
 
 
+def live_out(live: DataFrame, edges: DataFrame) -> DataFrame:
+    """(block, local) live at a block's end: live at the start of a successor."""
+    return live.join(edges, F.expr("block = dst")).select(F.col("src").alias("block"), "local").distinct()
+
+
 def refined(pointers: DataFrame, subsets: DataFrame, loans, cap: int = 20) -> DataFrame:
-    """Permissions after outer rounds: ``loans(frame)`` names pointers that must lose UNIQUE; an error after ``cap`` rounds."""
+    """Permissions after outer rounds: ``loans(frame)`` names pointers that must lose UNIQUE; an error after ``cap`` rounds.
+
+    The constraints of all functions are one table, so a round settles every
+    function and what they share at once; the values are those of going through
+    the functions in turn until the shared part no longer changes.
+    """
     state = propagate(pointers, subsets)
     for _ in range(cap):
         bad = loans(state).select("id").join(state.filter(_and(F.col("perms"), UNIQUE) != 0), "id", "left_semi").distinct()

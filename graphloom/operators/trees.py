@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import fixpoint
+from ..plans.iterate import below, cut, over_subtrees
 
 #: Kinds that the general kind holds.
 ITEM_LIKE = ("item", "trait_item", "impl_item", "foreign_item")
@@ -27,6 +27,37 @@ def is_kind(kind: str) -> Column:
     return truth(F.col("kind").isin(*ITEM_LIKE) if kind == "itemlike" else F.col("kind") == kind)
 
 
+#: Names of kinds of nodes and of items (fixed values); a name in both lists stands for the node's kind. ``arg`` is ``param``.
+NODE_KINDS = ("any", "itemlike", "item", "trait_item", "impl_item", "foreign_item", "stmt", "expr", "pat", "ty", "param", "arg", "field")
+ITEM_KINDS = (
+    "extern_crate", "use", "static", "const", "fn", "mod", "foreign_mod", "inline_asm", "ty", "opaquety", "enum",
+    "struct", "union", "trait", "trait_alias", "impl", "mac", "macro_def",
+)
+
+
+def is_item_kind(kind: str) -> Column:
+    return truth(F.col("item_kind") == kind)
+
+
+def is_named_kind(name: str) -> Column:
+    """The test that a bare name stands for."""
+    if name in NODE_KINDS:
+        return is_kind("param" if name == "arg" else name)
+    if name in ITEM_KINDS:
+        return is_item_kind(name)
+    raise ValueError(f"{name} is neither a kind of node nor of item")
+
+
+def is_public() -> Column:
+    """False where a node has no visibility."""
+    return truth(F.col("vis") == "pub")
+
+
+def is_mutable() -> Column:
+    """False where mutability does not apply."""
+    return truth(F.col("mutbl") == "mut")
+
+
 def name_is(pattern: str) -> Column:
     """The whole name matches; a node without a name does not."""
     return truth(F.col("name").rlike(f"^(?:{pattern})$"))
@@ -63,11 +94,15 @@ def child(selection: DataFrame, nodes: DataFrame, want: Column) -> DataFrame:
     return nodes.filter(want).join(s, nodes["parent"] == s["sel"], "left_semi").select("id").distinct()
 
 
+def _parents(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("parent IS NOT NULL").select("id", F.col("parent").alias("up"))
+
+
 def descendants(selection: DataFrame, nodes: DataFrame) -> DataFrame:
     """All strict descendants; a selected node is one only below another selected node."""
-    e = nodes.select(F.col("id").alias("kid"), F.col("parent").alias("above"))
-    below = lambda d: d.join(e, F.col("id") == F.col("above")).select(F.col("kid").alias("id"))
-    return fixpoint(below(selection.select("id")), below)
+    up = cut(_parents(nodes))
+    kids = up.join(selection.select(F.col("id").alias("up")), "up", "left_semi").select("id")
+    return below(up, kids, [])
 
 
 def desc(selection: DataFrame, nodes: DataFrame, want: Column) -> DataFrame:
@@ -95,19 +130,25 @@ def with_child_tests(nodes: DataFrame, want: Column) -> DataFrame:
 def with_desc_tests(nodes: DataFrame, want: Column) -> DataFrame:
     """Append any_desc and every_desc for a predicate.
 
-    Pairs are followed upward from the nodes that match, and from those that do
-    not, so no pair is made that decides nothing.
+    Both kinds of nodes, those that match and those that do not, are counted over
+    subtrees in one run.
     """
-    up = nodes.select(F.col("id").alias("n"), "parent")
+    up = cut(_parents(nodes))
+    hit = F.coalesce(want, F.lit(False))
+    seed = nodes.select("id", hit.alias("some"), (~hit).alias("other")).join(up, "id").groupBy(F.col("up").alias("id")).agg(F.bool_or("some").alias("some"), F.bool_or("other").alias("other"))
+    found = over_subtrees(up, seed, [], {"some": F.bool_or, "other": F.bool_or})
+    out = nodes.join(found.withColumnRenamed("id", "__id__"), F.col("id") == F.col("__id__"), "left")
+    return out.select(nodes["*"], F.coalesce("some", F.lit(False)).alias("any_desc"), (~F.coalesce("other", F.lit(False))).alias("every_desc"))
+
 
-    def ancestors(start: DataFrame) -> DataFrame:
-        above = lambda d: d.join(up, F.expr("id = n")).filter("parent IS NOT NULL").select(F.col("parent").alias("id"))
-        return fixpoint(above(start.select("id")), above)
+def with_labels(nodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """Append ``labels``, the labels of each node, for tests with ``has_label``."""
+    per = marks.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return nodes.join(per, "id", "left").select(nodes["*"], F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
 
-    some = ancestors(nodes.filter(want)).select("id", F.lit(True).alias("some"))
-    other = ancestors(nodes.filter(~want)).select("id", F.lit(True).alias("other"))
-    out = nodes.join(some, "id", "left").join(other, "id", "left")
-    return out.select(nodes["*"], F.coalesce("some", F.lit(False)).alias("any_desc"), F.col("other").isNull().alias("every_desc"))
+
+def has_label(label: str) -> Column:
+    return truth(F.array_contains("labels", label))
 
 
 def mark(marks: DataFrame, selection: DataFrame, label: str) -> DataFrame:
@@ -149,7 +190,19 @@ def move_marks(marks: DataFrame, uses: DataFrame, label: str, want: Column | Non
 
 def mark_public(marks: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     """Public children of marked modules take the label, and so on down through public modules."""
-    up = nodes.filter(truth(F.col("pub"))).select("id", "parent", "kind")
-    modules = nodes.filter("kind = 'mod'").select(F.col("id").alias("mod"))
-    below = lambda d: up.join(d.withColumnRenamed("id", "above").join(modules, F.col("above") == F.col("mod"), "left_semi"), up["parent"] == F.col("above")).select(up["id"])
-    return mark(marks, fixpoint(marked(marks, label), below), label)
+    modules = nodes.filter("kind = 'mod'").select(F.col("id").alias("up"))
+    open_ = cut(nodes.filter(truth(F.col("pub"))).select("id", F.col("parent").alias("up")).join(modules, "up", "left_semi").select("id", "up"))
+    return mark(marks, below(open_, marked(marks, label), []), label)
+
+
+def printed_marks(marks: DataFrame) -> DataFrame:
+    """(id, label) in order."""
+    return marks.select("id", "label").distinct().orderBy("id", "label")
+
+
+def no_marks(marks: DataFrame) -> DataFrame:
+    return marks.limit(0)
+
+
+def reset(selection: DataFrame) -> DataFrame:
+    return selection.limit(0)

@@ -1,15 +1,17 @@
-"""Iteration on frames: lineage cuts, semi-naive fixpoints, components.
+"""Iteration on frames: lineage cuts, semi-naive fixpoints, doubling over forests, dense numbers, components.
 
-The driver sees counts and fingerprints of a round, never its rows.
+The driver sees counts and fingerprints of a round, never its rows. No loop has a
+bound of its own: each ends when a round adds nothing.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import accumulate, count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rounds of a fixpoint that stay apart before they are written as one.
@@ -19,30 +21,36 @@ TOGETHER = 12
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder (``spark.checkpoint.dir``) and go on from there.
 
-    A temporary folder is set only where the session names none.
+    Where the session names no folder, a local master gets a temporary one; on a
+    cluster that is an error, as other machines would not see it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int = 1000) -> DataFrame:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int | None = None) -> DataFrame:
     """All rows that ``step`` derives from ``seed``, directly or again.
 
     Each round works on the new rows only and writes these only; the rounds are
-    put together once in ``TOGETHER``.
+    put together once in ``TOGETHER``. It ends when a round finds nothing new; with
+    ``cap`` more rounds than that are an error.
     """
     delta = cut(seed.distinct())
     parts = [delta]
-    for _ in range(cap):
+    for n in count():
         every = reduce(DataFrame.union, parts)
         new = cut(step(delta).select(*every.columns).distinct().join(every, every.columns, "left_anti"))
         if new.isEmpty():
             return every
+        if n == cap:
+            raise RuntimeError(f"no fixpoint after {cap} rounds")
         parts = [*parts, new] if len(parts) < TOGETHER else [cut(every), new]
         delta = new
-    raise RuntimeError(f"no fixpoint after {cap} rounds")
 
 
 def fingerprint(df: DataFrame) -> tuple:
@@ -50,25 +58,125 @@ def fingerprint(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
 
 
-def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int = 1000) -> DataFrame:
-    """Apply ``step`` until the frame no longer changes; an error after ``cap`` rounds."""
+def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int | None = None) -> DataFrame:
+    """Apply ``step`` until the frame no longer changes; with ``cap``, more rounds than that are an error."""
     state = cut(state)
     before = fingerprint(state)
-    for _ in range(cap):
+    for n in count():
         state = cut(step(state))
         now = fingerprint(state)
         if now == before:
             return state
+        if n == cap:
+            raise RuntimeError(f"no fixpoint after {cap} rounds")
         before = now
-    raise RuntimeError(f"no fixpoint after {cap} rounds")
 
 
-def components(edges: DataFrame, cap: int = 60) -> DataFrame:
+def along(edges: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Sends rows along ``edges`` (keys, ``to_``keys): what comes out has the ends' keys and the values of the starts."""
+    e = cut(edges)
+
+    def send(delta: DataFrame) -> DataFrame:
+        return delta.join(e, keys).select(*(F.col(f"to_{k}").alias(k) if f"to_{k}" in e.columns else F.col(k) for k in keys), *(c for c in delta.columns if c not in keys))
+
+    return send
+
+
+def pushed(state: DataFrame, send: Callable[[DataFrame], DataFrame], keys: list[str], values: dict[str, Callable]) -> DataFrame:
+    """``state`` (keys, values) with each value aggregated over all rows that ``send`` carries to a key, directly or again.
+
+    The aggregates are idempotent (``min``, ``max``, ``bool_or``). Only rows that
+    changed in a round send anything in the next one. Rows with a null key are not sent.
+    """
+    state = delta = cut(state.select(*keys, *values))
+    while True:
+        sent = send(delta).dropna(subset=keys).groupBy(*keys).agg(*(f(F.col(v)).alias(f"__{v}") for v, f in values.items()))
+        both = state.join(sent, keys, "full")
+        new = {v: _of_two(f)(F.col(v), F.col(f"__{v}")) for v, f in values.items()}
+        changed = reduce(lambda a, b: a | b, (~new[v].eqNullSafe(F.col(v)) for v in values))
+        both = cut(both.select(*keys, *(new[v].alias(v) for v in values), changed.alias("__changed__")))
+        delta = both.filter("__changed__").drop("__changed__")
+        state = both.drop("__changed__")
+        if delta.isEmpty():
+            return state
+
+
+def _of_two(f: Callable) -> Callable:
+    """The same aggregate of two values, null for none."""
+    return {F.min: F.least, F.max: F.greatest, F.bool_or: F.greatest}[f]
+
+
+def jumps(parents: DataFrame, group: list[str]) -> Iterable[DataFrame]:
+    """(group, id, up): each node with its ancestor 1, 2, 4, ... steps above; nodes that have none are left out.
+
+    ``parents`` is (group, id, up), one row a node, without cycles. Each frame
+    takes one join of the last one with itself, so a chain of n nodes takes log2(n).
+    """
+    jump = cut(parents.filter("up IS NOT NULL").select(*group, "id", "up"))
+    while not jump.isEmpty():
+        yield jump
+        above = jump.select(*group, F.col("id").alias("up"), F.col("up").alias("__top__"))
+        jump = cut(jump.join(above, [*group, "up"]).select(*group, "id", F.col("__top__").alias("up")))
+
+
+def over_subtrees(parents: DataFrame, seed: DataFrame, group: list[str], values: dict[str, Callable]) -> DataFrame:
+    """(group, id, values): each value aggregated over a node's subtree, itself included; nodes with none below are absent.
+
+    ``seed`` is (group, id, values). The aggregates are idempotent. Rounds grow as
+    the logarithm of the depth.
+    """
+    state = cut(seed.select(*group, "id", *values))
+    for jump in jumps(parents, group):
+        sent = state.join(jump, [*group, "id"]).select(*group, F.col("up").alias("id"), *values)
+        both = state.union(sent)
+        state = cut(both.groupBy(*group, "id").agg(*(f(v).alias(v) for v, f in values.items())) if values else both.distinct())
+    return state
+
+
+def below(parents: DataFrame, seed: DataFrame, group: list[str]) -> DataFrame:
+    """(group, id): the nodes of ``seed`` and all that hang under them."""
+    state = cut(seed.select(*group, "id").distinct())
+    for jump in jumps(parents, group):
+        sent = jump.join(state.withColumnRenamed("id", "up"), [*group, "up"], "left_semi").select(*group, "id")
+        state = cut(state.union(sent).distinct())
+    return state
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(id, ancestor, steps) of all nodes and all their ancestors, steps counted from 1."""
+    found: DataFrame | None = None
+    for n, jump in enumerate(jumps(parents, [])):
+        here = jump.select("id", F.col("up").alias("ancestor"), F.lit(1 << n).alias("steps"))
+        if found is None:
+            found = here
+            continue
+        further = jump.join(found.select(F.col("id").alias("up"), "ancestor", (F.col("steps") + (1 << n)).alias("steps")), "up").select("id", "ancestor", "steps")
+        found = cut(found.union(here).union(further))
+    return parents.select("id", F.col("up").alias("ancestor"), F.lit(1).alias("steps")).limit(0) if found is None else found
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Append ``name``: the rows' numbers from 0 in the order of a column, without gaps.
+
+    Ranges of the column are numbered apart and moved by the sizes of those
+    before; the driver sees one count a range.
+    """
+    placed = cut(df.repartitionByRange(order).withColumn("__part__", F.spark_partition_id()))
+    sizes = sorted((r[0], r[1]) for r in placed.groupBy("__part__").agg(F.count("*")).collect())
+    below_ = dict(zip((p for p, _ in sizes), accumulate((n for _, n in sizes[:-1]), initial=0)))
+    offset = F.create_map(*(F.lit(x).cast("long") for kv in below_.items() for x in kv))[F.col("__part__").cast("long")] if below_ else F.lit(0)
+    number = F.row_number().over(Window.partitionBy("__part__").orderBy(order)) - 1 + offset
+    return placed.withColumn(name, number.cast("long")).drop("__part__")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id that an edge (a, b) has; a component is named by its smallest id.
 
     Alternating large-star and small-star rounds: each hangs the larger
     neighbours of a node, then the smaller ones, under the smallest. Rounds grow
-    as the logarithm of the longest chain. Loops and null ends are ignored.
+    as the logarithm of the longest chain. Loops and null ends are ignored. The
+    joins of a round are left to the adaptive planner, which splits the centre of a
+    large star; the least neighbour is found by partial minima before the shuffle.
     """
 
     def step(e: DataFrame) -> DataFrame:
@@ -79,5 +187,5 @@ def components(edges: DataFrame, cap: int = 60) -> DataFrame:
         return small.union(lowest.select("a", F.col("m").alias("b"))).distinct()
 
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = until_stable(e, step, cap)
+    e = until_stable(e, step)
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,62 @@ def select_first_last(spark: SparkSession, sf: str) -> DataFrame:
     return trees.first(some).withColumn("which", F.lit("first")).union(trees.last(some).withColumn("which", F.lit("last")))
 
 
+def _trees_of_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree with paths, attributes, kinds of items, visibility and mutability: customers are items of three kinds, orders their parameters."""
+    t = nodes(spark, sf)
+    item = F.when(F.col("kind") == "fn", F.element_at(F.array(*map(F.lit, ("fn", "static", "ty"))), (F.col("id") % 3 + 1).cast("int")))
+    return t.select(
+        "id", "parent", F.when(F.col("kind") == "fn", F.when(F.col("id") % 7 == 0, "foreign_item").otherwise("item")).when(F.col("kind") == "stmt", "param").otherwise("item").alias("kind"),
+        F.coalesce(item, F.when(F.col("kind") == "mod", "mod")).alias("item_kind"), "name", F.when(F.col("pub"), "pub").alias("vis"), F.when(F.col("tag") == "F", "mut").alias("mutbl"),
+        F.when(F.col("kind") == "fn", F.array(F.lit("crate"), F.col("parent").cast("string"), "name")).alias("path"), F.when(F.col("kind") == "fn", F.array("tag")).alias("attrs"), "tag",
+    )
+
+
+def select_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """``crate; desc(ty)`` takes the nodes of that kind, as the kind of a node wins; foreign items of a kind, mutable parameters and items by path are other selections."""
+    t = _trees_of_items(spark, sf)
+    tests = {
+        "ty": trees.is_named_kind("ty"), "static": trees.is_named_kind("static") & ~trees.is_public(), "foreign fn": trees.is_named_kind("foreign_item") & trees.is_named_kind("fn"),
+        "mut arg": trees.is_named_kind("arg") & trees.is_mutable(), "itemlike": trees.is_kind("itemlike") & trees.has_attr("BUILDING"),
+        "path": trees.path_is(1, ["100", "Customer#000000007"]) | trees.path_is(0, ["100", "Customer#000000007"]),
+    }
+    every = [trees.desc(trees.root(t), t, want).withColumn("test", F.lit(name)) for name, want in tests.items()]
+    return reduce(DataFrame.union, every).groupBy("test").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def select_marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks inside a test: functions with one label or the other, unless both; then those with a marked child are added."""
+    t = nodes(spark, sf)
+    m = _marks(spark, sf)
+    m = trees.mark(m, trees.keep(t.select("id"), t, trees.name_is(".*[13579]")), "odd")
+    m = trees.mark(m, trees.keep(t.select("id"), t, trees.truth(F.col("tag") == "P")), "late")
+    labelled = trees.with_labels(t, m)
+    a, b = trees.has_label("BUILDING"), trees.has_label("odd")
+    some = trees.keep(t.select("id"), labelled, (a | b) & ~(a & b))
+    above = trees.with_child_tests(labelled, trees.has_label("late")).filter("any_child").select("id")
+    return trees.added(trees.added(trees.reset(some), some), above)
+
+
+def _used(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as expressions that use a customer's definition: the field is the flag, the argument the line number, a call if filled."""
+    li, o = _t(spark, sf, "lineitem"), _t(spark, sf, "orders")
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("o_custkey") + 1000).alias("target"), F.col("l_returnflag").alias("field"), F.col("l_linenumber").alias("arg"), (F.col("l_linestatus") == "F").alias("call")
+    )
+
+
+def marks_to_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.move_marks(_marks(spark, sf), _used(spark, sf), "MACHINERY", F.col("field") == "A")
+
+
+def marks_to_args(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.move_marks(_marks(spark, sf), _used(spark, sf), "BUILDING", F.col("arg") == 2)
+
+
+def marks_to_callers(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.printed_marks(trees.move_marks(_marks(spark, sf), _used(spark, sf), "FURNITURE", F.col("call")))
+
+
 def _marks(spark: SparkSession, sf: str) -> DataFrame:
     return nodes(spark, sf).filter("kind = 'fn'").select("id", F.col("tag").alias("label"))
 
@@ -135,20 +193,49 @@ def inverted_trade(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.inverted(trade(spark, sf)).select("dst", F.array_join(F.col("srcs").cast("array<string>"), ",").alias("srcs"))
 
 
+def call_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations below 15 as functions; trade mentions, and every nation inhabits the next."""
+    n = _nations(spark, sf)
+    e = graphs.definition_graph(trade(spark, sf), n.filter("id < 24").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    return graphs.call_graph(e, n.filter("id < 15")).select("src", "dst")
+
+
+def condensed_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Components with those of their nations that have a span, from number 9 on."""
+    e = trade(spark, sf)
+    parts, _ = graphs.condensed(graphs.strong_components(_nations(spark, sf), e), e, _nations(spark, sf).filter("id >= 9"))
+    return parts.select("component", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+def type_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """What nation 3 depends on, not through ends whose sum divides by four."""
+    return graphs.dependency_closure(trade(spark, sf), _nations(spark, sf).filter("id = 3"), (F.col("src") + F.col("dst")) % 4 > 0)
+
+
+def scc_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Strong components of parts: from each line of an order to the next one's part, back to the first if the order is finished."""
+    li, o = _t(spark, sf, "lineitem"), _t(spark, sf, "orders")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    few = li.join(o.filter("o_totalprice > 450000"), li["l_orderkey"] == o["o_orderkey"])
+    ring = few.select(F.col("l_partkey").alias("src"), F.coalesce(F.lead("l_partkey").over(order), F.when(F.col("o_orderstatus") == "F", F.first("l_partkey").over(whole))).alias("dst")).filter("dst IS NOT NULL")
+    return graphs.strong_components(_t(spark, sf, "part").select(F.col("p_partkey").alias("id")), ring).select("id", "component")
+
+
 def definitions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parts, mention edges (order to part, part to a like part), and roots: dear orders."""
     li, p = _t(spark, sf, "lineitem"), _t(spark, sf, "part")
-    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    uses = li.select(name("order", "l_orderkey").alias("src"), name("part", "l_partkey").alias("dst"))
+    order, part = (lambda c: -F.col(c) - 1), F.col  # an order is a negative number, so that ids stay short
+    uses = li.select(order("l_orderkey").alias("src"), part("l_partkey").alias("dst"))
     like = Window.partitionBy("p_type", "p_size", "p_brand").orderBy("p_partkey")
-    chain = p.withColumn("next", F.lead("p_partkey").over(like)).filter("next IS NOT NULL").select(name("part", "p_partkey").alias("src"), name("part", "next").alias("dst"))
-    roots = _t(spark, sf, "orders").filter("o_totalprice >= 480000").select(name("order", "o_orderkey").alias("id"))
-    return p.select(name("part", "p_partkey").alias("id")), graphs.definition_graph(uses, chain.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), roots
+    chain = p.withColumn("next", F.lead("p_partkey").over(like)).filter("next IS NOT NULL").select(F.col("p_partkey").alias("src"), F.col("next").alias("dst"))
+    roots = _t(spark, sf, "orders").filter("o_totalprice >= 480000").select(order("o_orderkey").alias("id"))
+    return p.select(F.col("p_partkey").alias("id")), graphs.definition_graph(uses, chain.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), roots
 
 
 def dead_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Parts that no dear order reaches, over lines and from a part to the next like one."""
-    return graphs.dead(*definitions(spark, sf))
+    return graphs.dead(*definitions(spark, sf)).select(F.concat(F.lit("part:"), F.col("id").cast("string")).alias("id"))
 
 
 def _linked_customers(lines: DataFrame, orders: DataFrame) -> DataFrame:
@@ -203,6 +290,8 @@ QUERIES = {
     "marks_public": marks_public, "closure_nations": closure_nations, "scc_nations": scc_nations, "condensed_nations": condensed_nations,
     "outside_successors": outside_successors, "inverted_trade": inverted_trade, "components_parts": components_parts, "components_all_parts": components_all_parts,
     "escaping_call_sites": escaping_call_sites, "affected_call_sites": affected_call_sites, "enclosing_loops": enclosing_loops,
+    "select_kinds": select_kinds, "select_marked": select_marked, "marks_to_fields": marks_to_fields, "marks_to_args": marks_to_args, "marks_to_callers": marks_to_callers,
+    "call_graph": call_graph, "condensed_members": condensed_members, "type_closure": type_closure, "scc_parts": scc_parts,
 }
 
 _CALLS = """SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS m FROM orders
@@ -250,6 +339,25 @@ ORACLE = {
       r(id, component) USING KEY (id) AS (SELECT DISTINCT a, CASE WHEN a >= 0 THEN a ELSE 9223372036854775807 END FROM e
         UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.id JOIN recurring.r o ON o.id = e.b WHERE r.component < o.component GROUP BY 1)
       SELECT id, component FROM r WHERE id >= 0""",
+    "select_kinds": NODES + """, t AS (SELECT *, CASE WHEN kind = 'fn' AND id % 7 = 0 THEN 'foreign_item' WHEN kind = 'stmt' THEN 'param' ELSE 'item' END AS k, CASE kind WHEN 'fn' THEN ['fn', 'static', 'ty'][id % 3 + 1] WHEN 'mod' THEN 'mod' END AS i FROM nodes WHERE id > 0),
+      s AS (SELECT 'static' AS test, id FROM t WHERE i = 'static' AND NOT coalesce(pub, false) UNION ALL SELECT 'foreign fn', id FROM t WHERE k = 'foreign_item' AND i = 'fn'
+        UNION ALL SELECT 'mut arg', id FROM t WHERE k = 'param' AND tag = 'F' UNION ALL SELECT 'itemlike', id FROM t WHERE kind = 'fn' AND tag = 'BUILDING'
+        UNION ALL SELECT 'path', id FROM t WHERE kind = 'fn' AND parent = 100 AND name = 'Customer#000000007')
+      SELECT test, count(*) AS n, sum(id)::BIGINT AS ids FROM s GROUP BY 1""",
+    "select_marked": NODES + """ SELECT id FROM nodes WHERE coalesce(kind = 'fn' AND tag = 'BUILDING', false) <> coalesce(regexp_full_match(name, '.*[13579]'), false)
+      UNION SELECT parent FROM nodes WHERE tag = 'P'""",
+    **{name: NODES + f""" SELECT id, tag AS label FROM nodes WHERE kind = 'fn' AND tag <> '{label}'
+      UNION SELECT l_orderkey * 10 + l_linenumber, '{label}' FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = '{label}' AND {test}"""
+      for name, label, test in (("marks_to_fields", "MACHINERY", "l_returnflag = 'A'"), ("marks_to_args", "BUILDING", "l_linenumber = 2"), ("marks_to_callers", "FURNITURE", "l_linestatus = 'F'"))},
+    "call_graph": TRADE + " SELECT src, dst FROM trade WHERE src < 15 AND dst < 15 AND src <> dst + 1",
+    "condensed_members": TRADE + " SELECT component, coalesce(string_agg(id, ',' ORDER BY id) FILTER (id >= 9), '') AS members FROM scc GROUP BY 1",
+    "type_closure": TRADE + ", r AS (SELECT 3::BIGINT AS id UNION SELECT dst FROM r JOIN trade ON src = id AND (src + dst) % 4 > 0) SELECT id FROM r",
+    "scc_parts": """WITH RECURSIVE f AS (SELECT l_orderkey, l_linenumber, l_partkey, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 450000),
+      g AS (SELECT l_partkey AS src, coalesce(lead(l_partkey) OVER w, CASE WHEN o_orderstatus = 'F' THEN first(l_partkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END) AS dst FROM f WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)),
+      e AS (SELECT DISTINCT src, dst FROM g WHERE dst IS NOT NULL), x AS (SELECT DISTINCT src FROM e),
+      r AS (SELECT src AS a, src AS b FROM x UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b),
+      c AS (SELECT y.a AS id, min(y.b) AS component FROM r y JOIN r z ON z.a = y.b AND z.b = y.a GROUP BY 1)
+      SELECT p_partkey AS id, coalesce(component, p_partkey) AS component FROM part LEFT JOIN c ON c.id = p_partkey""",
     "escaping_call_sites": f"""SELECT o_custkey AS site, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS components FROM ({_CALLS}) WHERE NOT coalesce(m, true) GROUP BY 1""",
     "affected_call_sites": f"SELECT o_orderkey AS component, o_custkey AS site FROM ({_CALLS}) WHERE coalesce(m, false)",
     "enclosing_loops": """SELECT loop, count(*) AS n, loop = (SELECT CASE WHEN count(DISTINCT n_regionkey) > 1 THEN 0 WHEN count(DISTINCT n_nationkey) > 1 THEN 1 + min(n_regionkey) ELSE 100 + min(n_nationkey) END

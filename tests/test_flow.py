@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import conflicts, forest, graphs, lattice, trees
@@ -12,14 +13,36 @@ SF = "/root/testdata/sf0.001"
 
 def test_unique_on_known_forests(spark):
     cases = {
-        "interleave": ([(0, "AddrOfLocal", None), (1, "Copy", 0), (2, "Store", 1), (3, "Copy", 0), (4, "Store", 3), (5, "Store", 1), (6, "Store", 3)], False),
-        "one-sided": ([(0, "AddrOfLocal", None), (1, "Copy", 0), (2, "Store", 1), (3, "Copy", 0), (4, "Store", 3), (5, "Store", 1)], False),
-        "sub-borrow": ([(0, "AddrOfLocal", None), (1, "Copy", 0), (2, "Store", 1), (3, "Copy", 1), (4, "Store", 3), (5, "Store", 1)], True),
+        "used in turns": ([(0, "Alloc", None), (1, "Copy", 0), (2, "LoadAddr", 1), (3, "Copy", 0), (4, "LoadAddr", 3), (5, "StoreAddr", 1)], {0, 1, 2, 3, 4, 5}),
+        "one after the other": ([(0, "Alloc", None), (1, "Copy", 0), (2, "StoreAddr", 1), (3, "Copy", 0), (4, "StoreAddr", 3)], set()),
+        "lent inside": ([(0, "Alloc", None), (1, "Copy", 0), (2, "Copy", 1), (3, "StoreAddr", 2), (4, "LoadAddr", 1)], set()),
+        "clash below only": ([(0, "Alloc", None), (1, "Copy", 0), (2, "Copy", 1), (3, "Copy", 1), (4, "LoadAddr", 2), (5, "Copy", 0)], {1, 2, 3, 4}),
+        "two fields": ([(0, "Alloc", None), (1, "Project", 0, [4]), (2, "Project", 0, [5]), (3, "Copy", 1), (4, "Copy", 2), (5, "LoadAddr", 3)], set()),
+        "field and whole": ([(0, "Alloc", None), (1, "Project", 0, [4]), (2, "Copy", 1), (3, "Copy", 0), (4, "LoadAddr", 2)], {0, 1, 2, 3, 4}),
+        "root projection keeps its children": ([(0, "Project", None, [1]), (1, "Copy", 0), (2, "Copy", 0), (3, "LoadAddr", 1)], {0, 1, 2, 3}),
     }
-    rows = [(g, i, k, s, []) for g, (ns, _) in cases.items() for i, k, s in ns]
+    rows = [(g, i, k, s, f[0] if f else []) for g, (ns, _) in cases.items() for i, k, s, *f in ns]
     df = spark.createDataFrame(rows, "graph_id string, node_id long, kind string, source long, field array<int>")
-    kids = {(r.graph_id, r.node_id): r.unique for r in forest.unique_nodes(df).collect()}
-    assert all(v == cases[g][1] for (g, _), v in kids.items())
+    out = forest.unique_nodes(df).collect()
+    assert {g: {r.node_id for r in out if r.graph_id == g and not r.unique} for g in cases} == {g: bad for g, (_, bad) in cases.items()}
+
+
+def test_chains_of_any_depth(spark):
+    n = 300
+    df = spark.range(n).select(F.lit("g").alias("graph_id"), F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("source"), F.when(F.col("id") == 200, "StoreAddr").otherwise("Copy").alias("kind"), F.lit(0).alias("offset"))
+    assert forest.needs_write(df).count() == 201
+    assert {r[0] for r in forest.last_descendants(df).select("last_desc").distinct().collect()} == {n - 1}
+    assert forest.flow_nodes(df).agg(F.min("store"), F.max("store"), F.count("store")).first() == (200, 200, 201)
+    tree = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit("mod").alias("kind"), F.lit(True).alias("pub"))
+    assert trees.descendants(spark.createDataFrame([(10,)], "id long"), tree).count() == n - 11
+    assert trees.mark_public(spark.createDataFrame([(7, "x")], "id long, label string"), tree, "x").count() == n - 7
+    t = trees.with_desc_tests(tree, F.col("id") == 100).agg(F.sum(F.col("any_desc").cast("int")), F.sum(F.col("every_desc").cast("int"))).first()
+    assert t == (100, 1)
+    b = spark.createDataFrame([(1, n - 1)], "block long, loop long")
+    assert graphs.enclosing_loops(b, tree.select(F.col("id").alias("loop"), "parent")).agg(F.count("*"), F.max("depth")).first() == (n, n - 1)
+    proj = df.withColumn("kind", F.when((F.col("node_id") > 0) & (F.col("node_id") < n - 1), "Project").otherwise("Copy")).withColumn("field", F.array(F.col("node_id").cast("int")))
+    last = forest.collapsed_children(proj).filter(F.col("node_id") == n - 1).first()
+    assert last.parent == 0 and list(last.path) == list(range(1, n - 1))
 
 
 def test_flow_takes_the_highest_child_not_the_largest_id(spark):
@@ -35,8 +58,8 @@ def test_projections_collapse_into_paths(spark):
 
 
 def plain_fold(rows):
-    """A run of events by linear search: entries are (start, size, graph, node)."""
-    entries, sizes, seen, out = {}, [], set(), []
+    """A run of events by linear search: entries are start -> (size, graph, node), nodes of a graph a list of destinations."""
+    entries, graphs_, seen, out = {}, [], set(), []
     for e in rows:
         kind = flow.ev.NODE_KINDS.get(e.kind)
         if e.kind == "BeginFuncBody":
@@ -57,28 +80,52 @@ def plain_fold(rows):
 
         hit, _ = look(e.ptr)
         if kind in flow.ev.ROOTS or hit is None:
-            g, source = len(sizes), None
-            sizes.append(0)
+            g, source = len(graphs_), None
+            graphs_.append([])
         else:
             g, source = hit
-        n = sizes[g]
-        sizes[g] += 1
+            want = (e.source_local, [])
+            if e.source_local is not None and list(e.source_path) == []:
+                source = next((i for i in reversed(range(len(graphs_[g]))) if graphs_[g][i] == want), source)
+        n = len(graphs_[g])
+        graphs_[g].append((e.dest_local, list(e.dest_path)))
         out.append((e.run_id, e.seq, g, n, source, kind))
-        if e.kind == "Alloc" or e.kind == "AddrOfLocal" and kind != "Copy":
+        if e.kind in ("Alloc", "AddrOfLocal"):
             entries[e.ptr] = (e.size, g, n)
         elif e.kind == "AddrOfSized":
             entries.setdefault(e.ptr, (e.size, g, n))
         elif e.kind == "Free":
             if e.ptr:
                 entries.pop(e.ptr, None)
-        elif kind in ("Copy", "Offset", "Project"):
-            p = e.ptr if kind == "Copy" or e.new_ptr is None else e.new_ptr
+        elif e.kind in ("CopyPtr", "Offset", "Project"):
+            p = e.ptr if e.kind == "CopyPtr" else e.new_ptr
             hit, floor = look(p)
-            if hit is None and (floor is None or entries[floor][0] is None or kind == "Copy"):
+            if hit is None and (floor is None or entries[floor][0] is None or e.kind == "CopyPtr"):
                 entries[p] = (None, g, n)
     return out
 
 
+def test_sources_by_destination_and_overwritten_locals(spark):
+    kinds = "run_id string, seq long, kind string, ptr long, new_ptr long, size long, func string, local long, source_local long, dest_local long, source_path array<int>, dest_path array<int>"
+    rows = [
+        ("r", 0, "Alloc", 100, None, 8, "f", 0, None, 1, [], []),
+        ("r", 1, "CopyPtr", 100, None, None, "g", 0, 1, 2, [], []),  # from node 0: the place is the same in another function
+        ("r", 2, "CopyPtr", 100, None, None, "f", 0, 2, 3, [7], []),  # a part of a place finds no destination: the pointer's node
+        ("r", 3, "CopyPtr", 100, None, None, "f", 0, 2, 2, [], [7]),  # from node 1; its own destination is a part
+        ("r", 4, "LoadAddr", 100, None, None, "f", 0, 2, None, [], []),  # still from node 1
+        ("s", 0, "AddrOfLocal", 50, None, 4, "f", 1, None, None, [], []),
+        ("s", 1, "AddrOfLocal", 50, None, 4, "f", 1, None, None, [], []),  # taken again: a copy, and the entry from now on
+        ("s", 2, "LoadAddr", 52, None, None, "f", 0, None, None, [], []),
+        ("s", 3, "Arg", 900, None, None, "f", 0, None, None, [], []),  # an unknown pointer; only copies of pointers are remembered
+        ("s", 4, "Arg", 900, None, None, "f", 0, None, None, [], []),
+        ("s", 5, "CopyPtr", 0, None, None, "f", 0, None, None, [], []),
+    ]
+    df = spark.createDataFrame(rows, kinds).withColumn("offset", F.lit(0).cast("long"))
+    got = {(r.run_id, r.seq): (r.graph_id, r.node_id, r.source, r.is_null) for r in flow.ev.provenance(df).collect()}
+    assert [got["r", i] for i in range(5)] == [(0, 0, None, False), (0, 1, 0, False), (0, 2, 0, False), (0, 3, 1, False), (0, 4, 1, False)]
+    assert [got["s", i] for i in range(6)] == [(0, 0, None, False), (0, 1, 0, False), (0, 2, 1, False), (1, 0, None, False), (2, 0, None, False), (3, 0, None, True)]
+
+
 def test_provenance_fold_and_node_kinds(spark):
     runs = {}
     for e in flow.event_log(spark, SF).orderBy("run_id", "seq").collect():
@@ -94,37 +141,75 @@ def test_provenance_fold_and_node_kinds(spark):
 
 def test_masked_permissions(spark):
     perms = {r.id: r.perms for r in flow.pointers(spark, SF).collect()}
-    keep = {r.o_orderkey: lattice.WRITE for r in spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderstatus = 'P'").collect()}
+    orders = spark.read.parquet(f"{SF}/orders.parquet").collect()
+    fixed = {r.o_orderkey: lattice.WRITE for r in orders if r.o_orderstatus == "P"}
     subs = [(r.a, r.b, r.except_mask) for r in flow.subsets(spark, SF).collect()]
-    first, changed = dict(perms), True
+    for r in orders:
+        if r.o_orderpriority == "1-URGENT":
+            perms[r.o_orderkey] = (perms[r.o_orderkey] | lattice.READ) & ~lattice.LINEAR
+    restrict = lambda i, new: (new & ~fixed.get(i, 0)) | (perms[i] & fixed.get(i, 0))
+    changed = True
     while changed:
         changed = False
         for a, b, mask in subs:
-            new = (perms[a] & ~((~perms[b] & lattice.DOWN) & ~mask)) | (perms[b] & lattice.UP & ~mask)
-            if perms[a] & lattice.FREE:
-                new |= perms[b] & lattice.OFFSETS
-            f = keep.get(a, 0)
-            new = (new & ~f) | (first[a] & f)
-            changed |= new != perms[a]
-            perms[a] = new
+            pa, pb = perms[a], perms[b]
+            up = pb & lattice.OFFSETS & ~mask if pa & lattice.FREE else 0
+            new = restrict(a, (pa | up) & ~(~pb & lattice.DOWN & ~mask)), restrict(b, pb | (pa & lattice.UP & ~mask))
+            changed |= new != (pa, pb)
+            perms[a], perms[b] = new
     assert {r.id: r.perms for r in flow.perm_masked(spark, SF).collect()} == perms
 
 
+def test_permissions_flow_to_the_superset(spark):
+    def run(ps, subs, given=None):
+        p = spark.createDataFrame([(i, v, f) for i, (v, f) in ps.items()], "id long, perms int, forbidden int")
+        g = given and spark.createDataFrame(given, "id long, kind string, mask int")
+        return {r.id: r.perms for r in lattice.propagate(p, spark.createDataFrame(subs, "a long, b long, except_mask int"), g).collect()}
+
+    w, u, f, o = lattice.WRITE, lattice.UNIQUE, lattice.FREE, lattice.OFFSET_ADD
+    assert run({1: (w, 0), 2: (0, 0)}, [(1, 2, 0)]) == {1: w, 2: w}
+    assert run({1: (0, 0), 2: (w | u, 0)}, [(1, 2, 0)]) == {1: 0, 2: w | u}
+    assert run({1: (u, 0), 2: (0, 0)}, [(1, 2, 0)]) == {1: 0, 2: 0}
+    assert run({1: (f, 0), 2: (o, 0)}, [(1, 2, 0)]) == {1: f | o, 2: f | o}
+    assert run({1: (f, 0), 2: (o, 0)}, [(1, 2, o)]) == {1: f, 2: f | o}
+    assert run({1: (w | u, u), 2: (0, w)}, [(1, 2, 0)]) == {1: w | u, 2: 0}
+    assert run({1: (lattice.LINEAR, 0), 2: (0, 0)}, [(1, 2, 0)]) == {1: lattice.LINEAR, 2: 0}
+    assert run({1: (0, 0), 2: (u, 0)}, [(1, 2, 0)], [(1, "all_perms", w | u), (1, "no_perms", 0)]) == {1: w | u, 2: w | u}
+    with pytest.raises(Exception, match="contradict"):
+        run({1: (w, 0), 2: (0, 0)}, [(1, 2, 0)], [(2, "no_perms", w)])
+    n = 12
+    assert set(run({i: (w if i == 0 else 0, 0) for i in range(n)}, [(i, i + 1, 0) for i in range(n - 1)]).values()) == {w}
+
+
+def test_cells_are_taken_from_the_superset(spark):
+    w, u = lattice.WRITE, lattice.UNIQUE
+    run = lambda ps, subs: sorted(r.id for r in lattice.cells(spark.createDataFrame(list(enumerate(ps, 1)), "id long, perms int"), spark.createDataFrame(subs, "a long, b long")).collect())
+    assert run([w | u, w], [(1, 2)]) == [1, 2]  # into a, whatever its bits
+    assert run([w, w | u], [(1, 2)]) == [1]  # not into b with both bits
+    assert run([w, 0, u], [(1, 2), (2, 3)]) == [1, 2, 3]
+
+
 def test_loops_entry_writes_and_refinement(spark):
     loops = spark.createDataFrame([(1, None), (2, 1), (3, 1)], "loop long, parent long")
     blocks = spark.createDataFrame([(10, 2), (11, 3), (12, 2), (13, None)], "block long, loop long")
     e = graphs.enclosing_loops(blocks, loops)
     common = lambda *b: [r.loop for r in graphs.tightest_common_loop(e, spark.createDataFrame([(x,) for x in b], "block long")).collect()]
     assert common(10, 12) == [2] and common(10, 11) == [1] and common(10, 13) == []
-    b = spark.createDataFrame([(1, "p", 7), (2, "p", 8), (3, "p", None), (4, "p", None)], "block long, place string, gen long")
-    edges = spark.createDataFrame([(1, 3), (2, 3), (3, 4), (1, 4)], "src long, dst long")
-    assert sorted(tuple(r) for r in lattice.block_entry_writes(b, edges).collect()) == [(3, "p", 7, 8), (4, "p", 7, 8)]
+    rows = [("f", 1, "p", 7, True, False), ("f", 2, "p", 8, True, False), ("f", 3, "p", 9, False, False), ("f", 4, "p", 10, False, False), ("f", 4, "p", 11, True, True), ("f", 5, "p", 12, False, False), ("f", 6, "p", 13, False, False)]
+    st = spark.createDataFrame(rows, "func string, block long, place string, stmt long, writes boolean, partial boolean")
+    edges = spark.createDataFrame([("f", *e) for e in ((1, 3), (2, 3), (1, 6), (3, 4), (4, 5))], "func string, src long, dst long")
+    entry = lattice.block_entry_writes(st, edges)
+    assert sorted((r.block, r.low == r.high) for r in entry.collect()) == [(3, False), (4, False), (5, False), (6, True)]
+    assert {r.stmt: r.write for r in lattice.recent_writes(st, entry).collect()} == {7: None, 8: None, 9: None, 10: None, 11: None, 12: None, 13: 7}
     p = spark.createDataFrame([(1, lattice.UNIQUE | lattice.READ, 0), (2, lattice.UNIQUE, 0)], "id long, perms int, forbidden int")
     s = spark.createDataFrame([(1, 2, 0)], "a long, b long, except_mask int")
     out = lattice.refined(p, s, lambda f: f.filter("id = 2"))
-    assert {r.id: r.perms for r in out.collect()} == {1: lattice.READ, 2: 0}
-    c = spark.createDataFrame([(1, "all_perms", 6), (1, "no_perms", 2)], "id long, kind string, mask int")
-    assert {r.id: r.perms for r in lattice.constrained(p, c).collect()} == {1: (lattice.UNIQUE | lattice.READ | 6) & ~2, 2: lattice.UNIQUE}
+    assert {r.id: r.perms for r in out.collect()} == {1: lattice.READ, 2: lattice.READ}
+    v = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 2)], "id long, low long")
+    le = spark.createDataFrame([(1, 2)], "a long, b long")
+    caps = spark.createDataFrame([(3, 1)], "id long, cap long")
+    mins = spark.createDataFrame([(2, 3), (2, 4)], "id long, part long")
+    assert {tuple(r) for r in lattice.bounds(v, le, caps, mins=mins).collect()} == {(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 2, 2)}
 
 
 def test_paths_and_attributes(spark):
@@ -135,10 +220,12 @@ def test_paths_and_attributes(spark):
 
 
 def test_steps(spark):
-    step = "array<struct<kind:string,index:long,literal:boolean>>"
+    step = "array<struct<kind:string,index:long,literal:boolean,splittable:boolean>>"
+    f = lambda i, s=True: ("Field", i, True, s)
+    x = lambda i, lit=True, s=False: ("Index", i, lit, s)
     rows = [
-        ([("Field", 1, True)], [("Field", 2, True)], True), ([("Field", 1, True)], [("Field", 1, True), ("Field", 2, True)], False),
-        ([("Index", 1, True)], [("Index", 2, True)], False), ([("Field", 1, True), ("Index", 1, False), ("Field", 1, True)], [("Field", 1, True), ("Index", 9, True), ("Field", 2, True)], False),
+        ([f(1)], [f(2)], True), ([f(1)], [f(1), f(2)], False), ([x(1)], [x(2)], False), ([x(1, s=True)], [x(2, s=True)], True), ([f(1), x(1, False), f(1)], [f(1), x(9), f(2)], False),
+        ([f(1, False), f(1)], [f(1, False), f(2)], False), ([f(1, False)], [f(2)], False), ([], [f(2)], False),
     ]
     df = spark.createDataFrame(rows, f"a {step}, b {step}, want boolean")
     assert all(r.got == r.want for r in df.withColumn("got", conflicts.separable(F.col("a"), F.col("b"))).collect())
