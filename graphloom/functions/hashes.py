@@ -23,8 +23,29 @@ def _add(a: Column, b: Column) -> Column:
     return F.shiftleft(top.bitwiseAND(F.lit(3)), 62).bitwiseOR(s.bitwiseAND(low))
 
 
+def _rotated(x: Column, n: int) -> Column:
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n))
+
+
+def jodyhash(words: Column) -> Column:
+    """A 64-bit hash of an array of 64-bit words, as a signed long; of an empty array 0."""
+    salt = F.lit(0x1F3D5B79).cast("long")  # fixed value
+
+    def step(h: Column, w: Column) -> Column:
+        x = _rotated(_add(_add(h, w), salt), 14).bitwiseXOR(w)
+        return _add(_rotated(x, 14).bitwiseXOR(salt), w)
+
+    return F.aggregate(words, F.lit(0).cast("long"), step)
+
+
 def normal_path(path: Column) -> Column:
-    """``.`` and ``..`` resolved in the text alone; ``..`` at the root or at a relative start goes."""
-    step = lambda a, p: F.when((p == ".") | (p == ""), a).when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, p))
+    """``.`` and ``..`` resolved in the text alone; a ``..`` with no named part before it stays."""
+    up = lambda a: (F.size(a) > 0) & (F.get(a, F.size(a) - 1) != "..")
+    step = lambda a, p: F.when((p == ".") | (p == ""), a).when((p == "..") & up(a), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, p))
     parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
     return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def joined_path(directory: Column, path: Column) -> Column:
+    """A path seen from a directory; an absolute one stands alone."""
+    return F.when(path.startswith("/") | directory.isNull() | (directory == ""), path).otherwise(F.concat_ws("/", directory, path))

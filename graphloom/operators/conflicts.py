@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How much an access destroys.
@@ -43,11 +43,20 @@ def same_step(a: Column, b: Column) -> Column:
 
 
 def separable(a: Column, b: Column) -> Column:
-    """The paths part at a field after a common beginning of fields; if one begins the other they never part."""
+    """The paths part at a step that can be split, after a common beginning of such steps; if one begins the other they never part.
+
+    A step is (kind, index, literal, splittable).
+    """
     n = F.least(F.size(a), F.size(b))
-    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.struct(same_step(x, y).alias("same"), ((x["kind"] == "Field") & (y["kind"] == "Field")).alias("field")))
+    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.struct(same_step(x, y).alias("same"), (x["splittable"] & y["splittable"]).alias("split")))
     stop = F.array_position(F.transform(pairs, lambda p: p["same"]), F.lit(False)).cast("int")
-    return (stop > 0) & F.forall(F.slice(pairs, F.lit(1), F.greatest(stop, F.lit(0))), lambda p: p["field"])
+    return F.coalesce((stop > 0) & F.forall(F.slice(pairs, F.lit(1), F.greatest(stop, F.lit(0))), lambda p: p["split"]), F.lit(False))
+
+
+def unresolved(pairs: DataFrame) -> DataFrame:
+    """Conflict pairs whose places, of one known root, do not part at a split; ``a`` and ``b`` have ``path``."""
+    known = F.coalesce(F.col("a.root") == F.col("b.root"), F.lit(False))
+    return pairs.filter(~(known & separable(F.col("a.path"), F.col("b.path"))))
 
 
 def chosen_side(pairs: DataFrame) -> DataFrame:
@@ -58,11 +67,17 @@ def chosen_side(pairs: DataFrame) -> DataFrame:
 
 
 def planned(pairs: DataFrame, feasible: DataFrame) -> DataFrame:
-    """(call, ord): the distinct picks of each call in order of place, of calls whose picks are all feasible."""
-    picks = chosen_side(pairs).select("call", F.col("pick.ord").alias("ord")).distinct()
-    ok = picks.join(feasible.select("call", "ord", F.lit(True).alias("ok")), ["call", "ord"], "left")
+    """(call, outer, ord): what is lifted out of each call whose lifts are all feasible.
+
+    Pairs that part at a split need nothing. Of the others one side is chosen, and
+    its outer expression is lifted, once, for the first pair that asks for it;
+    ``ord`` is that pair's access, ``feasible`` is (call, outer, ord). Order is the place of the access.
+    """
+    picks = chosen_side(unresolved(pairs)).select("call", F.col("pick.outer").alias("outer"), F.struct("a.ord", "b.ord").alias("edge"), F.col("pick.ord").alias("ord"))
+    once = picks.groupBy("call", "outer").agg(F.min_by("ord", "edge").alias("ord"))
+    ok = once.join(feasible.select("call", "outer", "ord", F.lit(True).alias("ok")).distinct(), ["call", "outer", "ord"], "left")
     whole = ok.groupBy("call").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("all_ok")).filter("all_ok")
-    return picks.join(whole.select("call"), "call", "left_semi")
+    return once.join(whole.select("call"), "call", "left_semi")
 
 
 def _holders(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
@@ -98,6 +113,15 @@ def parents_by_range(ranges: DataFrame, key: str = "file") -> DataFrame:
     return ranges.select("id").join(best, "id", "left")
 
 
+def post_order(ranges: DataFrame, key: str = "file") -> DataFrame:
+    """Append ``place``: each range's number from 0 in its key, inner ranges before those that hold them, neighbours from left to right.
+
+    The ranges are nested or apart; of equal ones the one with the larger id is the inner one.
+    """
+    order = Window.partitionBy(key).orderBy("end", F.desc("start"), F.desc("id"))
+    return ranges.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+
+
 def item_uses(references: DataFrame, ranges: DataFrame) -> DataFrame:
     """(user, used): distinct pairs of the item around each reference and the item that it names."""
     return innermost(references, ranges).filter("range_id IS NOT NULL").select(F.col("range_id").alias("user"), "used").distinct()

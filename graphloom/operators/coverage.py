@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.iterate import numbered
+
 
 @dataclass(frozen=True)
 class CoverSet:
@@ -95,7 +97,19 @@ def line_markers(a: CoverSet, lines: DataFrame) -> DataFrame:
 
 def merge_configs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(config, index): the distinct configs of both, numbered from 0 in order."""
-    return a.select("config").union(b.select("config")).distinct().withColumn("index", (F.row_number().over(Window.orderBy("config")) - 1).cast("long"))
+    return numbered(a.select("config").union(b.select("config")).distinct(), "config", "index")
+
+
+def remapped(files: DataFrame, configs: DataFrame, merged: DataFrame, column: str = "config_index") -> DataFrame:
+    """``files`` with their index into ``configs`` (config, index) put as the index into ``merged``; files without one stay as they are."""
+    new = configs.select(F.col("index").alias("__old__"), "config").join(merged.select("config", F.col("index").alias("__new__")), "config").drop("config")
+    rest = [F.col("__new__").alias(c) if c == column else F.col(c) for c in files.columns]
+    return files.join(new, F.col(column) == F.col("__old__"), "left").select(*rest)
+
+
+def report(a: CoverSet, lines: DataFrame | None = None) -> tuple[CoverSet, DataFrame]:
+    """The set itself, and what to print of it: sums, or with ``lines`` (file, line) a marker for each line."""
+    return a, totals(a) if lines is None else line_markers(a, lines)
 
 
 def line_count(text: Column) -> Column:
@@ -106,23 +120,23 @@ def line_count(text: Column) -> Column:
 def lines_from_segments(segments: DataFrame) -> DataFrame:
     """(file, line, covered) of coverable lines, from (file, line, col, count, has_count), lines from 1.
 
-    A segment's count holds up to the next segment. It covers its own line if it
-    starts before the line's end (``line_len``, if given), the next one's line
-    only if that starts after column 1. The last segment counts for its own line
-    if its count is above 0. Counts may be written as text; a segment without a
-    count is neither covered nor coverable.
+    A segment's count holds up to the next segment. A segment that starts right
+    behind the end of its line (``line_len``, if given) counts from the next line
+    on; one that is followed by a segment at column 1 ends on the line before. The
+    last segment counts for its own line if its count is above 0. Counts may be
+    whole numbers written as text; a segment with any other count is left out, and
+    so is one with a line below 1. One without a count is neither covered nor coverable.
     """
     order = Window.partitionBy("file").orderBy("line", "col")
-    count = F.coalesce(F.col("count").try_cast("double"), F.lit(0.0))
-    s = segments.withColumn("n", F.when(F.col("has_count"), count).otherwise(0.0))
-    s = s.withColumns({"next_line": F.lead("line").over(order), "next_col": F.lead("col").over(order)})
+    count = F.when(F.col("count").cast("string").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(F.col("count").cast("string")).try_cast("decimal(38,0)"))
+    s = segments.withColumn("n", F.when(F.col("has_count"), count).otherwise(0)).filter("n IS NOT NULL AND line > 0")
+    s = s.withColumns({"col": F.coalesce("col", F.lit(1)), "next_line": F.lead("line").over(order), "next_col": F.lead(F.coalesce("col", F.lit(1))).over(order)})
+    first = F.col("line")
     if "line_len" in segments.columns:
-        first = F.when(F.col("line_len").isNotNull() & (F.col("col") > F.col("line_len")), F.col("line") + 1).otherwise(F.col("line"))
-    else:
-        first = F.col("line")
-    final = F.when(F.col("next_col") <= 1, F.col("next_line") - 1).otherwise(F.col("next_line"))
-    upto = F.when(F.col("next_line").isNotNull(), final).when(F.col("n") > 0, F.col("line"))
-    each = s.filter("has_count").withColumns({"first": first, "upto": upto}).filter("upto >= first")
+        first = F.when(F.col("col") == F.col("line_len") + 1, F.col("line") + 1).otherwise(first)
+    final = F.when(F.col("next_col") == 1, F.col("next_line") - 1).otherwise(F.col("next_line"))
+    upto = F.when(F.col("next_line").isNotNull(), final).when(F.col("n") > 0, F.col("first"))
+    each = s.withColumn("first", first).withColumn("upto", upto).filter("has_count AND upto >= first")
     each = each.select("file", F.explode(F.sequence("first", "upto")).alias("at"), "n")
     return each.groupBy("file", (F.col("at") - 1).cast("long").alias("line")).agg(F.bool_or(F.col("n") > 0).alias("covered"))
 
@@ -147,11 +161,15 @@ def preset_values(presets: dict[str, dict], name: str, path: tuple[str, ...] = (
 
 
 def feature_names(frame: DataFrame) -> DataFrame:
-    """(config, features) from (config, variable, value): true values give the bare name, false ones nothing, others name_value."""
-    v = F.upper("value")
-    name = F.lower("variable")
-    feature = F.when(v.isin("ON", "TRUE"), name).when(~v.isin("OFF", "FALSE", ""), F.concat(name, F.lit("_"), F.lower("value")))
-    return frame.groupBy("config").agg(F.array_sort(F.collect_set(feature)).alias("features"))
+    """(config, features) from (config, ord, variable, value, boolean), features in order of ``ord``, spelled as the variables are.
+
+    A variable all of whose allowed values are booleans (``boolean``) gives its
+    bare name if the value is ON or TRUE in any case, else nothing; others give name_value.
+    """
+    bare = F.when(F.upper("value").isin("ON", "TRUE"), F.col("variable"))
+    feature = F.when(F.col("boolean"), bare).otherwise(F.concat("variable", F.lit("_"), "value"))
+    every = F.array_sort(F.collect_list(F.when(feature.isNotNull(), F.struct("ord", feature.alias("feature")))))
+    return frame.groupBy("config").agg(F.transform(every, lambda x: x["feature"]).alias("features"))
 
 
 def merged_dependencies(specs: DataFrame) -> DataFrame:

@@ -10,18 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_buckets(rows: DataFrame, key: str = "key") -> DataFrame:
-    """(key, bucket, start, end, n): runs in which each interval starts before the one before it ends.
+def overlap_buckets(rows: DataFrame, key: str = "key", header: str = "header") -> DataFrame:
+    """(key, header, start, end, n, is_defn): runs in which each interval of a header starts before the one before it ends.
 
-    The comparison is with the previous entry, not with the furthest end so far.
-    In a key of several entries a bucket of one is left out; a lone entry stays.
+    ``rows`` is (key, header, ord, start, end, is_defn). The comparison is with the
+    previous entry, not with the furthest end so far. A key of one entry keeps it;
+    of a key with several entries, in whatever headers, runs of one are left out.
     """
-    order = Window.partitionBy(key).orderBy("start", "end", "ord")
+    order = Window.partitionBy(key, header).orderBy("start", "end", "ord")
     opens = F.when(F.col("start") < F.lag("end").over(order), 0).otherwise(1)
     b = rows.withColumn("opens", opens).withColumn("bucket", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.groupBy(key, "bucket").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+    b = b.groupBy(key, header, "bucket").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.bool_or("is_defn").alias("is_defn"))
     total = F.sum("n").over(Window.partitionBy(key))
-    return b.withColumn("total", total).filter("n > 1 OR total = 1").drop("total")
+    return b.withColumn("total", total).filter("n > 1 OR total = 1").drop("total", "bucket")
 
 
 def sorted_edits(edits: DataFrame) -> DataFrame:
@@ -59,11 +60,13 @@ def split_insertions(edits: DataFrame) -> DataFrame:
 
 
 def map_offsets(offsets: DataFrame, edits: DataFrame) -> DataFrame:
-    """Append ``new`` to (file, at): the place after all edits that end at or before it; null inside one.
+    """Append ``new`` to (file, at): the place after all edits that start before it and end at or before it; null inside one.
 
-    One sorted pass over edits and offsets together; no pair of them is made.
+    An insertion at the offset itself does not move it. One sorted pass over
+    edits and offsets together; no pair of them is made.
     """
-    e = edits.select("file", (F.col("off") + F.col("len")).alias("at"), (F.octet_length("text") - F.col("len")).cast("long").alias("grown"), F.col("off").alias("from"), F.lit(0).alias("side"))
+    at_end = F.when(F.col("len") > 0, 0).otherwise(2)  # at one place: replacements that end there, offsets, insertions
+    e = edits.select("file", (F.col("off") + F.col("len")).alias("at"), (F.octet_length("text") - F.col("len")).cast("long").alias("grown"), F.col("off").alias("from"), at_end.alias("side"))
     o = offsets.select("file", "at", F.lit(None).cast("long").alias("grown"), F.lit(None).cast("long").alias("from"), F.lit(1).alias("side"))
     order = Window.partitionBy("file").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("file").orderBy("at", "side").rowsBetween(1, Window.unboundedFollowing)
@@ -80,11 +83,19 @@ def edited_ranges(edits: DataFrame) -> DataFrame:
     return edits.withColumn("new_start", start).select("file", "off", "len", "new_start", (F.col("new_start") + size).alias("new_end"))
 
 
-def unique_place(text: Column, part: Column) -> Column:
-    """Where ``part`` stands in ``text`` (from 0) if it does so once; null for none or several, overlapping ones too."""
-    at = F.instr(text, part)
-    again = F.instr(F.substring(text, at + 1, F.char_length(text)), part)
-    return F.when((at > 0) & (again == 0), at - 1)
+def unique_place(text: Column, part: Column, begin: Column | None = None, end: Column | None = None) -> Column:
+    """Where ``part`` stands in the characters from ``begin`` to ``end`` of ``text`` (from 0), if it does so once.
+
+    Null for none or several, overlapping ones too, and for an empty part. A
+    negative or missing end is the text's end.
+    """
+    size = F.char_length(text)
+    low = F.lit(0) if begin is None else F.greatest(begin, F.lit(0))
+    high = size if end is None else F.when(end >= 0, F.least(end, size)).otherwise(size)
+    within = F.substring(text, low + 1, F.greatest(high - low, F.lit(0)))
+    at = F.instr(within, part)
+    again = F.instr(F.substring(within, at + 1, size), part)
+    return F.when((F.char_length(part) > 0) & (at > 0) & (again == 0), at - 1 + low)
 
 
 def replicated_edits(edits: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.hashes import joined_path, normal_path
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -13,16 +16,26 @@ def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def compile_commands(rows: DataFrame, pattern: str | None = None) -> DataFrame:
-    """Commands whose file matches, without assembly; one for each absolute file, the first."""
+    """Commands whose file matches, without assembly; one for each absolute file, the first.
+
+    A relative file is seen from the command's directory.
+    """
     kept = rows.filter(~F.col("file").rlike(r"\.[sS]$"))
-    return first_by(kept if pattern is None else kept.filter(F.col("file").rlike(pattern)), ["file"], ["idx"])
+    kept = (kept if pattern is None else kept.filter(F.col("file").rlike(pattern))).withColumn("__file__", normal_path(joined_path(F.col("directory"), F.col("file"))))
+    return first_by(kept, ["__file__"], ["idx"]).drop("__file__")
 
 
 def linked(links: DataFrame, commands: DataFrame) -> DataFrame:
-    """(link_idx, pos, input, idx) of every link input; idx is the last command with that output, null if none has it."""
-    by_output = commands.groupBy("output").agg(F.max("idx").alias("idx"))
-    each = links.select(F.col("idx").alias("link_idx"), F.posexplode("inputs").alias("pos", "input"))
-    return each.join(by_output, each["input"] == by_output["output"], "left").select("link_idx", "pos", "input", "idx")
+    """(link_idx, pos, input, idx) of every link input; idx is the last command with that output, null if none has it.
+
+    ``links`` is (idx, directory, inputs), ``commands`` (idx, directory, output).
+    An input is seen from its link's directory and an output from its command's,
+    so one object that two directories spell differently is one path.
+    """
+    place = lambda c: normal_path(joined_path(F.col("directory"), F.col(c)))
+    by_output = commands.filter("output IS NOT NULL").groupBy(place("output").alias("__path__")).agg(F.max("idx").alias("idx"))
+    each = links.select(F.col("idx").alias("link_idx"), "directory", F.posexplode("inputs").alias("pos", "input")).withColumn("__path__", place("input"))
+    return each.join(by_output, "__path__", "left").select("link_idx", "pos", "input", "idx")
 
 
 def leftovers(commands: DataFrame, joined: DataFrame) -> DataFrame:
@@ -31,17 +44,20 @@ def leftovers(commands: DataFrame, joined: DataFrame) -> DataFrame:
     return commands.join(used, "idx", "left_anti")
 
 
-def common_ancestor(paths: DataFrame, group: str, path: str = "path") -> DataFrame:
-    """(group, ancestor): the longest run of leading segments that all paths of a group share.
+def common_ancestor(paths: DataFrame, group: str, path: str = "path", order: str | None = None) -> DataFrame:
+    """(group, ancestor): the folder of a group's first file, cut to the leading parts that all its files share.
 
-    The lowest and the highest path in segment order differ no later than any two do.
+    A file is never its own ancestor. Of paths in order of parts the lowest and the
+    highest differ no later than any two do. The first file is the one of the
+    lowest ``order``, else the lowest path; null paths do not count.
     """
     parts = F.split(path, "/")
-    ends = paths.groupBy(group).agg(F.min(parts).alias("a"), F.max(parts).alias("b"))
+    first = F.min_by(F.size(parts), F.struct(order, path)) if order else F.size(F.min(parts))
+    ends = paths.filter(F.col(path).isNotNull()).groupBy(group).agg(F.min(parts).alias("a"), F.max(parts).alias("b"), first.alias("n"))
     same = F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y))
     stop = F.array_position(same, F.lit(False))
-    shared = F.when(stop > 0, stop - 1).otherwise(F.least(F.size("a"), F.size("b"))).cast("int")
-    return ends.select(group, F.array_join(F.slice("a", 1, shared), "/").alias("ancestor"))
+    shared = F.when(stop > 0, stop - 1).otherwise(F.least(F.size("a"), F.size("b")))
+    return ends.select(group, F.array_join(F.slice("a", 1, F.least(shared, F.col("n") - 1).cast("int")), "/").alias("ancestor"))
 
 
 def function_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -112,9 +128,41 @@ def merged_items(base: DataFrame, new: DataFrame, overwrite_only: bool = False)
     return b.join(n, "path", "left" if overwrite_only else "full").select("path", F.coalesce("put", "old").alias("text"))
 
 
-def cache_key(row: Column) -> Column:
-    """The key of a cached result: SHA-256 of a struct's JSON, fields in the order given."""
-    return F.sha2(F.to_json(row), 256)
+def split_items(texts: DataFrame, marker: str = r"^//@ (\S+)$") -> DataFrame:
+    """(source, path, text): texts cut at marker lines that name the path of what follows; what stands before the first one has an empty path.
+
+    ``texts`` is (source, text). The markers are not part of the pieces; of a path
+    that comes twice the later piece counts, as in a map.
+    """
+    cut_at = f"(?m){marker}\n?"
+    pieces = F.split("text", cut_at, -1)
+    names = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(f"(?m){marker}"), 1))
+    each = texts.select("source", F.posexplode(F.arrays_zip(names.alias("path"), pieces.alias("text"))).alias("pos", "x")).select("source", "pos", "x.path", "x.text")
+    return each.filter("path <> '' OR text <> ''").groupBy("source", "path").agg(F.max_by("text", "pos").alias("text"))
+
+
+def _sorted_fields(value: Column, kind: T.DataType) -> Column:
+    """A value whose structs have their fields by name, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.struct(*(_sorted_fields(value[f.name], f.dataType).alias(f.name) for f in fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted_fields(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(value)))
+    return value
+
+
+def cache_key(df: DataFrame, columns: list[str]) -> Column:
+    """The key of a cached result: SHA-256 of the JSON of some columns, keys in order of name at every depth, nulls written out."""
+    row = F.struct(*(_sorted_fields(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(columns)))
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+
+
+def cached(df: DataFrame, columns: list[str], store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key a store (key, ...) has, with what it keeps for them, and the rows to be computed, both with ``key``."""
+    keyed = df.withColumn("key", cache_key(df, columns))
+    return keyed.join(store, "key"), keyed.join(store, "key", "left_anti")
 
 
 def pruned_cache(entries: DataFrame, now: int, max_age: int) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +27,44 @@ def read_coverset(spark: SparkSession, path: str) -> DataFrame:
     return each.select("file", name.alias("path"), "f.expanded_hash", "f.covered", "f.coverable", F.coalesce("f.compression", F.lit("identity")).alias("compression"), config.alias("config"))
 
 
+def write_coverset(files: DataFrame, configs: list[list[str]], path: str) -> None:
+    """The inverse of ``read_coverset``: one JSON document of files (file, path, expanded_hash, covered, coverable, compression, config_index or config) and configs.
+
+    A set is a report on one program, one document by its form; its files are gathered for that.
+    """
+    index = F.col("config_index") if "config_index" in files.columns else F.lit(None).cast("int")
+    inline = F.col("config") if "config" in files.columns else F.lit(None).cast("array<string>")
+    name = F.struct(F.col("path").alias("utf8"), F.lit(None).cast("string").alias("hex"))
+    config = F.struct(index.cast("int").alias("index"), F.when(index.isNull(), inline).alias("inline"))
+    info = F.struct(name.alias("filepath"), "expanded_hash", "covered", "coverable", "compression", config.alias("config"))
+    one = files.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", F.to_json(info).alias("info"))))).alias("files"))
+    parsed = F.transform_values("files", lambda _, x: F.from_json(x, COVERSET.split("map<string, ")[1].split(">, configs")[0]))
+    one.select(parsed.alias("files"), F.lit(configs).cast("array<array<string>>").alias("configs") if configs else F.array().cast("array<array<string>>").alias("configs")).coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, col, count, has_count) of a coverage export; items without the usual fields are left out."""
+    """(ord, file, line, col, count, has_count) of a coverage export; items without the usual fields are left out.
+
+    ``ord`` is the file's place in the export. A column that is no number is 1.
+    """
     seg = "array<array<string>>"
     raw = spark.read.schema(f"data array<struct<files:array<struct<filename:string, segments:{seg}>>>>").option("multiLine", True).json(path)
-    each = raw.select(F.explode("data").alias("d")).select(F.explode("d.files").alias("f")).select(F.col("f.filename").alias("file"), F.explode("f.segments").alias("s"))
-    each = each.filter("file IS NOT NULL AND size(s) >= 3")
-    has = F.coalesce(F.get("s", F.lit(3)) == "true", F.lit(True))
-    return each.select("file", F.get("s", F.lit(0)).try_cast("long").alias("line"), F.get("s", F.lit(1)).try_cast("long").alias("col"), F.get("s", F.lit(2)).alias("count"), has.alias("has_count")).filter("line IS NOT NULL AND col IS NOT NULL")
+    each = raw.select(F.posexplode("data").alias("i", "d")).select("i", F.posexplode("d.files").alias("j", "f")).select(F.struct("i", "j").alias("ord"), F.col("f.filename").alias("file"), F.explode("f.segments").alias("s"))
+    each = each.filter("file IS NOT NULL AND file <> '' AND size(s) >= 3")
+    has = F.coalesce(~F.get("s", F.lit(3)).isin("false", "0"), F.lit(True))
+    col = F.coalesce(F.get("s", F.lit(1)).try_cast("long"), F.lit(1))
+    return each.select("ord", "file", F.get("s", F.lit(0)).try_cast("long").alias("line"), col.alias("col"), F.get("s", F.lit(2)).alias("count"), has.alias("has_count")).filter("line IS NOT NULL")
+
+
+def by_content(segments: DataFrame, sources: DataFrame) -> DataFrame:
+    """Segments with ``file`` put as the SHA-256 of the file's bytes, and ``path``; of files of equal bytes the last one of the export counts.
+
+    ``sources`` is (file, content).
+    """
+    hashed = sources.select(F.col("file").alias("path"), F.sha2("content", 256).alias("hash"))
+    each = segments.withColumnRenamed("file", "path").join(hashed, "path")
+    last = each.groupBy("hash").agg(F.max("ord").alias("ord"))
+    return each.join(last, ["hash", "ord"]).withColumnRenamed("hash", "file")
 
 
 def read_compile_commands(spark: SparkSession, path: str) -> DataFrame:
@@ -50,11 +82,12 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An event log of JSON lines, up to the first line that does not parse; order is the given ``seq``."""
+    """An event log of JSON lines, of each file up to the first line that does not parse; order is the given ``seq``."""
     parsed = F.from_json("value", f"{schema}, bad string", {"columnNameOfCorruptRecord": "bad"})
-    raw = spark.read.text(path).filter("value <> ''").select(parsed.alias("e")).select("e.*")
-    first_bad = raw.groupBy().agg(F.min(F.when(F.col("bad").isNotNull(), F.regexp_extract("bad", r'"seq"\s*:\s*([0-9]+)', 1).try_cast("long"))).alias("stop"))
-    return raw.filter("bad IS NULL").crossJoin(F.broadcast(first_bad)).filter("stop IS NULL OR seq < stop").drop("bad", "stop")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("from"), place.alias("place")).filter("value <> ''").select(parsed.alias("e"), "from", "place").select("e.*", "from", "place")
+    stop = raw.filter("bad IS NOT NULL").groupBy("from").agg(F.min("place").alias("stop"))
+    return raw.filter("bad IS NULL").join(stop, "from", "left").filter("stop IS NULL OR place < stop").drop("bad", "stop", "place", "from")
 
 
 def merged_metadata(parts: list[DataFrame], key: str = "proj_key") -> DataFrame:
@@ -77,6 +110,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+@contextmanager
+def recorded(spark: SparkSession, path: str) -> Iterator[dict]:
+    """A record that its user fills and that is written as JSON at the end, also when the work inside fails."""
+    record: dict = {}
+    try:
+        yield record
+    finally:
+        spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_graph(nodes: DataFrame, path: str) -> None:
+    """Provenance nodes as Parquet, a folder for each run if there is ``run_id``."""
+    w = nodes.write.mode("overwrite")
+    (w.partitionBy("run_id") if "run_id" in nodes.columns else w).parquet(path)
+
+
 def lines_of_bitmaps(rows: DataFrame, column: str, name: str = "line") -> DataFrame:
     """(file, line) of base64 bitmaps: bit n of the little-endian bytes is line n; compression is identity, zlib or zstd."""
 
