@@ -1,10 +1,12 @@
 """N-gram Jaccard join by MinHash banding.
 
 A document is the set of its runs of five words. Documents of one set are one
-class. Classes whose minima agree in a band are candidates; candidates are
-gathered into clusters along stars (each member of a bucket with the bucket's
-smallest), and all pairs of a cluster are verified on the full sets, in tiles of
-two blocks. A tile gives sums and a spanning forest, never its pairs.
+class, named by a hash of the set. Classes whose minima agree in a band are
+candidates; candidates are gathered into clusters along stars (each member of a
+bucket with the bucket's smallest). Members of a cluster are put in layers by the
+size of their sets, so that only one layer and the next can hold links, and the
+pairs of these are verified on the full sets, in tiles of two blocks. A tile gives
+sums and a spanning forest, never its pairs.
 
 Bands follow from the recall asked for: two sets of similarity s share one of b
 bands of r rows with probability 1 - (1 - s^r)^b. For 0.8, r = 6 and b = 38
@@ -80,9 +82,14 @@ def _set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
 
 
-def signatures(docs: DataFrame, bands: int, rows: int = ROWS, n: int = N) -> DataFrame:
-    """doc_id, set_key (of the n-gram set; empty if it has none), bands (a hash for each band)."""
-    fields = [T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
+def _layer(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Sets of layers that differ by two or more differ too much in size to reach the threshold."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / -math.log(threshold) + 1e-9).astype(np.int32)
+
+
+def signatures(docs: DataFrame, bands: int, rows: int = ROWS, n: int = N, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and ``keep``, set_key (of the n-gram set; empty if it has none), layer (of its size), bands (a hash for each band)."""
+    fields = [T.StructField("set_key", T.BinaryType()), T.StructField("layer", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
     rng = np.random.default_rng(7)
     a = (rng.integers(0, 2**32, bands * rows, np.uint32) | np.uint32(1))[:, None]
     b = rng.integers(0, 2**32, bands * rows, np.uint32)[:, None]
@@ -104,14 +111,16 @@ def signatures(docs: DataFrame, bands: int, rows: int = ROWS, n: int = N) -> Dat
         bounds = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))])
         return [
             pa.array([_set_key(s) for s in sets], pa.binary()),
+            pa.array(_layer(np.array([len(s) for s in sets]), threshold), pa.int32()),
             pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys[full].reshape(-1).view(np.int64))),
         ]
 
-    return map_texts(docs, fields, fn, keep=["doc_id"])
+    return map_texts(docs, fields, fn, keep=["doc_id", *keep])
 
 
-def _tile(ids: np.ndarray, weights: np.ndarray, left: np.ndarray, sets: list[np.ndarray], diagonal: bool, threshold: float):
-    """Links inside one tile: (id, weight of its partners, smallest id that it reaches)."""
+def _tile(weights: np.ndarray, side: np.ndarray, sets: list[np.ndarray], diagonal: bool, threshold: float):
+    """Links inside one tile, between its two sides or within its only one: (set, weight of its partners, first set that it reaches), by number."""
+    ids = np.arange(len(sets))
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     values, cols = np.unique(np.concatenate(sets), return_inverse=True)
@@ -133,7 +142,7 @@ def _tile(ids: np.ndarray, weights: np.ndarray, left: np.ndarray, sets: list[np.
     link = both / (sizes[:, None] + sizes[None, :] - both) >= threshold
     np.fill_diagonal(link, False)
     if not diagonal:
-        link &= left[:, None] != left[None, :]
+        link &= side[:, None] != side[None, :]
     total = link @ weights
     root = ids.copy()
     while True:
@@ -145,25 +154,34 @@ def _tile(ids: np.ndarray, weights: np.ndarray, left: np.ndarray, sets: list[np.
     return ids[some], total[some], root[some]
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = N, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links of each document.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = N, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, class_id, n_links of each document; with ``keep`` also these columns, and ``component``, a key of the linked group (null without words or id).
 
     Two documents link if the Jaccard similarity of their n-gram sets is at
     least ``threshold``; n_links counts the others that a document links with,
     equal ones too. class_id is the smallest doc_id that links reach. Texts
     without words (null, empty, white space) link with nothing and are their own
     class, as are rows with a null id (class null). Rows that repeat an id are
-    each counted. An empty table gives no rows.
+    each counted, with equal texts and with others. Texts are taken whole,
+    whatever their length; columns other than the two are not read. An empty
+    table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = cut(signatures(docs, bands_for(threshold, recall, rows), rows, n))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    sig = cut(signatures(docs, bands_for(threshold, recall, rows), rows, n, threshold, keep))
     named = sig.filter("doc_id IS NOT NULL AND set_key <> X''")
-    classes = cut(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")))
-    cells = classes.select("rep", F.explode("bands").alias("cell"))
-    buckets = cells.groupBy("cell").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
-    stars = cells.join(buckets, "cell").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    clusters = components(stars).withColumnRenamed("id", "rep")
-    clusters = cut(clusters.join(clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "component").join(classes.select("rep", "copies", "set_key"), "rep"))
+    # candidates are gathered by c, a number of the set; two sets of one number only make a cluster larger
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("layer").alias("layer"), F.any_value("bands").alias("bands"))
+    classes = cut(classes.withColumn("c", F.xxhash64("set_key")))
+    cells = classes.select("c", F.explode("bands").alias("cell"))
+    buckets = cells.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    stars = cells.join(buckets, "cell").filter("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b"))
+    clusters = components(stars).withColumnRenamed("id", "c")
+    sizes = clusters.join(classes.select("c", "layer"), "c").groupBy("component", "layer").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = cut(sizes)
+    near = sizes.select("component", (F.col("layer") - 1).alias("layer"), F.col("blocks").alias("above"))
+    near = sizes.join(near, ["component", "layer"], "left").join(sizes.select("component", (F.col("layer") + 1).alias("layer"), F.col("blocks").alias("under")), ["component", "layer"], "left")
+    members = clusters.join(classes.select("c", "copies", "set_key", "layer", "rep"), "c").join(near, ["component", "layer"]).na.fill(0, ["above", "under"])
+    members = cut(members)
 
     gram = T.StructField("grams", T.ArrayType(T.LongType(), False))
     key = T.StructField("found_key", T.BinaryType())
@@ -174,51 +192,55 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         return [pa.array([_set_key(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))]
 
-    members = docs.join(clusters, docs["doc_id"] == clusters["rep"]).drop("doc_id")
-    sets = map_texts(members, [key, gram], fn).filter("found_key = set_key").drop("found_key", "set_key", "text")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tiles = (
-        sets.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "grams")
-    )
-    tiles = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
-    schema = "rep long, links long, root long"
+    # the texts of a class's smallest id; another text of that id is told by its set
+    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    texts = docs.select("doc_id", "text").join(members, docs["doc_id"] == members["rep"]).drop("doc_id", "rep", "c")
+    sets = map_texts(texts, [key, gram], fn).filter("found_key = set_key").drop("found_key", "text").withColumn("own", own)
+    tile = lambda lo, i, j, side: F.struct(lo.alias("lo"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    span = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    inside = F.transform(span("blocks"), lambda o: tile(F.col("layer"), F.least("own", o), F.greatest("own", o), 0))
+    upward = F.transform(span("above"), lambda o: tile(F.col("layer"), F.col("own"), -1 - o, 1))
+    downward = F.transform(span("under"), lambda o: tile(F.col("layer") - 1, o, -1 - F.col("own"), 2))
+    tiles = sets.withColumn("t", F.explode(F.concat(inside, upward, downward))).select("component", "t.lo", "t.i", "t.j", "t.side", "own", "set_key", "copies", "grams")
+    tiles = tiles.repartition("component", "lo", "i", "j").sortWithinPartitions("component", "lo", "i", "j", "set_key")
+    schema = "set_key binary, links long, root binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[bytes, tuple] = {}
         at = None
 
         def close() -> pa.RecordBatch | None:
-            seen, once = set(), []
-            for row in held:
-                if row[1] not in seen:
-                    seen.add(row[1])
-                    once.append(row)
-            if len(once) < 2:
+            if len(held) < 2:
                 return None
-            got = _tile(np.array([r[1] for r in once]), np.array([r[2] for r in once]), np.array([r[0] for r in once]), [r[3] for r in once], at[1] == at[2], threshold)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["rep", "links", "root"])
+            side, weights, sets_ = zip(*held.values())
+            who, total, root = _tile(np.array(weights), np.array(side), list(sets_), at[2] == at[3], threshold)
+            names = pa.array(list(held), pa.binary())
+            return pa.RecordBatch.from_arrays([names.take(pa.array(who)), pa.array(total, pa.int64()), names.take(pa.array(root))], names=["set_key", "links", "root"])
 
         for batch in batches:
-            comp, i, j, own_, rep, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            grams = batch.column(6)
+            comp, lo, i, j, side, own_ = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            keys, copies, grams = batch.column(6).to_pylist(), batch.column(7).to_pylist(), batch.column(8)
             flat, offsets = grams.values.to_numpy(zero_copy_only=False).view(np.uint64), grams.offsets.to_numpy()
             for k in range(batch.num_rows):
-                tile = (comp[k], i[k], j[k])
-                if tile != at:
+                tile_ = (comp[k], lo[k], i[k], j[k])
+                if tile_ != at:
                     if (out := close()) is not None:
                         yield out
-                    held, at = [], tile
-                held.append((own_[k], rep[k], copies[k], flat[offsets[k] : offsets[k + 1]].copy()))
+                    held, at = {}, tile_
+                if keys[k] not in held:
+                    # a tile of two layers has these as sides, a tile of one layer its two blocks
+                    held[keys[k]] = (side[k] if j[k] < 0 else own_[k], copies[k], flat[offsets[k] : offsets[k + 1]].copy())
         if (out := close()) is not None:
             yield out
 
     found = cut(tiles.mapInArrow(run, schema))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    named_classes = classes.select("set_key", "rep", "copies").join(links, "rep", "left").join(comps, "rep", "left")
-    by_key = named_classes.select("set_key", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    done = named.select("doc_id", "set_key").join(by_key, "set_key").select("doc_id", "class_id", "n_links")
-    rest = sig.filter("doc_id IS NULL OR set_key = X''").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return done.union(rest)
+    links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
+    comps = components(found.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "set_key")
+    linked = classes.select("set_key", "rep", "copies").join(links, "set_key", "left").join(comps, "set_key", "left")
+    linked = cut(linked.withColumn("component", F.coalesce("component", "set_key")))
+    first = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
+    by_key = linked.join(first, "component").select("set_key", "component", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = ["doc_id", "class_id", "n_links", *keep, *(["component"] if keep else [])]
+    done = named.join(by_key, "set_key").select(*out)
+    rest = sig.filter("doc_id IS NULL OR set_key = X''").withColumns({"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "component": F.lit(None).cast("binary")})
+    return done.union(rest.select(*out))

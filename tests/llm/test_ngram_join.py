@@ -56,3 +56,33 @@ def test_edges(spark, docs):
 def test_bands_reach_the_recall():
     b = ngram_join.bands_for()
     assert 1 - (1 - 0.8**ngram_join.ROWS) ** b >= ngram_join.RECALL
+
+
+def test_ids_that_stand_on_several_texts(spark, docs):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "alpha beta gamma delta epsilon zeta eta theta iota kappa la mu"
+    rows = [(1, a, "x"), (1, b, "x"), (2, b + " nu", "x"), (3, a + " more", "x"), (3, "else", "x"), (1, a, "x")]
+    got = ngram_join.near_duplicates(docs(rows)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute(rows)) and (2, 1, 1) in {tuple(r) for r in got}
+
+
+def test_layers_and_repeated_ids_equal_brute_force(spark, docs):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(9999)}" for _ in range(400)]
+    rows = [(i, " ".join(base[: 40 + 6 * i] + [f"x{i}"] * (i % 3)), "a") for i in range(60)]
+    rows += [(i % 20, " ".join(base[10 : 150 + i]), "b") for i in range(40)]
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(docs(rows), block=4, recall=0.999999).collect())
+    assert got == brute(rows)
+
+
+def test_candidates_reach_the_recall_near_the_threshold(spark, docs):
+    """Pairs of 0.80 to 0.84: their sets share a band; the shares of pairs found are those of the formula."""
+    rng = random.Random(8)
+    rows, n = [], 0
+    for k in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(130)]
+        rows += [(n, " ".join(base), "a"), (n + 1, " ".join([*base, *(f"y{k}x{i}" for i in range(24 + k % 8))]), "a")]
+        n += 2
+    sims = {i: 126 / (126 + 24 + i // 2 % 8) for i in range(0, n, 2)}
+    got = {r.doc_id: r.class_id for r in ngram_join.near_duplicates(docs(rows)).collect()}
+    near = [i for i, s in sims.items() if s >= 0.8]
+    assert len(near) > 300 and sum(got[i + 1] == i for i in near) / len(near) >= 0.99 and all(got[i + 1] == i + 1 for i, s in sims.items() if s < 0.8)

@@ -43,3 +43,15 @@ def test_edges(spark, docs):
         assert stage(spark, docs(rows), SF).count() > 0
     kept = corpus_pipeline.near_duplicates_stage(spark, docs(rows), SF).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 2, 3]
+
+
+def test_clashing_columns_pass_and_texts_of_one_id_stay(spark, docs):
+    rows = [(1, "one two three four five six", "a"), (1, "seven eight nine ten eleven twelve", "a"), (2, "one two three four five six", "a"), (None, None, None)]
+    df = docs(rows).withColumnRenamed("lang", "score").withColumnRenamed("source", "held_out").withColumnRenamed("n_chars", "predicted")
+    out = corpus_pipeline.toxicity_stage(spark, df, SF)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    kept = corpus_pipeline.near_duplicates_stage(spark, df, SF)
+    assert kept.columns == df.columns and sorted(map(str, (r.text for r in kept.collect()))) == sorted(map(str, (r[1] for r in rows if r[0] != 2)))
+    last = corpus_pipeline.bpe_stage(spark, docs([(1, None, "a"), (2, "", "b"), (3, "x" * 300_000, None), (3, "x" * 300_000, None)]), SF).collect()
+    assert sorted((r.doc_id, r.n_tokens == 0) for r in last) == [(1, True), (2, True), (3, False), (3, False)] and all(r.round_trip for r in last)
+    assert corpus_pipeline.bpe_stage(spark, docs([]), SF).count() == 0
