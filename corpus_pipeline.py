@@ -9,21 +9,35 @@ from graphloom.llm import bpe, common, mixing, ngram_join, secret_scan, toxicity
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labelled ones that this stage is given."""
-    out = toxicity.classify(docs, common.table(spark, sf_dir, "labels"))
-    return out.filter("predicted = 0").select(*docs.columns)
+    """Documents that the classifier rejects go; it learns from the labelled ones that this stage is given.
+
+    Null and empty texts are scored like others, repeated rows alike; columns of
+    any name pass as they are; an empty table stays empty.
+    """
+    names = {c: f"__{i}__" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = toxicity.classify(docs.withColumnsRenamed(names), common.table(spark, sf_dir, "labels"))
+    return out.filter("predicted = 0").select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, once; rows without an id stay."""
-    kept = ngram_join.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__n__", F.row_number().over(once)).filter("__n__ = 1")
-    return named.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    """Of each group of linked documents the one with the smallest id stays, once; rows without an id stay.
+
+    An id that stands on several texts keeps each of them that has no partner of a
+    smaller id; of its texts that are linked, and of equal rows, one stays. Texts
+    without words link with nothing. An empty table stays empty.
+    """
+    key = F.coalesce(F.sha2(F.col("text"), 256), F.lit("-"))
+    own = docs.select("doc_id", "text", key.alias("__key__"))
+    found = ngram_join.near_duplicates(own, keep=("__key__",)).filter("doc_id = class_id")
+    group = F.coalesce(F.hex("component"), "__key__")
+    kept = found.groupBy("doc_id", group.alias("__group__")).agg(F.min("__key__").alias("__key__")).select("doc_id", "__key__")
+    once = Window.partitionBy("doc_id", "__key__").orderBy(F.xxhash64(*docs.columns))
+    left = docs.withColumn("__key__", key).join(kept, ["doc_id", "__key__"], "left_semi").withColumn("__n__", F.row_number().over(once)).filter("__n__ = 1")
+    return left.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked; every document stays."""
+    """Secrets in the texts are masked; every document stays, repeated ones each; null texts stay null, an empty table empty."""
     return secret_scan.redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
@@ -42,7 +56,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, and whether they decode to the row's text."""
+    """Token ids of each row, and whether they decode to the row's text; null and empty texts have none and decode to nothing.
+
+    Repeated rows have equal ids; an empty table gives no rows.
+    """
     out = bpe.encode(docs, decoded=True)
     back = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
