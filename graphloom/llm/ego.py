@@ -5,8 +5,10 @@ order of label and of the eps-grid cells of their leading principal dimensions.
 Consecutive runs of that order are the leaves of a tree of intervals, each with
 its bounding box. The join descends from pairs of roots to pairs of leaves and
 skips pairs whose boxes are over eps apart, which proves that no vector of one
-is near one of the other: projections never lengthen a distance. Leaf pairs are
-compared in full on all dimensions. Equal vectors of a label are one class.
+is near one of the other: projections never lengthen a distance. The tree has one
+root a label: intervals of a range of the order, then ranges, are put together
+``FANOUT`` at a time. Leaf pairs are compared in full on all dimensions. Equal
+vectors of a label are one class, named by a hash of label and vector.
 """
 
 from __future__ import annotations
@@ -76,8 +78,8 @@ def leaves(rows: DataFrame, axes: np.ndarray, eps: float, leaf: int = LEAF) -> D
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1]).cast(pa.list_(t)) for a, t in ((p, pa.float64()), (cells, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "p", "cell"])
 
-    put = rows.select("label", "rep", "copies", "v").mapInArrow(project, "label int, rep long, copies long, v array<float>, p array<double>, cell array<int>")
-    put = put.repartitionByRange("label", "cell", "rep").sortWithinPartitions("label", "cell", "rep").withColumn("part", F.spark_partition_id())
+    put = rows.select("label", "key", "copies", "v").mapInArrow(project, "label string, key string, copies long, v array<double>, p array<double>, cell array<int>")
+    put = put.repartitionByRange("label", "cell", "key").sortWithinPartitions("label", "cell", "key").withColumn("part", F.spark_partition_id())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, label, n = -1, None, 0
@@ -88,41 +90,38 @@ def leaves(rows: DataFrame, axes: np.ndarray, eps: float, leaf: int = LEAF) -> D
                     seq, label, n = seq + 1, x, 0
                 n += 1
                 out.append(seq)
-            keep = [batch.schema.get_field_index(c) for c in ("label", "rep", "copies", "v", "p", "part")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out, pa.int64())], names=["label", "rep", "copies", "v", "p", "part", "seq"])
+            keep = [batch.schema.get_field_index(c) for c in ("label", "key", "copies", "v", "p", "part")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out, pa.int64())], names=["label", "key", "copies", "v", "p", "part", "seq"])
 
-    return put.mapInArrow(number, "label int, rep long, copies long, v array<float>, p array<double>, part int, seq long")
+    return put.mapInArrow(number, "label string, key string, copies long, v array<double>, p array<double>, part int, seq long")
 
 
 def leaf_pairs(rows: DataFrame, dims: int, eps: float, fanout: int = FANOUT) -> DataFrame:
-    """Pairs of leaves whose boxes are within eps, by descending pairs of intervals from the roots."""
-    low = F.array(*(F.min(F.col("p")[i]) for i in range(dims)))
-    high = F.array(*(F.max(F.col("p")[i]) for i in range(dims)))
-    level = cut(rows.groupBy("label", "part", "seq").agg(low.alias("low"), high.alias("high")))
-    levels = [level]
-    top = level.agg(F.max("seq")).first()[0] or 0
-    while top >= fanout:
-        top //= fanout
-        low = F.array(*(F.min(F.col("low")[i]) for i in range(dims)))
-        high = F.array(*(F.max(F.col("high")[i]) for i in range(dims)))
-        level = level.withColumn("seq", F.floor(F.col("seq") / fanout)).groupBy("label", "part", "seq").agg(low.alias("low"), high.alias("high"))
+    """Pairs of leaves whose boxes are within eps, by descending pairs of intervals from one root a label."""
+    box = lambda side, f: F.array(*(f(F.col(side)[i]) for i in range(dims)))
+    level = cut(rows.groupBy("label", "part", "seq").agg(box("p", F.min).alias("low"), box("p", F.max).alias("high")))
+    levels, ups = [level], []
+    seqs, parts = (x or 0 for x in level.agg(F.max("seq"), F.max("part")).first())
+    while seqs or parts:
+        # leaves of a range first, then the ranges themselves
+        up = {"part": F.col("part"), "seq": F.floor(F.col("seq") / fanout)} if seqs else {"part": F.floor(F.col("part") / fanout).cast("int"), "seq": F.col("seq")}
+        seqs, parts = (seqs // fanout, parts) if seqs else (0, parts // fanout)
+        ups.append(up)
+        level = cut(level.withColumns(up).groupBy("label", "part", "seq").agg(box("low", F.min).alias("low"), box("high", F.max).alias("high")))
         levels.append(level)
     gap = " + ".join(f"pow(greatest(0D, a.low[{i}] - b.high[{i}], b.low[{i}] - a.high[{i}]), 2)" for i in range(dims))
     near = f"({gap}) <= {(eps + SLACK) ** 2!r}D AND (a.part, a.seq) <= (b.part, b.seq)"
-    pairs = None
-    for depth, level in reversed(list(enumerate(levels))):
-        node = F.struct("part", "seq", "low", "high")
-        if pairs is None:
-            both = level.select("label", node.alias("a")).join(level.select("label", node.alias("b")), "label").filter(near)
-        else:
-            up = lambda side: level.select("label", F.col("part").alias(f"{side}_part"), F.floor(F.col("seq") / fanout).alias(f"{side}_seq"), node.alias(side))
-            both = pairs.join(up("a"), ["label", "a_part", "a_seq"]).join(up("b"), ["label", "b_part", "b_seq"]).filter(near)
+    pairs = levels[-1].select("label", F.col("part").alias("a_part"), F.col("seq").alias("a_seq"), F.col("part").alias("b_part"), F.col("seq").alias("b_seq"))
+    node = F.struct("part", "seq", "low", "high")
+    for level, up in zip(reversed(levels[:-1]), reversed(ups), strict=True):
+        side = lambda s: level.select("label", up["part"].alias(f"{s}_part"), up["seq"].cast("long").alias(f"{s}_seq"), node.alias(s))  # noqa: E731, B023
+        both = pairs.join(side("a"), ["label", "a_part", "a_seq"]).join(side("b"), ["label", "b_part", "b_seq"]).filter(near)
         pairs = cut(both.select("label", F.col("a.part").alias("a_part"), F.col("a.seq").alias("a_seq"), F.col("b.part").alias("b_part"), F.col("b.seq").alias("b_seq")))
     return pairs
 
 
-def _compare(v: np.ndarray, rep: np.ndarray, weight: np.ndarray, side: np.ndarray, threshold: float):
-    """Links of one leaf pair: (rep, weight of its partners, smallest rep that it reaches)."""
+def _compare(v: np.ndarray, weight: np.ndarray, side: np.ndarray, threshold: float):
+    """Links of one leaf pair: (row, weight of its partners, smallest row that it reaches), rows by number."""
     norm = np.sqrt((v * v).sum(axis=1))
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     same = not len(b)
@@ -134,7 +133,7 @@ def _compare(v: np.ndarray, rep: np.ndarray, weight: np.ndarray, side: np.ndarra
     total[a] += link @ weight[b]
     if not same:
         total[b] += weight[a] @ link
-    root = rep.copy()
+    root = np.arange(len(v))
     none = np.iinfo(np.int64).max
     while True:
         old = root.copy()
@@ -143,31 +142,38 @@ def _compare(v: np.ndarray, rep: np.ndarray, weight: np.ndarray, side: np.ndarra
         if (old == root).all():
             break
     some = total > 0
-    return rep[some], total[some], root[some]
+    return np.flatnonzero(some), total[some], root[some]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, dims: int = DIMS, leaf: int = LEAF) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
-    Vectors link if their labels are equal and not null and their cosine, in
-    double precision, is at least ``threshold``. A vector that is null or zero,
-    or holds null, NaN or infinite components, links with nothing, nor does one
-    with a null id; it is its own component. All usable vectors have the same
-    number of components, else the comparison fails. Rows of one id and one
-    vector count each; an empty table gives no rows.
+    Vectors link if their labels are equal and not null, they have equally many
+    components, and their cosine, in double precision, is at least ``threshold``.
+    A vector that is null or zero, or holds null, NaN or infinite components,
+    links with nothing, nor does one with a null id; it is its own component.
+    Rows of one id count each, with equal vectors or others; an empty table gives
+    no rows; columns other than the three are not read.
     """
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("v"))
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     usable = F.coalesce(F.forall("v", number) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
-    keyed = every.withColumn("usable", usable).withColumn("k1", F.xxhash64("label", "v")).withColumn("k2", F.xxhash64(F.lit(1), "v", "label"))
-    classes = cut(keyed.filter("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
+    key = F.concat_ws("/", F.xxhash64("label", "v"), F.xxhash64(F.lit(1), "v", "label"))
+    keyed = every.withColumn("usable", usable).withColumn("key", key).withColumn("label", F.concat_ws("/", F.size("v"), "label"))
+    good = keyed.filter("usable")
+    longest = good.agg(F.max(F.size("v"))).first()[0] or 0
+    # shorter vectors are filled with zeros: their labels keep them apart
+    most = F.array_max(F.transform("v", F.abs))
+    tame = F.when(most.between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x / most))  # squares stay finite and above zero
+    full = F.concat(tame, F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v")))
+    classes = cut(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first(full).alias("v")))
     eps = math.sqrt(2 - 2 * threshold)
     axes = principal_axes(classes, dims)
     ordered = cut(leaves(classes, axes, eps, leaf))
     pairs = leaf_pairs(ordered, max(1, axes.shape[1]), eps)
     a = pairs.withColumnsRenamed({"a_part": "part", "a_seq": "seq"}).select("label", "part", "seq", F.concat_ws("/", "label", "part", "seq", "b_part", "b_seq").alias("tile"), F.lit(0).alias("side"))
     b = pairs.filter("a_part <> b_part OR a_seq <> b_seq").withColumnsRenamed({"b_part": "part", "b_seq": "seq"}).select("label", "part", "seq", F.concat_ws("/", "label", "a_part", "a_seq", "part", "seq").alias("tile"), F.lit(1).alias("side"))
-    tiles = ordered.join(a.union(b), ["label", "part", "seq"]).select("tile", "side", "rep", "copies", "v")
+    tiles = ordered.join(a.union(b), ["label", "part", "seq"]).select("tile", "side", "key", "copies", "v")
     tiles = tiles.repartition("tile").sortWithinPartitions("tile", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +183,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, dims: int
         def close() -> Iterator[pa.RecordBatch]:
             if held:
                 t = pa.Table.from_batches(held).combine_chunks()
-                side, rep, copies = (t.column(c).to_numpy() for c in ("side", "rep", "copies"))
-                got = _compare(_matrix(t.column("v").chunk(0)), rep.copy(), copies, side, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["rep", "links", "root"])
+                side, copies = (t.column(c).to_numpy() for c in ("side", "copies"))
+                who, total, root = _compare(_matrix(t.column("v").chunk(0)), copies, side, threshold)
+                names = t.column("key").chunk(0)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), pa.array(total, pa.int64()), names.take(pa.array(root))], names=["key", "links", "root"])
 
         for batch in batches:
             tile = batch.column(0).to_pylist()
@@ -193,11 +200,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, dims: int
                     start = i
         yield from close()
 
-    found = cut(tiles.mapInArrow(run, "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    named = classes.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(comps, "rep", "left")
-    named = named.select("k1", "k2", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    done = keyed.filter("usable").select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    found = cut(tiles.mapInArrow(run, "key string, links long, root string"))
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    comps = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "key")
+    named = cut(classes.select("key", "rep", "copies").join(links, "key", "left").join(comps, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(first, "component").select("key", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    done = good.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
     rest = keyed.filter("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -53,3 +53,22 @@ def test_edges(spark):
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in ego.near_duplicates(df).collect()}
     assert got == {*((i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 9, 10, 11)), (7, 2, 7, True), (8, 2, 7, False)}
     assert ego.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_ids_on_several_vectors_labels_as_text_and_lengths(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [0.01, 1.0], "a"), (3, [1.0, 0.02], "a"), (3, [1.0, 0.0, 0.0], "a"), (4, [1.0, 0.0, 0.1], "a"), (5, [1.0, 0.0], "b"), (6, [1e-200, 0.0], "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(r) for r in ego.near_duplicates(df, leaf=1).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (6, 1, 5, False)])
+
+
+def test_many_ranges_end_in_one_root(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(rng.normal(size=(300, 6)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = sorted(tuple(r) for r in ego.near_duplicates(df, leaf=2).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == brute(rows)
