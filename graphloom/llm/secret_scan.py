@@ -1,18 +1,23 @@
 """Secret scans by assignment-aware lexing.
 
-Three plain patterns give the base spans. Beyond them the text is lexed into
-name-literal pairs as source and configuration files write them (``name =
-"x"``, ``"name": "x"``, ``export NAME=x``, ``name := x``, ``name => x``).
-Values that name an earlier constant take its literal, over as many steps as
-the text has. A literal is scored by the most telling name that it reaches and
-by its own make-up.
+Three plain patterns give the base spans. Beyond them the text is lexed for
+assignments as source and configuration files write them (``name = "x"``,
+``"name": "x"``, ``export NAME=x``, ``name := x``, ``name => x``, ``name: type =
+"x"``, ``<name>x</name>``). Values are strings of any quotes with escapes, joined
+strings (``"a" + "b"``, ``"a" "b"``), strings and words that go on after a
+backslash at a line's end, block scalars and bare words. A value that is a name
+(``x``, ``$x``, ``${x}``) takes the literal of that constant, defined before or
+after it, over as many steps as the text has; comments define no constants. A
+literal is scored by the most telling name that reaches it and by its own make-up.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +29,21 @@ from .common import SPAN, SPAN_ARROW, map_texts
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PAIR = re.compile(
-    r"(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)[\"']?[\x20\t]*(?::=|=>|=(?!=)|:)[\x20\t]*"
-    r"(?:\"(?P<dq>[^\"\n]*)\"|'(?P<sq>[^'\n]*)'|(?P<bare>[^\s\"',;(){}\[\]<>]+))"
+HEAD = re.compile(
+    r"(?<![A-Za-z0-9_.$-])(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*+)[\"'`]?\]?[\x20\t]*+(?P<op>:=|=>|\?=|=(?![=~>])|:(?![:=/]))[\x20\t]*+"
 )
-IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>\s*+(?P<value>[^<>\s]++)\s*+</")
+QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\.)*+){q}", re.S) for q in "\"'"}
+PREFIX = re.compile(r"[rRbBfFuU]{1,2}(?=[\"'])")
+JOINT = re.compile(r"[\x20\t]*+(?:(?:[+.&]|\\)[\x20\t]*+\r?\n?[\x20\t]*+)?(?=[\"'])")
+BARE = re.compile(r"[^\s\"'`,;&?(){}\[\]<>\\]++")
+GOES_ON = re.compile(r"\\\r?\n[\x20\t]*+")
+BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[\x20\t]*+\r?\n")
+LINE = re.compile(r"([\x20\t]*+)([^\n]*+)(?:\n|\Z)")
+TYPED = re.compile(r"[\x20\t]*+=(?![=~>])[\x20\t]*+")
+REFERENCE = re.compile(r"\$?\{?\{?\x20?([A-Za-z_][A-Za-z0-9_.-]*)\x20?\}?\}?\Z")
+ESCAPE = re.compile(r"\\(?:([nrt0])|x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|(.))", re.S)
+COMMENT = re.compile(r"(?m)(?:^|(?<=\s))(?:#|//)[^\n]*+")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: How telling a part of a name is, from 0 to 1.
@@ -67,28 +82,147 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def unescaped(value: str) -> str:
+    if "\\" not in value:
+        return value
+    plain = {"n": "\n", "r": "\r", "t": "\t", "0": "\0"}
+    return ESCAPE.sub(lambda m: plain[m[1]] if m[1] else chr(int(m[2] or m[3], 16)) if m[2] or m[3] else m[4], value)
+
+
+class _Reader:
+    """Reads the values of one text. A closing mark that is not found is not sought again."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.absent: set[str] = set()
+
+    def close(self, mark: str, at: int) -> int:
+        if mark in self.absent:
+            return -1
+        end = self.text.find(mark, at)
+        if end < 0:
+            self.absent.add(mark)
+        return end
+
+    def string(self, at: int) -> tuple[int, int, int, str] | None:
+        """(start, end, next, value) of the string that begins here; start and end are those of what it holds."""
+        if m := PREFIX.match(self.text, at):
+            at = m.end()
+        mark = self.text[at : at + 3]
+        if mark not in ('"""', "'''"):
+            mark = mark[:1]
+        if len(mark) == 3 or mark == "`":
+            end = self.close(mark, at + len(mark))
+            return None if end < 0 else (at + len(mark), end, end + len(mark), unescaped(self.text[at + len(mark) : end]))
+        m = QUOTED[mark].match(self.text, at) if mark in QUOTED else None
+        return m and (m.start(1), m.end(1), m.end(), unescaped(m[1]))
+
+    def value(self, at: int, name_at: int, op: str) -> tuple[int, int, str, str | None] | None:
+        """(start, end, value, name of the constant that it may be) of the value that begins here."""
+        if s := self.string(at):
+            start, end, on, value = s
+            while (j := JOINT.match(self.text, on)) and (s := self.string(j.end())):
+                end, on, value = s[1], s[2], value + s[3]
+            ref = REFERENCE.match(value) if "$" in value or "{" in value else None
+            return start, end, value, ref and ref[1]
+        if op == ":" and (m := BLOCK.match(self.text, at)):
+            return self.block(m.end(), name_at)
+        if not (m := BARE.match(self.text, at)):
+            if self.text.startswith(("${", "{{"), at) and (r := re.compile(r"\$?\{\{?\x20?([A-Za-z_][A-Za-z0-9_.-]*+)\x20?\}\}?").match(self.text, at)):
+                return at, r.end(), r[0], r[1]
+            return None
+        if op == ":" and (t := TYPED.match(self.text, m.end())):
+            return self.value(t.end(), name_at, "=")
+        start, end, value = m.start(), m.end(), m[0]
+        while (g := GOES_ON.match(self.text, end)) and (m := BARE.match(self.text, g.end())):
+            end, value = m.end(), value + m[0]
+        if value == "$" and self.text.startswith("{", end) and (r := re.compile(r"\{([A-Za-z_][A-Za-z0-9_.-]*+)\}").match(self.text, end)):
+            return start, r.end(), value + r[0], r[1]
+        ref = REFERENCE.match(value)
+        return start, end, value, ref and ref[1]
+
+    def block(self, at: int, name_at: int) -> tuple[int, int, str, str | None] | None:
+        """Lines that are indented deeper than the name's line."""
+        line = self.text.rfind("\n", 0, name_at) + 1
+        depth = len(LINE.match(self.text, line)[1])
+        start, end, parts = -1, at, []
+        while at < len(self.text):
+            m = LINE.match(self.text, at)
+            if m[2].strip() and len(m[1]) <= depth:
+                break
+            if m[2].strip():
+                start = m.start(2) if start < 0 else start
+                end = m.end(2)
+                parts.append(m[2])
+            at = m.end()
+        return (start, end, "".join(parts), None) if parts else None
+
+
+def assignments(text: str) -> list[tuple[str, int, tuple[int, int, str, str | None]]]:
+    """(name, where the name stands, value) of every assignment, in order."""
+    read = _Reader(text)
+    found = []
+    at = 0
+    while m := HEAD.search(text, at):
+        at = m.end()
+        if (v := read.value(at, m.start(), m["op"])) and v[0] < v[1]:
+            found.append((m["name"], m.start(), v))
+            # what stands in a value of several lines is read too, what stands in another one is not
+            at = v[1] if text.find("\n", v[0], v[1]) < 0 else at
+    if "</" in text:
+        found += [(m["name"], m.start(), (m.start("value"), m.end("value"), m["value"], None)) for m in ELEMENT.finditer(text)]
+        found.sort(key=lambda x: x[1])
+    return found
+
+
 def literal_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals that reach a sensitive name, directly or through constants."""
-    if ":" not in text and "=" not in text:
+    if ":" not in text and "=" not in text and "</" not in text:
         return []
-    where: dict[str, tuple[int, int, str]] = {}  # name -> its literal
+    found = assignments(text)
+    if not any(name_score(n) for n, _, _ in found):
+        return []
+    defined: dict[str, list[int]] = {}  # name -> its assignments, in order
+    if any(v[3] for _, _, v in found):
+        hidden = [m.span() for m in COMMENT.finditer(text)]
+        starts = [a for a, _ in hidden]
+        for i, (name, at, _) in enumerate(found):
+            k = bisect_right(starts, at) - 1
+            if k < 0 or at >= hidden[k][1]:
+                defined.setdefault(name.removeprefix("$"), []).append(i)
+
+    def source(i: int) -> int:
+        """The assignment whose literal this one's value is: constants are followed back, then forward, once each."""
+        seen = {i}
+        while (name := found[i][2][3]) in defined:
+            where = defined[name]
+            k = bisect_left(where, i)
+            nxt = where[k - 1] if k else next((w for w in where if w != i), i)
+            if nxt in seen:
+                break
+            seen.add(nxt)
+            i = nxt
+        return i
+
     best: dict[tuple[int, int, str], float] = {}
-    for m in PAIR.finditer(text):
-        group = next(g for g in ("dq", "sq", "bare") if m.group(g) is not None)
-        value = m.group(group)
-        literal = where.get(value) if group == "bare" and IDENT.match(value) else None
-        literal = literal or (m.start(group), m.end(group), value)
-        where[m.group("name")] = literal
-        best[literal] = max(best.get(literal, 0.0), name_score(m.group("name")))
-    return [("literal", a, b) for (a, b, v), s in best.items() if s and s + literal_score(v) >= THRESHOLD and literal_score(v) >= 0.3]
+    for i, (name, _, _) in enumerate(found):
+        if score := name_score(name):
+            a, b, value, _ = found[source(i)][2]
+            best[a, b, value] = max(best.get((a, b, value), 0.0), score)
+    return [("literal", a, b) for (a, b, v), s in best.items() if (own := literal_score(v)) >= 0.3 and s + own >= THRESHOLD]
 
 
 def all_spans(text: str) -> tuple[list, list]:
     order = {k: i for i, k in enumerate(KINDS)}
-    base = base_spans(text)
-    more = [x for x in literal_spans(text) if not any(a < x[2] and x[1] < b for _, a, b in base)]
     place = lambda s: (s[1], order[s[0]], s[2])
-    return sorted(base, key=place), sorted(base + more, key=place)
+    base = sorted(base_spans(text), key=place)
+    more = literal_spans(text)
+    if more:
+        starts = [a for _, a, _ in base]
+        ends = list(accumulate((b for _, _, b in base), max))  # the furthest end of the spans up to each one
+        free = lambda x: (k := bisect_left(starts, x[2])) == 0 or ends[k - 1] <= x[1]
+        more = [x for x in more if free(x)]
+    return base, sorted(base + more, key=place)
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -104,7 +238,9 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``base`` and ``spans``, arrays of (kind, start, end) in code points, by start and kind.
 
-    Null and empty texts have no spans. Columns of these names are replaced.
+    Null and empty texts have no spans, repeated rows equal ones, an empty table no
+    rows. Texts are read whole, in time linear in their length; of spans that begin
+    together the kinds' order decides. Columns of these names are replaced.
     """
     def fn(texts: list[str]) -> list[pa.Array]:
         found = [all_spans(t) for t in texts]
@@ -115,7 +251,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """The same rows and columns with every secret in the text masked. Null texts stay null."""
+    """The same rows and columns with every secret in the text masked. Null texts stay null, empty ones empty, and every row stays."""
     fields = [T.StructField("__masked__", T.StringType())]
     out = map_texts(df, fields, lambda texts: [pa.array([mask(t, all_spans(t)[1]) for t in texts], pa.string())], text)
     return out.withColumn(text, F.when(F.col(text).isNotNull(), F.col("__masked__"))).select(*df.columns)

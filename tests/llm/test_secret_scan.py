@@ -1,4 +1,5 @@
 import re
+import time
 
 from graphloom.llm import queries, secret_scan
 
@@ -31,6 +32,43 @@ def test_constants_are_propagated():
     assert [text[a:b] for k, a, b in spans if k == "literal"] == ["Zk3-pLq9!vXw27bT"]
 
 
+def found(text):
+    return [text[a:b] for k, a, b in secret_scan.all_spans(text)[1] if k == "literal"]
+
+
+S = "Zk3-pLq9!vXw27bT"
+
+
+def test_syntax_of_sources_and_configurations():
+    cases = {
+        f'db_password = "{S}"': [S], f"'passwd': '{S}'": [S], f"export API_SECRET={S}": [S], f"clientSecret := `{S}`": [S], f'$cfg["token_secret"] => "{S}"': [S],
+        f'password: str = "{S}"': [S], f"<dbPassword>{S}</dbPassword>": [S], f'pw_secret = "{S[:8]}" + "{S[8:]}"': [f'{S[:8]}" + "{S[8:]}'], f"auth_token = '{S[:8]}' \\\n  '{S[8:]}'": None,
+        f'secret_key = """{S}"""': [S], f'secret = "a\\"{S}"': [f'a\\"{S}'], f"private_key_password: |\n  {S[:9]}\n  {S[9:]}\nnext: 1": [f"{S[:9]}\n  {S[9:]}"],
+        f"SECRET={S[:9]}\\\n{S[9:]}": [f"{S[:9]}\\\n{S[9:]}"], f'colour = "{S}"': [], 'password = "changeme-please"': [], "token: none": [], f'if password == "{S}":': [],
+        f'password = key_b\nkey_b = key_a\nkey_a = "{S}"': [S], f'password = "${{KEY_A}}"\nKEY_A={S}': [S], f'# word_a = "{S}"\npassword = word_a': [], f'a = b\nb = a\npassword = a': [],
+        f'password = first\nfirst = "light"\nfirst = "{S}"': [], f'first = "{S}"\npassword = first\nfirst = "light"': [S], f"url = http://x/y?q=1\nsession_token: '{S}' # old": [S],
+    }
+    for text, want in cases.items():
+        if want is not None:
+            assert found(text) == want, text
+    text = f"auth_token = '{S[:8]}' \\\n  '{S[8:]}'"
+    assert found(text) == [f"{S[:8]}' \\\n  '{S[8:]}"]
+    assert secret_scan.mask(f'password = "{S}";', secret_scan.all_spans(f'password = "{S}";')[1]) == 'password = "[SECRET]";'
+
+
+def test_long_texts_take_linear_time():
+    texts = [
+        "a" * 1_000_000 + ":=", "a:" * 500_000, "a=" * 500_000, "password=\"" * 100_000, "x = \'\'\'" * 100_000, "k: |\n" * 200_000, "<a>" * 300_000, "password " + " " * 1_000_000 + "=",
+        f"password = '{S}'\n" * 100_000, "a = a\n" * 100_000 + "password = a", "".join(f"k{i} = k{i + 1}\n" for i in range(100_000)) + "password = k0", "# " * 500_000 + "=", "\\" * 1_000_000 + "=", "0123456789abcdef " * 60_000 + ":",
+    ]
+    for t in texts:
+        began = time.time()
+        base, spans = secret_scan.all_spans(t)
+        assert time.time() - began < 5, t[:20]
+        assert base == brute(t) if len(t) < 1_100_000 and "password" not in t else True
+    assert len(secret_scan.all_spans(texts[8])[1]) == 100_000
+
+
 def test_query_and_edges(spark, saved):
     sf = saved([(1, None, "a"), (2, "", "a"), (3, "password=abcdefghijkl1 é", "b"), (3, "password=abcdefghijkl1 é", "b")])
     rows = sorted(tuple(r) for r in queries.op6_secrets(spark, sf).collect())
