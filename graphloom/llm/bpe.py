@@ -1,11 +1,11 @@
 """Byte-level BPE by merge replay over distinct words.
 
-A task collects the distinct words of its block of the corpus, lays their bytes
-out in one row of symbols and keeps an inverted index from merge rank (that is,
-from token pair) to the positions where the pair stands. Ranks are taken in
-order; each merge touches its two neighbours only, which enter the index anew.
-The words' ids are then dealt back to the documents. Words met before by the
-same worker are not replayed; that memory is bounded.
+Texts come in batches of 256 rows or about a megabyte. The distinct words of a
+batch that the worker has not met are laid out in one row of symbols, with an
+inverted index from merge rank (that is, from token pair) to the positions where
+the pair stands. Ranks are taken in order; each merge touches its two neighbours
+only, which enter the index anew. The words' ids are then dealt back to the documents. A worker remembers the
+words that it has met up to a bound and then starts afresh; this costs time only.
 """
 
 from __future__ import annotations
@@ -178,8 +178,10 @@ def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str =
     """Append ``ids``, the token ids of each text, and if asked for ``decoded``, the bytes that these ids stand for.
 
     Every match of ``pattern`` is encoded apart from the others; special tokens
-    are ordinary text. Null and empty texts have no ids. Long words, repeated
-    rows and empty tables need no care; columns of these names are replaced.
+    are ordinary text. Every token longer than a byte has to be the merge of two
+    others, as in rank files made by merging. Null and empty texts have no ids,
+    repeated rows equal ones; long words take n log n time; an empty table gives
+    no rows; columns of these names are replaced.
     """
     find = regex.compile(pattern).findall
 
