@@ -88,7 +88,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
     Rows: doc_id, source, size, source_size, target, copies, taken. Texts
     without words (null, empty) have size 0 and no copies. Every row of the
-    input is a document, repeated ids too. What is left of a source at the end
+    input is a document, repeated and null ids too. Rows that agree in id, source and
+    size are interchangeable. Long texts are counted whole. What is left of a source at the end
     is one document with a fraction; it is rounded to the nearer side, so a
     source misses its target by half a document at most. An empty table gives
     no rows. Draws hash the ids, so reruns agree.
@@ -105,8 +106,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     open_rows = rows.filter((F.col("f") > 0) & (F.col("size") > 0))
     largest = sizes.groupBy("source").count().agg(F.max("count")).first()[0] or 1
     groups = -(-largest // fan)
-    h = F.xxhash64("id", "size", F.lit(SEED))
-    level = open_rows.select("k", F.pmod(F.shiftright(h, 8), F.lit(groups)).alias("g"), F.struct(h.alias("h"), F.col("id").cast("long").alias("id"), "size", "base", "f").alias("item"))
+    # rows that agree in all that counts here are numbered, so that any number of them (null ids, say) spreads over the groups:
+    # each task counts its own, running sums over the tasks give where its numbers begin
+    alike = ["k", "id", "size", "base", "f"]
+    counted = open_rows.groupBy(*alike, F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*alike).orderBy("task"))
+    each = counted.withColumn("upto", upto).withColumn("number", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))))
+    h = F.xxhash64("id", "size", "number", F.lit(SEED))
+    level = each.select("k", F.pmod(F.shiftright(h, 8), F.lit(groups)).alias("g"), F.struct(h.alias("h"), F.col("id").cast("long").alias("id"), "size", "base", "f").alias("item"))
     parts = [settled]
     while True:
         folded = cut(level.groupBy("k", "g").agg(F.sort_array(F.collect_list("item")).alias("items")).select("k", "g", F.expr(_FOLD).alias("s")))

@@ -51,3 +51,12 @@ def test_edges_and_many_levels(spark, docs):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 4
     assert all(r.taken == 0 for r in got if r.doc_id in (1000, 1001))
     assert mixing.mix(docs(rows[:0])).count() == 0
+
+
+def test_many_equal_rows_spread(spark, docs):
+    rows = [(None, "a b c", "hot")] * 3000 + [(i, "w " * (1 + i % 5), "cold") for i in range(500)]
+    out = mixing.mix(docs(rows), fan=8).collect()
+    assert len(out) == 3500
+    for s in ("hot", "cold"):
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3
