@@ -82,11 +82,15 @@ def hex_sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared checkpoint folder and read it again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share."""
     if spark.sparkContext.getCheckpointDir() is None:
         cut(spark.range(1))
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -22,9 +22,29 @@ def test_map_versions_and_growth(spark, tmp_path):
     assert all(a == b or b == 8 for a, b in zip(one, two, strict=True))
     loads = [sum(w for w, s in zip(weights, two, strict=True) if s == k) for k in range(9)]
     assert max(loads) <= 1.05 * min(loads)
-    slots.store_map(spark, one, str(tmp_path), 1)
-    slots.store_map(spark, two, str(tmp_path), 2)
-    assert slots.load_map(spark, str(tmp_path), 1) == one and slots.load_map(spark, str(tmp_path), 2) == two
+    path = str(tmp_path / "map")
+    assert slots.load_map(spark, path) == (0, [])
+    assert slots.current_map(spark, weights, 8, path) == one == slots.current_map(spark, weights, 8, path) and slots.load_map(spark, path) == (1, one)
+    assert slots.current_map(spark, weights, 9, path)[:3] == two[:3] and slots.load_map(spark, path)[0] == 2 and slots.load_map(spark, path, 1) == (1, one)
+    heavier = [w * (3 if s % 8 == 0 else 1) for s, w in enumerate(weights)]
+    moved = slots.current_map(spark, heavier, 9, path)
+    loads = [sum(w for w, s in zip(heavier, moved, strict=True) if s == k) for k in range(9)]
+    assert max(loads) <= 1.02 * sum(heavier) / 9 and slots.load_map(spark, path)[0] == 3
+    assert sum(a != b for a, b in zip(two, moved, strict=True)) < 250
+
+
+def test_the_query_keeps_to_a_stored_map(spark, docs, tmp_path):
+    rows = [(i, f"text {i} " * (1 + i % 9), "a") for i in range(3000)] + [(None, f"n{i}", "a") for i in range(3000)]
+    path = str(tmp_path / "map")
+    where = lambda n, shards: {(r.doc_id, r.text_crc32): r.shard for r in slots.shard_documents(docs(rows[:n]), shards=shards, path=path).collect()}
+    one, two = where(5900, 4), where(6000, 4)
+    assert sum(one[k] != two[k] for k in one) < 600 and len(set(two.values())) == 4
+    three = where(6000, 5)
+    assert sum(two[k] != three[k] for k in two) < 2400 and slots.load_map(spark, path)[0] >= 2
+    sizes = {}
+    for r in slots.shard_documents(docs(rows), shards=5, path=path).collect():
+        sizes[r.shard] = sizes.get(r.shard, 0) + r["size"]
+    assert max(sizes.values()) <= 1.03 * min(sizes.values())
 
 
 def test_edges(spark, docs):
