@@ -7,8 +7,11 @@ texts; the weights on these values come from a regularised logistic regression.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,11 +21,10 @@ from .common import map_texts
 
 SIZES = (4, 5)
 BITS = 22
-#: At most so many labelled texts of each class are learnt from, those with the lowest hashes of their ids.
+#: About so many labelled texts of each class are learnt from, those with the lowest hashes.
 SAMPLE = 6_000
-#: At most so many n-grams get a weight, those whose rates differ most surely.
-FEATURES = 4_000
-LEAST_TEXTS = 5
+#: N-grams whose rates in the two classes differ by so many standard errors get a weight.
+SURE = 5.0
 CUT = 0.7
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,20 +64,26 @@ def _once(who: np.ndarray, what: np.ndarray, bits: int = BITS) -> tuple[np.ndarr
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of the bounded sample; an id with several labels is toxic if one says so."""
+    """(text, toxic) of the bounded sample; an id with several labels is toxic if one says so, an id on several texts labels each, equal rows count once.
+
+    The classes are counted first, so that each task drops what is beyond the
+    sample's hashes by itself.
+    """
     one = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    one = one.withColumn("h", F.xxhash64("doc_id"))
-    take = lambda c: one.filter(F.col("toxic") == c).orderBy("h", "doc_id").limit(per_class)
-    few = take(0).union(take(1)).select("doc_id", "toxic")  # 2 * per_class rows of two numbers at most
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
+    every = cut(docs.select("doc_id", F.xxhash64("text").alias("k")).join(one, "doc_id").distinct())
+    n = {r[0]: r[1] for r in every.groupBy("toxic").count().collect()}
+    place = F.pmod(F.shiftright(F.xxhash64("doc_id", "k", F.lit(3)), 8), F.lit(1 << 40))
+    low = [(F.col("toxic") == c) & (place < int(min(1.0, per_class / m) * (1 << 40))) for c, m in n.items()]
+    few = every.filter(reduce(lambda a, b: a | b, low)) if low else every  # about 2 * per_class rows of three numbers
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("k")).join(F.broadcast(few), ["doc_id", "k"]).dropDuplicates(["doc_id", "k"]).select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, features: int = FEATURES, strength: float = 1.0) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, sure: float = SURE, strength: float = 1.0) -> dict:
     """Buckets, their weights (ratio times coefficient) and the intercept.
 
     Counting and feature extraction run on Spark over the bounded sample; the
-    driver gets ``features`` counts and the sample's hits on them. With no
-    labelled texts of one class the model is constant.
+    driver gets the counts of the n-grams that differ surely and the sample's hits
+    on them. With no labelled texts of one class the model is constant.
     """
     sample = cut(labelled(docs, labels, per_class))
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
@@ -100,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, features: i
     a, b = F.col("p") / n1, F.col("q") / n0
     mean = (F.col("p") + F.col("q")) / (n1 + n0)
     z = F.abs(a - b) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-9)
-    top = found.filter(F.col("p") + F.col("q") >= LEAST_TEXTS).withColumn("z", z).orderBy(F.desc("z"), "bucket").limit(features).select("bucket", "p", "q").collect()
+    top = found.filter(z >= sure).select("bucket", "p", "q").collect()
     if not top:
         return {"bucket": [], "weight": [], "bias": float(np.log(n1 / n0))}
     top.sort()
@@ -118,15 +126,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, features: i
         bounds = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(texts)))])
         return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(f, pa.int32()))]
 
-    rows = sorted((r[0], tuple(r[1])) for r in map_texts(sample, fields, hits, keep=["toxic"]).collect())
-    y = np.array([r[0] for r in rows], float)
-    doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    col = np.fromiter((c for r in rows for c in r[1]), np.int64)
+    got = map_texts(sample, fields, hits, keep=["toxic"]).toArrow().combine_chunks()
+    every = got.column("hits").combine_chunks()
+    counts_, flat = pc.list_value_length(every).to_numpy(zero_copy_only=False), every.flatten().to_numpy(zero_copy_only=False)
+    y = got.column("toxic").to_numpy().astype(float)
+    # in an order of their own, so that the sums do not depend on the order of tasks
+    key = np.lexsort((np.bincount(np.repeat(np.arange(len(y)), counts_), (flat.astype(np.float64) + 1) ** 1.5, len(y)), counts_, y))
+    ends = np.cumsum(counts_)
+    col = np.concatenate([flat[ends[i] - counts_[i] : ends[i]] for i in key]) if len(flat) else flat
+    doc, y = np.repeat(np.arange(len(y), dtype=np.int32), counts_[key]), y[key]
     weight, bias = _logistic(doc, col, ratio, y, strength)
     return {"bucket": bucket.tolist(), "weight": (weight * ratio).tolist(), "bias": float(bias)}
 
 
-def _logistic(doc: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, strength: float, steps: int = 300):
+def _logistic(doc: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, strength: float, steps: int = 200):
     """L2-regularised logistic regression on sparse 0/1 features times ``scale``, by accelerated gradient steps.
 
     Both classes weigh the same in the fit; the intercept is set back to the sample's rates.
@@ -189,7 +202,8 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None)
     """Train on the labelled rows that are not held out, then score every row.
 
     Appends held_out, score and predicted (1 from 0.7 on). Rows with a null id
-    are scored, never learnt from. An empty table gives no rows.
+    are scored, never learnt from; null and empty texts score alike, long ones
+    whole, repeated rows equally. An empty table gives no rows.
     """
     model = fit(docs.filter(~held_out()), labels.filter(~held_out()))
     out = score(docs, model, keep=keep)
