@@ -30,8 +30,11 @@ INDEX_BYTES = 1 << 19
 #: Different contexts up to which an anchor's are indexed in one task; the windows of an anchor
 #: with more are spread over the cluster by their own hashes.
 MOST_CONTEXTS = 15_000
-#: Bits of the filters that say which contexts need their bytes and which anchors have too many; their size never changes.
-FILTER_BITS = 26
+#: Bits of the filters that say which contexts need their bytes and which anchors have too many, least and most as a power
+#: of two: eight for each entry between these. Beyond the most a filter lets more through than is needed, and costs time.
+FILTER_BITS = (26, 30)
+#: Bytes of a text that are hashed at once; a longer text goes in pieces that overlap by a window less one byte.
+PIECE = 1 << 26
 _P = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(41).integers(0, 2**64, 256, np.uint64, endpoint=False)
 _LOW = np.uint64((1 << 28) - 1)
@@ -88,26 +91,32 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     return of[new], first, end, grams[at[new]], context
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, bounds) of runs of texts of about CHUNK bytes."""
+def _chunks(column: pa.Array, length: int, piece: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, where in it, bytes, bounds) of runs of texts of about CHUNK bytes, and of the pieces of long ones."""
     column = column.fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
-        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        size = int(offsets[to] - offsets[at])
+        if to == at + 1 and size > piece:
+            for start in range(0, size - length + 1, piece):
+                part = data[offsets[at] + start : min(offsets[at] + start + piece + length - 1, offsets[to])]
+                yield at, start, part, np.array([0, len(part)])
+        else:
+            yield at, 0, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
 def _contexts(column: pa.Array, length: int, gram: int):
     """anchors() of a whole batch: row, start and end in the row's text, hashes."""
     rows, starts, ends, hs, cs = [], [], [], [], []
-    for row, data, bounds in _chunks(column):
+    for row, shift, data, bounds in _chunks(column, length, PIECE):
         of, a, b, h, c = anchors(data, bounds, length, gram)
         rows.append(of + row)
-        starts.append(a - bounds[of])
-        ends.append(b - bounds[of])
+        starts.append(a - bounds[of] + shift)
+        ends.append(b - bounds[of] + shift)
         hs.append(h)
         cs.append(c)
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
@@ -190,7 +199,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chosen(c: np.ndarray, bits) -> np.ndarray:
     """Which hashes the filter knows."""
     table = np.frombuffer(bits.value, np.uint8)
-    slot = c & np.uint64((1 << FILTER_BITS) - 1)
+    slot = c & np.uint64(len(table) * 8 - 1)
     return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -294,10 +303,12 @@ def _compare(length: int):
 
 
 def _filter(values: DataFrame):
-    """A broadcast bitmap of the low bits of column x: 8 MB whatever the input."""
-    slot = F.col("x").bitwiseAND((1 << FILTER_BITS) - 1)
+    """A broadcast bitmap of the low bits of column x, sized by the number of rows: 8 to 128 MB."""
+    least, most = FILTER_BITS
+    size = min(most, max(least, (8 * values.count()).bit_length()))
+    slot = F.col("x").bitwiseAND((1 << size) - 1)
     parts = values.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits")).collect()
-    bits = bytearray(1 << (FILTER_BITS - 3))
+    bits = bytearray(1 << (size - 3))
     for part, x in parts:
         bits[part << 12 : (part << 12) + len(x)] = x
     return values.sparkSession.sparkContext.broadcast(bytes(bits))
@@ -308,7 +319,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
     Two passes over the texts and no shuffle of them: the first sends a sample
     of each run inside a batch, the second the bytes of the samples that a
-    filter of fixed size lets through. What the filter lets through beyond need
+    filter lets through. What the filter lets through beyond need
     costs time only.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("k"), "text")
@@ -334,7 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     A byte goes if a string of ``length`` bytes covers it that starts anywhere
     else too, in this text or another. Null is the empty text; texts shorter
-    than ``length`` stay whole. Rows that are equal in id and text are repeats
+    than ``length`` stay whole, long ones are searched whole. Rows that are equal in id and text are repeats
     of each other. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -78,3 +78,18 @@ def test_windows_of_large_anchors_equal_brute_force(spark, docs, monkeypatch):
     passage = "".join(rng.choice("abcdefgh") for _ in range(260))
     rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(30)) + passage[: 150 + 10 * i] + "#" * (i % 2), "a") for i in range(12)]
     assert result(suffix_dedup.remove_repeats(docs(rows).repartition(3))) == brute(rows, 200)
+
+
+def test_long_texts_in_pieces_equal_brute_force(spark, docs, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 50)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 40)
+    passages = ["".join(rng.choice("abc") for _ in range(45)) for _ in range(3)]
+    rows = [(i, "".join(rng.choice([*passages, "xyz" * rng.randint(1, 20)]) for _ in range(rng.randint(1, 9))), "a") for i in range(12)]
+    texts = [t.encode() for _, t, _ in rows]
+    import pyarrow as pa
+
+    whole = {(int(r), int(k)) for r, a, b, _, _ in zip(*suffix_dedup._contexts(pa.array([t for _, t, _ in rows]), 20, 8), strict=True) for k in range(a, b - 19)}
+    assert whole == {(r, k) for r, t in enumerate(texts) for k in range(len(t) - 19)}
+    monkeypatch.undo()
+    assert result(suffix_dedup.remove_repeats(docs(rows), length=20, gram=8)) == brute(rows, 20)
