@@ -94,3 +94,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Rows of a few numbers each up to which a table is sent to all tasks; beyond it rows are joined by shuffling.
+SHORT = 200_000
+
+
+def short(df: DataFrame) -> DataFrame:
+    """``df``, stored and counted, marked to be sent to all tasks if it is short, so that a key of many rows elsewhere stays spread."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(SHORT + 1).count() <= SHORT else df

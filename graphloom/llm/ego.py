@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import components, cut
+from .common import short
 
 THRESHOLD = 0.93
 #: Leading principal dimensions that the grid has.
@@ -204,8 +205,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, dims: int
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "key")
     named = cut(classes.select("key", "rep", "copies").join(links, "key", "left").join(comps, "key", "left").withColumn("component", F.coalesce("component", "key")))
-    first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(first, "component").select("key", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    first = short(named.filter("component <> key OR links > 0").groupBy("component").agg(F.min("rep").alias("component_id")))
+    named = named.join(first, "component", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     done = good.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")
     rest = keyed.filter("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

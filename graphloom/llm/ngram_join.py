@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.iterate import components, cut
-from .common import WORD, map_texts
+from .common import WORD, map_texts, short
 
 N = 5
 THRESHOLD = 0.8
@@ -176,12 +176,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     buckets = cells.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
     stars = cells.join(buckets, "cell").filter("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b"))
     clusters = components(stars).withColumnRenamed("id", "c")
-    sizes = clusters.join(classes.select("c", "layer"), "c").groupBy("component", "layer").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sizes = cut(sizes)
-    near = sizes.select("component", (F.col("layer") - 1).alias("layer"), F.col("blocks").alias("above"))
-    near = sizes.join(near, ["component", "layer"], "left").join(sizes.select("component", (F.col("layer") + 1).alias("layer"), F.col("blocks").alias("under")), ["component", "layer"], "left")
-    members = clusters.join(classes.select("c", "copies", "set_key", "layer", "rep"), "c").join(near, ["component", "layer"]).na.fill(0, ["above", "under"])
-    members = cut(members)
+    named_clusters = cut(clusters.join(classes.select("c", "copies", "set_key", "layer", "rep"), "c"))
+    # a cluster of up to a block is one tile; larger ones have their layers, in blocks
+    sizes = named_clusters.groupBy("component", "layer").agg(F.count("*").alias("n"))
+    large = sizes.groupBy("component").agg(F.sum("n").alias("total")).filter(F.col("total") > block).select("component")
+    sizes = cut(sizes.join(large, "component", "left_semi").select("component", "layer", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    beside = lambda by, name: sizes.select("component", (F.col("layer") + by).alias("layer"), F.col("blocks").alias(name))
+    near = short(sizes.join(beside(-1, "above"), ["component", "layer"], "left").join(beside(1, "under"), ["component", "layer"], "left"))
+    members = named_clusters.join(near, ["component", "layer"], "left").withColumn("layer", F.when(F.col("blocks").isNotNull(), F.col("layer")).otherwise(-1))
+    members = cut(members.na.fill(1, ["blocks"]).na.fill(0, ["above", "under"]))
 
     gram = T.StructField("grams", T.ArrayType(T.LongType(), False))
     key = T.StructField("found_key", T.BinaryType())
@@ -238,8 +241,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     comps = components(found.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "set_key")
     linked = classes.select("set_key", "rep", "copies").join(links, "set_key", "left").join(comps, "set_key", "left")
     linked = cut(linked.withColumn("component", F.coalesce("component", "set_key")))
-    first = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
-    by_key = linked.join(first, "component").select("set_key", "component", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    first = short(linked.filter("component <> set_key OR links > 0").groupBy("component").agg(F.min("rep").alias("class_id")))
+    by_key = linked.join(first, "component", "left").select("set_key", "component", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = ["doc_id", "class_id", "n_links", *keep, *(["component"] if keep else [])]
     done = named.join(by_key, "set_key").select(*out)
     rest = sig.filter("doc_id IS NULL OR set_key = X''").withColumns({"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "component": F.lit(None).cast("binary")})
