@@ -40,6 +40,7 @@ BARE = re.compile(r"[^\s\"'`,;&?(){}\[\]<>\\]++")
 GOES_ON = re.compile(r"\\\r?\n[\x20\t]*+")
 BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[\x20\t]*+\r?\n")
 LINE = re.compile(r"([\x20\t]*+)([^\n]*+)(?:\n|\Z)")
+OPENS = re.compile(r":[\x20\t]*+[|>][+-]?[0-9]?[+-]?[\x20\t]*+\r?\Z")
 TYPED = re.compile(r"[\x20\t]*+=(?![=~>])[\x20\t]*+")
 REFERENCE = re.compile(r"\$?\{?\{?\x20?([A-Za-z_][A-Za-z0-9_.-]*)\x20?\}?\}?\Z")
 ESCAPE = re.compile(r"\\(?:([nrt0])|x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|(.))", re.S)
@@ -89,12 +90,36 @@ def unescaped(value: str) -> str:
     return ESCAPE.sub(lambda m: plain[m[1]] if m[1] else chr(int(m[2] or m[3], 16)) if m[2] or m[3] else m[4], value)
 
 
+class _Lines:
+    """The lines of a text: where each begins, its depth, which line ends its block, how many lines up to it open blocks."""
+
+    def __init__(self, text: str) -> None:
+        self.at, self.rows, self.until, self.opened = [], [], [], [0]
+        deeper: list[int] = []  # lines whose block goes on, each one deeper than the last
+        at = 0
+        while at < len(text):
+            m = LINE.match(text, at)
+            depth, body, i = len(m[1]), m[2].strip(), len(self.at)
+            while body and deeper and self.rows[deeper[-1]][0] >= depth:
+                self.until[deeper.pop()] = i
+            if body:
+                deeper.append(i)
+            self.at.append(at)
+            self.rows.append((depth, m.start(2), m.end(2), m[2] if body else ""))
+            self.until.append(-1)
+            self.opened.append(self.opened[-1] + bool(OPENS.search(m[2])))
+            at = m.end()
+        for i in deeper:
+            self.until[i] = len(self.at)
+
+
 class _Reader:
     """Reads the values of one text. A closing mark that is not found is not sought again."""
 
     def __init__(self, text: str) -> None:
         self.text = text
         self.absent: set[str] = set()
+        self.lines: _Lines | None = None
 
     def close(self, mark: str, at: int) -> int:
         if mark in self.absent:
@@ -120,9 +145,11 @@ class _Reader:
     def value(self, at: int, name_at: int, op: str) -> tuple[int, int, str, str | None] | None:
         """(start, end, value, name of the constant that it may be) of the value that begins here."""
         if s := self.string(at):
-            start, end, on, value = s
+            start, end, on, *parts = s
             while (j := JOINT.match(self.text, on)) and (s := self.string(j.end())):
-                end, on, value = s[1], s[2], value + s[3]
+                end, on = s[1], s[2]
+                parts.append(s[3])
+            value = "".join(parts)
             ref = REFERENCE.match(value) if "$" in value or "{" in value else None
             return start, end, value, ref and ref[1]
         if op == ":" and (m := BLOCK.match(self.text, at)):
@@ -133,29 +160,25 @@ class _Reader:
             return None
         if op == ":" and (t := TYPED.match(self.text, m.end())):
             return self.value(t.end(), name_at, "=")
-        start, end, value = m.start(), m.end(), m[0]
+        start, end, parts = m.start(), m.end(), [m[0]]
         while (g := GOES_ON.match(self.text, end)) and (m := BARE.match(self.text, g.end())):
-            end, value = m.end(), value + m[0]
+            end = m.end()
+            parts.append(m[0])
+        value = "".join(parts)
         if value == "$" and self.text.startswith("{", end) and (r := re.compile(r"\{([A-Za-z_][A-Za-z0-9_.-]*+)\}").match(self.text, end)):
             return start, r.end(), value + r[0], r[1]
         ref = REFERENCE.match(value)
         return start, end, value, ref and ref[1]
 
     def block(self, at: int, name_at: int) -> tuple[int, int, str, str | None] | None:
-        """Lines that are indented deeper than the name's line."""
-        line = self.text.rfind("\n", 0, name_at) + 1
-        depth = len(LINE.match(self.text, line)[1])
-        start, end, parts = -1, at, []
-        while at < len(self.text):
-            m = LINE.match(self.text, at)
-            if m[2].strip() and len(m[1]) <= depth:
-                break
-            if m[2].strip():
-                start = m.start(2) if start < 0 else start
-                end = m.end(2)
-                parts.append(m[2])
-            at = m.end()
-        return (start, end, "".join(parts), None) if parts else None
+        """Lines that are indented deeper than the name's line. One that holds blocks of its own is no literal: its value is empty."""
+        lines = self.lines = self.lines or _Lines(self.text)
+        i = bisect_right(lines.at, name_at) - 1
+        to = lines.until[i]
+        if lines.opened[to] > lines.opened[i + 1]:
+            return at, lines.rows[to - 1][2], "", None
+        rows = [r for r in lines.rows[i + 1 : to] if r[3]]
+        return (rows[0][1], rows[-1][2], "".join(r[3] for r in rows), None) if rows else None
 
 
 def assignments(text: str) -> list[tuple[str, int, tuple[int, int, str, str | None]]]:
@@ -191,23 +214,32 @@ def literal_spans(text: str) -> list[tuple[str, int, int]]:
             if k < 0 or at >= hidden[k][1]:
                 defined.setdefault(name.removeprefix("$"), []).append(i)
 
-    def source(i: int) -> int:
-        """The assignment whose literal this one's value is: constants are followed back, then forward, once each."""
-        seen = {i}
-        while (name := found[i][2][3]) in defined:
-            where = defined[name]
-            k = bisect_left(where, i)
-            nxt = where[k - 1] if k else next((w for w in where if w != i), i)
-            if nxt in seen:
-                break
-            seen.add(nxt)
-            i = nxt
-        return i
+    def follows(i: int) -> int:
+        """The assignment of the constant that this one's value names: the nearest before it, else after it; itself if there is none."""
+        if (name := found[i][2][3]) not in defined:
+            return i
+        where = defined[name]
+        k = bisect_left(where, i)
+        return where[k - 1] if k else next((w for w in where[:2] if w != i), i)
+
+    source: dict[int, int] = {}  # the assignment whose literal this one's value is; in a circle, the one before the first
+
+    def trace(i: int) -> int:
+        """Each step is taken once for all names: what a walk has passed keeps its end."""
+        way, place = [], {}
+        while i not in source and i not in place:
+            place[i] = len(way)
+            way.append(i)
+            i = follows(i)
+        k = place.get(i, len(way))
+        source.update((x, way[j - 1] if j > k else way[-1]) for j, x in enumerate(way[k:], k))
+        source.update((x, source[i]) for x in way[:k])
+        return source[way[0] if way else i]
 
     best: dict[tuple[int, int, str], float] = {}
     for i, (name, _, _) in enumerate(found):
         if score := name_score(name):
-            a, b, value, _ = found[source(i)][2]
+            a, b, value, _ = found[trace(i)][2]
             best[a, b, value] = max(best.get((a, b, value), 0.0), score)
     return [("literal", a, b) for (a, b, v), s in best.items() if (own := literal_score(v)) >= 0.3 and s + own >= THRESHOLD]
 
@@ -252,6 +284,6 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with every secret in the text masked. Null texts stay null, empty ones empty, and every row stays."""
-    fields = [T.StructField("__masked__", T.StringType())]
-    out = map_texts(df, fields, lambda texts: [pa.array([mask(t, all_spans(t)[1]) for t in texts], pa.string())], text)
-    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.col("__masked__"))).select(*df.columns)
+    name = max(df.columns, key=len) + "_masked"  # no column has it
+    out = map_texts(df, [T.StructField(name, T.StringType())], lambda texts: [pa.array([mask(t, all_spans(t)[1]) for t in texts], pa.string())], text)
+    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.col(name))).select(*df.columns)

@@ -55,3 +55,22 @@ def test_clashing_columns_pass_and_texts_of_one_id_stay(spark, docs):
     last = corpus_pipeline.bpe_stage(spark, docs([(1, None, "a"), (2, "", "b"), (3, "x" * 300_000, None), (3, "x" * 300_000, None)]), SF).collect()
     assert sorted((r.doc_id, r.n_tokens == 0) for r in last) == [(1, True), (2, True), (3, False), (3, False)] and all(r.round_trip for r in last)
     assert corpus_pipeline.bpe_stage(spark, docs([]), SF).count() == 0
+
+
+def test_columns_of_the_stages_own_names_pass(spark, docs):
+    names = ["size", "__k__", "__copies__", "__key__", "__n__", "__masked__", "__h__", "copies", "component"]
+    df = docs([(i, f"one two three four five six seven {i} " * (i + 2), "ab"[i % 2]) for i in range(12)])
+    df = df.select("*", *(corpus_pipeline.F.lit(70 + i).alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert rows and all([r[n] for n in names] == [*range(70, 70 + len(names))] for r in rows), name
+
+
+def test_mix_takes_its_words_where_rows_repeat(spark, docs):
+    rows = [(i // 4 % 5 or None, "w " * 10, "a") for i in range(400)] + [(1, f"w{i} " * 10, "b") for i in range(97)] + [(1, "v " * 10, "b")] * 50
+    df = docs(rows)
+    want = {r.source: r.s for r in mixing.mix(df).groupBy("source").agg(corpus_pipeline.F.sum("taken").alias("s")).collect()}
+    got = corpus_pipeline.mixing_stage(spark, df, SF).groupBy("source").agg((10 * corpus_pipeline.F.count("*")).alias("s")).collect()
+    assert {r.source: r.s for r in got} == want

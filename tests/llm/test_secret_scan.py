@@ -67,6 +67,8 @@ def test_long_texts_take_linear_time():
         assert time.time() - began < 5, t[:20]
         assert base == brute(t) if len(t) < 1_100_000 and "password" not in t else True
     assert len(secret_scan.all_spans(texts[8])[1]) == 100_000
+    assert [texts[13][a:b] for k, a, b in secret_scan.all_spans(texts[13])[1] if k == "literal"] == [S]
+    assert found(f"password: |\n  inner: |\n    {S}\n  x: 1\nsecret: |\n  {S}\n") == [S]
 
 
 def test_query_and_edges(spark, saved):
