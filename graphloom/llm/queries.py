@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ego, mixing, ngram_join, pii, secret_scan, slots, spotsigs, suffix_dedup, toxicity
+from . import bpe, ego, mixing, ngram_join, pii, secret_scan, slots, spotsigs, suffix_dedup, toxicity, window_dedup
 from .common import hex_sha256, span_text, table
 
 
@@ -80,6 +80,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=13)
+    return out.select("doc_id", "n_words", "n_removed", hex_sha256(F.col("kept")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ego": op2_ego,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op13_windows": op13_windows,
 }
 
 #: All pairs that share an n-gram are compared; components by recursion.
@@ -127,4 +133,17 @@ m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY 1)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM m
 """
 
-ORACLE: dict[str, str] = {"op2_ego": COSINE_SQL, "op10_ngram_join": NGRAM_SQL}
+#: The smallest id of every window, then the words that windows with a smaller one cover.
+WINDOW_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE doc_id IS NOT NULL AND len(w) >= 13),
+x AS (SELECT r, doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM g),
+m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY s),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS k FROM x JOIN m USING (s) WHERE least < doc_id),
+l AS (SELECT r, list(k) AS ks FROM c GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ks, k)), lambda k: w[k]) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN l USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op2_ego": COSINE_SQL, "op10_ngram_join": NGRAM_SQL, "op13_windows": WINDOW_SQL}
