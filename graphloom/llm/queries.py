@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ego, mixing, ngram_join, pii, secret_scan, slots, spotsigs, suffix_dedup, toxicity, window_dedup
+from . import bpe, ego, mixing, ngram_join, pii, secret_scan, slots, spelling, spotsigs, suffix_dedup, toxicity, window_dedup
 from .common import hex_sha256, span_text, table
 
 
@@ -80,6 +80,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "n", "form", "form_n", "root", "n_near")
+
+
 def op13_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=13)
     return out.select("doc_id", "n_words", "n_removed", hex_sha256(F.col("kept")).alias("kept_sha256"))
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_spelling": op11_spelling,
     "op13_windows": op13_windows,
 }
 
@@ -146,4 +151,23 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
 FROM d LEFT JOIN l USING (r)
 """
 
-ORACLE: dict[str, str] = {"op2_ego": COSINE_SQL, "op10_ngram_join": NGRAM_SQL, "op13_windows": WINDOW_SQL}
+#: Checksums byte by byte from a table; near words by their shapes with one letter out.
+SPELLING_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS tab),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+p AS (SELECT doc_id, w, count(*) AS c FROM o GROUP BY ALL),
+b AS (SELECT *, list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':', ''), lambda x: unicode(x)) || flatten(list_transform(string_split(w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)) AS bytes FROM p),
+h AS (SELECT w, c, xor(list_reduce(list_prepend(4294967295, bytes::BIGINT[]), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+x AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (
+  SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+  UNION SELECT x.word, v.word FROM x JOIN v ON x.s = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.s = v.word),
+k AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM e JOIN v ON v.word = e.b),
+f AS (SELECT word, v.n, CASE WHEN k.n >= 2 * v.n THEN b END AS form, CASE WHEN k.n >= 2 * v.n THEN k.n END AS form_n, coalesce(n_near, 0) AS n_near FROM v LEFT JOIN k ON k.a = v.word AND k.r = 1),
+z AS (SELECT word, word AS root, 0 AS d FROM f UNION ALL SELECT z.word, f.form, d + 1 FROM z JOIN f ON f.word = z.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, form, form_n, root, n_near FROM f JOIN (SELECT word, arg_max(root, d) AS root FROM z GROUP BY word) USING (word)
+"""
+
+ORACLE: dict[str, str] = {"op2_ego": COSINE_SQL, "op10_ngram_join": NGRAM_SQL, "op11_spelling": SPELLING_SQL, "op13_windows": WINDOW_SQL}

@@ -15,4 +15,4 @@ def test_equals_sql(spark, name):
     cols = [d[0] for d in cur.description]
     got = queries.QUERIES[name](spark, SF)
     assert sorted(cols) == sorted(got.columns)
-    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == sorted(cur.fetchall())
+    assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=str) == sorted(cur.fetchall(), key=str)
