@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ego, mixing, ngram_join, pii, secret_scan, slots, spelling, spotsigs, suffix_dedup, toxicity, window_dedup
+from . import bpe, conversations, ego, mixing, ngram_join, pii, secret_scan, slots, spelling, spotsigs, suffix_dedup, toxicity, window_dedup
 from .common import hex_sha256, span_text, table
 
 
@@ -84,6 +84,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "n", "form", "form_n", "root", "n_near")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op13_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=13)
     return out.select("doc_id", "n_words", "n_removed", hex_sha256(F.col("kept")).alias("kept_sha256"))
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
     "op11_spelling": op11_spelling,
+    "op12_repair": op12_repair,
     "op13_windows": op13_windows,
 }
 
