@@ -261,8 +261,11 @@ def remove_repeats(df: DataFrame, size: int = 13, id_col: str = "doc_id", text:
     """
     new = ("n_words", "n_removed", "kept")
     keep = [c for c in df.columns if c not in new]
-    names = [f"c{i}" for i in range(len(keep))]
-    own = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{id_col}`").cast("long").alias("__id__"), F.col(f"`{text}`").cast("string").alias("__text__"))
+    # the text and the id travel once
+    alike = {text: ("__text__", "string"), id_col: ("__id__", "bigint")}
+    names = [alike[c][0] if c in alike and df.schema[c].dataType.simpleString() == alike[c][1] else f"c{i}" for i, c in enumerate(keep)]
+    also = {"__text__": F.col(f"`{text}`").cast("string"), "__id__": F.col(f"`{id_col}`").cast("long")}
+    own = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), *(x.alias(n) for n, x in also.items() if n not in names))
     packed = pieces(own)
     total = packed.agg(F.sum("bytes")).first()[0] or 0
     buckets = 1 << (total // PIECE).bit_length()
