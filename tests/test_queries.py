@@ -5,12 +5,12 @@ import math
 import duckdb
 import pytest
 
-from graphloom.queries import flow, sets, trees
+from graphloom.queries import flow, programs, sets, trees
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages"
-QUERIES = trees.QUERIES | sets.QUERIES | flow.QUERIES
-ORACLE = trees.ORACLE | sets.ORACLE | flow.ORACLE
+QUERIES = trees.QUERIES | sets.QUERIES | flow.QUERIES | programs.QUERIES
+ORACLE = trees.ORACLE | sets.ORACLE | flow.ORACLE | programs.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -39,4 +39,4 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_all_queries_have_sql_or_a_test_of_their_own():
-    assert set(QUERIES) - set(ORACLE) == {"provenance_fold", "perm_masked"}
+    assert set(QUERIES) - set(ORACLE) == {"provenance_fold", "perm_masked", "glob_equal_runs"}
