@@ -7,7 +7,9 @@ bound of its own: each ends when a round adds nothing.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate, count
 
@@ -53,6 +55,52 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int |
         delta = new
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as Parquet in the same folder: for frames that are read many times by some of their columns."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        cut(df.sparkSession.range(1))
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Rows of ``head`` from one row each of the relations of ``body``: ``make`` gets their frames and returns head's columns."""
+
+    head: str
+    body: tuple[str, ...]
+    make: Callable[..., DataFrame]
+
+
+def mutual(seeds: dict[str, DataFrame], rules: list[Rule]) -> dict[str, DataFrame]:
+    """All rows that the rules derive, for several relations that depend on each other; ``seeds`` has every head.
+
+    Semi-naive: in a round each relation has its own new rows, and a rule is
+    applied once for each place of its body that has some, with all rows known
+    at the other places. A round writes new rows only. What a rule negates must be
+    complete before, that is come from outside or from an earlier call. It ends when a round
+    finds nothing new.
+    """
+    parts = {name: [written(seed.distinct())] for name, seed in seeds.items()}
+    delta = {name: p[0] for name, p in parts.items() if not p[0].isEmpty()}
+    while delta:
+        every = {name: reduce(DataFrame.union, p) for name, p in parts.items()}
+        found: dict[str, list[DataFrame]] = {}
+        for r in rules:
+            for i, name in enumerate(r.body):
+                if name in delta:
+                    frames = [delta[name] if k == i else every[other] for k, other in enumerate(r.body)]
+                    found.setdefault(r.head, []).append(r.make(*frames).select(*every[r.head].columns))
+        delta = {}
+        for head, frames in found.items():
+            new = written(reduce(DataFrame.union, frames).distinct().join(every[head], every[head].columns, "left_anti"))
+            if not new.isEmpty():
+                delta[head] = new
+                parts[head] = [*parts[head], new] if len(parts[head]) < TOGETHER else [written(every[head]), new]
+    return {name: reduce(DataFrame.union, p) for name, p in parts.items()}
+
+
 def fingerprint(df: DataFrame) -> tuple:
     """Row count and an order-free hash sum: equal for equal frames."""
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
