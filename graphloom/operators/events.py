@@ -8,7 +8,7 @@ Their order is ``seq`` alone. Pointers are unsigned and held as
 from __future__ import annotations
 
 from collections import namedtuple
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -91,43 +91,84 @@ def owned_paths(nodes: DataFrame) -> DataFrame:
     return one.filter("n = 1").drop("n")
 
 
+class PointerMap:
+    """An ordered map from unsigned pointers to values, as a tree over their bytes.
+
+    ``nodes`` holds its parts: (0, p) the values of the pointers from 256 p on by
+    their last byte, (n, p) the bits of the parts below that are not empty. Any mapping
+    will do, so the map lies in a task's memory or in a stream's state, and an
+    operation touches the parts on one way down, however many pointers there are.
+    """
+
+    DEPTH = 7
+
+    def __init__(self, nodes: MutableMapping[tuple[int, int], dict | int]) -> None:
+        self.nodes = nodes
+
+    def get(self, ptr: int):
+        return (self.nodes.get((0, ptr >> 8)) or {}).get(ptr & 255)
+
+    def put(self, ptr: int, value: tuple) -> None:
+        leaf = self.nodes.get((0, ptr >> 8)) or {}
+        self.nodes[0, ptr >> 8] = {**leaf, ptr & 255: value}
+        for n in range(1, self.DEPTH + 1 if not leaf else 0):
+            at, bit = ptr >> 8 * (n + 1), 1 << (ptr >> 8 * n & 255)
+            had = self.nodes.get((n, at)) or 0
+            self.nodes[n, at] = had | bit
+            if had:
+                break
+
+    def drop(self, ptr: int) -> None:
+        leaf = dict(self.nodes.get((0, ptr >> 8)) or {})
+        if leaf.pop(ptr & 255, None) is None:
+            return
+        self.nodes[0, ptr >> 8] = leaf
+        for n in range(1, self.DEPTH + 1 if not leaf else 0):
+            at = ptr >> 8 * (n + 1)
+            self.nodes[n, at] = left = self.nodes[n, at] & ~(1 << (ptr >> 8 * n & 255))
+            if left:
+                break
+
+    def floor(self, ptr: int) -> int | None:
+        """The greatest pointer of the map up to this one."""
+        leaf = self.nodes.get((0, ptr >> 8)) or {}
+        if low := [k for k in leaf if k <= ptr & 255]:
+            return ptr & ~255 | max(low)
+        for n in range(1, self.DEPTH + 1):
+            at = ptr >> 8 * (n + 1)
+            if below_ := (self.nodes.get((n, at)) or 0) & ((1 << (ptr >> 8 * n & 255)) - 1):
+                while n:
+                    at, n = at << 8 | below_.bit_length() - 1, n - 1
+                    below_ = self.nodes[n, at]
+                return at << 8 | max(below_)
+        return None
+
+
 class _Fold:
-    """State of one run: graphs, the map from pointer to provenance, and its sizes."""
+    """State of one run: graphs, the map from pointer to provenance, and its sizes. The mappings may lie in a stream's state."""
 
-    def __init__(self) -> None:
-        self.start: list[int] = []  # pointers with an entry, sorted
-        self.entry: dict[int, tuple[int, int, int | None]] = {}  # pointer -> graph, node, size
-        self.graph_sizes: list[int] = []
-        self.by_dest: dict[tuple[int, object], int] = {}  # graph and local -> its last node
+    def __init__(self, pages: MutableMapping | None = None, graph_sizes: MutableMapping | None = None, by_dest: MutableMapping | None = None, graphs: int = 0) -> None:
+        self.entry = PointerMap({} if pages is None else pages)  # pointer -> graph, node, size
+        self.graph_sizes: MutableMapping[int, int] = {} if graph_sizes is None else graph_sizes
+        self.by_dest: MutableMapping[tuple[int, object], int] = {} if by_dest is None else by_dest  # graph and local -> its last node
+        self.graphs = graphs
 
     def find(self, ptr: int):
         """The entry whose interval, end included, holds the pointer; also the floor entry itself."""
-        from bisect import bisect_right
-
-        if ptr is None:
+        at = None if ptr is None else self.entry.floor(int(ptr))
+        if at is None:
             return None, None
-        i = bisect_right(self.start, ptr)
-        if not i:
-            return None, None
-        at = self.start[i - 1]
-        g, n, size = self.entry[at]
+        g, n, size = self.entry.get(at)
         inside = at == ptr if size is None else ptr <= at + size
         return ((g, n) if inside else None), at
 
     def put(self, ptr: int, node: tuple[int, int], size: int | None) -> None:
-        from bisect import insort
-
-        if ptr is None:
-            return
-        if ptr not in self.entry:
-            insort(self.start, ptr)
-        self.entry[ptr] = (*node, size)
+        if ptr is not None:
+            self.entry.put(int(ptr), (*node, size))
 
     def drop(self, ptr: int) -> None:
-        from bisect import bisect_left
-
-        if ptr and self.entry.pop(ptr, None) is not None:
-            del self.start[bisect_left(self.start, ptr)]
+        if ptr:
+            self.entry.drop(int(ptr))
 
     def add(self, e) -> tuple[int, int, int | None]:
         """A node for an event: a root opens a graph, others hang under the source's node of the graph that the pointer finds.
@@ -138,14 +179,14 @@ class _Fold:
         """
         found, floor = self.find(e.ptr)
         if e.node_kind in ROOTS or found is None:
-            graph, source = len(self.graph_sizes), None
-            self.graph_sizes.append(0)
+            graph, source = self.graphs, None
+            self.graphs += 1
         else:
             graph, source = found
             if e.source_local is not None and not e.source_path:
                 source = self.by_dest.get((graph, e.source_local), source)
-        node = self.graph_sizes[graph]
-        self.graph_sizes[graph] += 1
+        node = self.graph_sizes.get(graph, 0)
+        self.graph_sizes[graph] = node + 1
         if e.dest_local is not None and not e.dest_path:
             self.by_dest[graph, e.dest_local] = node
         self._map(e, (graph, node))
@@ -157,14 +198,14 @@ class _Fold:
         if e.kind in ("Alloc", "Realloc", "AddrOfLocal"):
             self.put(e.new_ptr if e.kind == "Realloc" else e.ptr, node, size)
         elif e.kind == "AddrOfSized":
-            if e.ptr not in self.entry:
+            if e.ptr is not None and self.entry.get(int(e.ptr)) is None:
                 self.put(e.ptr, node, size)
         elif e.kind == "Free":
             self.drop(e.ptr)
         elif e.kind in ("CopyPtr", "Offset", "Project"):
             ptr = e.ptr if e.kind == "CopyPtr" or e.new_ptr is None else e.new_ptr
             hit, floor = self.find(ptr)
-            unsized = floor is not None and self.entry[floor][2] is None
+            unsized = floor is not None and self.entry.get(floor)[2] is None
             if hit is None and (floor is None or unsized or e.kind == "CopyPtr"):
                 self.put(ptr, node, None)
 
