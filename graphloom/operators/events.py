@@ -12,7 +12,7 @@ from collections.abc import Iterator, MutableMapping
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut
@@ -272,3 +272,77 @@ def chains(events: DataFrame) -> DataFrame:
     left = lifetimes(events).filter("leaked").select("run_id", "ptr", "alloc_seq", F.lit(None).cast(events.schema["seq"].dataType).alias("seq"), F.lit("Done").alias("kind"))
     place = F.row_number().over(Window.partitionBy("run_id", "ptr", "alloc_seq").orderBy(F.asc_nulls_last("seq"))) - 1
     return e.union(left).withColumn("place", place).select("run_id", "ptr", "alloc_seq", "place", "seq", "kind")
+
+
+def _spans_of_time(start: str, end: str) -> Column:
+    """The parts of [start, end) whose lengths are powers of two and divide their starts: (level, number), two a level at most."""
+
+    def at(level: Column) -> Column:
+        width = F.pow(F.lit(2.0), level)
+        low, high = F.ceil(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long")
+        part = lambda n: F.struct(level.alias("level"), n.alias("number"))
+        return F.array(F.when((low < high) & (low % 2 == 1), part(low)), F.when((low < high) & (high % 2 == 1), part(high - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(52)), at)))
+
+
+def live_at(points: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Append ``object`` to (run_id, seq, ptr, ...): that of the piece of memory that holds the pointer and lives at seq; null if none does.
+
+    ``pieces`` is (run_id, ptr, size, first, until, object): the addresses from ptr
+    on, size of them, from seq ``first`` to before ``until``. A life is cut into spans whose
+    lengths are powers of two; a point looks into the span around it of each length that
+    there is. Pieces of a span live all through it, so they are apart, and the
+    one at or before the pointer is found by one sort of the span: neither many
+    lives at one address nor long ones among short ones make pairs. Seq counts from 0 and stays under 2^52.
+    """
+    parts = cut(pieces.filter("size > 0 AND first < until").withColumn("span", F.explode(_spans_of_time("first", "until"))).select("run_id", "span.*", "ptr", "size", "object"))
+    levels = sorted(r[0] for r in parts.select("level").distinct().collect())  # 53 at most
+    if not levels:
+        return points.withColumn("object", F.lit(None).cast(pieces.schema["object"].dataType))
+    every = points.withColumn("__p__", F.struct(*points.columns)).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    every = every.select("__p__", F.struct("run_id", "level", F.floor(F.col("seq") / F.pow(F.lit(2.0), "level")).cast("long").alias("number")).alias("span"), F.col("ptr").alias("at"))
+    spans = parts.select(F.struct("run_id", "level", "number").alias("span"), F.col("ptr").alias("start"), "size", "object")
+    looked = every.join(spans.select("span").distinct(), "span", "left_semi")
+    found = asof(looked, spans, "span", inclusive=False).filter("object IS NOT NULL").select(F.to_json("__p__").alias("__k__"), "object").groupBy("__k__").agg(F.first("object").alias("object"))
+    return points.withColumn("__k__", F.to_json(F.struct(*points.columns))).join(found, "__k__", "left").select(*points.columns, "object")
+
+
+def inner_chains(events: DataFrame) -> DataFrame:
+    """(run_id, ptr, alloc_seq, place, seq, kind): like ``chains``, for events with any pointer into an allocation.
+
+    ``events`` is (run_id, seq, kind, ptr, new_ptr, size) with kinds Alloc, Free, Realloc
+    and others. An allocation holds the addresses from its base to before its end.
+    A Realloc in place goes on with another size, one to another address drops what was
+    told of the old allocation and opens a new one. Events in no live
+    allocation, and frees of no base, are left out. An allocation whose base lies in
+    a live one, and a Realloc in place of none, is a ValueError. A run's end closes what is left with Done and a null seq.
+    """
+    e = events.select("run_id", "seq", "kind", "ptr", "new_ptr", "size")
+    moves = (F.col("kind") == "Realloc") & (F.col("ptr") != F.col("new_ptr"))
+    step = lambda kind, ptr: F.struct(F.lit(kind).alias("step"), ptr.alias("base"))
+    steps = (
+        F.when(F.col("kind") == "Alloc", F.array(step("open", F.col("ptr")))).when(F.col("kind") == "Free", F.array(step("close", F.col("ptr"))))
+        .when(moves, F.array(step("drop", F.col("ptr")), step("open", F.col("new_ptr")))).when(F.col("kind") == "Realloc", F.array(step("size", F.col("ptr"))))
+    )
+    b = e.withColumn("s", F.explode(steps)).select("run_id", "seq", "kind", "size", "s.*")
+    order = Window.partitionBy("run_id", "base").orderBy("seq", "step")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumns({"was": F.last(F.when(F.col("step") != "size", F.col("step")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "opened": F.last(F.when(F.col("step") == "open", F.col("seq")), True).over(upto)})
+    b = cut(b.withColumns({"next": F.lead("seq").over(order), "live": F.coalesce(F.col("was") == "open", F.lit(False))}))
+    if not b.filter("step = 'size' AND NOT live").isEmpty():
+        raise ValueError("a reallocation in place of no allocation")
+    far = F.lit(1 << 52)
+    held = b.filter("step = 'open' OR step = 'size'")
+    pieces = held.select("run_id", F.col("base").alias("ptr"), "size", (F.col("seq") + 1).alias("first"), F.coalesce("next", far).alias("until"), F.struct("base", "opened").alias("object"))
+    born = b.filter("step = 'open'").select("run_id", "seq", F.col("base").alias("ptr"), "live")
+    if not live_at(born, pieces).filter("live OR object IS NOT NULL").isEmpty():
+        raise ValueError("an allocation overlaps a live one")
+    used = live_at(e.filter("kind NOT IN ('Alloc', 'Free', 'Realloc')").select("run_id", "seq", "kind", "ptr"), pieces).filter("object IS NOT NULL")
+    own = b.filter("step IN ('open', 'size') OR step = 'close' AND live").select("run_id", "seq", "kind", F.struct("base", "opened").alias("object"))
+    last = b.groupBy("run_id", "base", "opened").agg(F.max_by("step", F.struct("seq", "step")).alias("end"))
+    gone = b.filter("step = 'drop' AND live").select("run_id", F.struct("base", "opened").alias("object"))
+    left = last.filter("opened IS NOT NULL AND end IN ('open', 'size')").select("run_id", F.lit(None).cast(e.schema["seq"].dataType).alias("seq"), F.lit("Done").alias("kind"), F.struct("base", "opened").alias("object"))
+    every = own.union(used.select("run_id", "seq", "kind", "object")).union(left).join(gone, ["run_id", "object"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("run_id", "object").orderBy(F.asc_nulls_last("seq"))) - 1
+    return every.withColumn("place", place).select("run_id", F.col("object.base").alias("ptr"), F.col("object.opened").alias("alloc_seq"), "place", "seq", "kind")

@@ -13,18 +13,56 @@ from pyspark.sql import functions as F
 def overlap_buckets(rows: DataFrame, key: str = "key", header: str = "header") -> DataFrame:
     """(key, header, start, end, n, is_defn): runs in which each interval of a header starts before the one before it ends.
 
-    ``rows`` is (key, header, ord, start, end, is_defn). The comparison is with the
+    ``rows`` is (key, header, start, end, is_defn) and may have text. Entries that are equal in all of
+    these count once. The comparison is with the
     previous entry, not with the furthest end so far. A key of one entry keeps it;
     of a key with several entries, in whatever headers, runs of one are left out.
+    Where rows have a text, as long as the interval, a run's text is added: that of the
+    first entry that spans the run, else the entries' texts laid over each other in order.
     """
-    order = Window.partitionBy(key, header).orderBy("start", "end", "ord")
+    entry = ["start", "end", *(c for c in ("text", "is_defn") if c in rows.columns)]
+    order = Window.partitionBy(key, header).orderBy(*entry)
     opens = F.when(F.col("start") < F.lag("end").over(order), 0).otherwise(1)
-    b = rows.withColumn("opens", opens).withColumn("bucket", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.groupBy(key, header, "bucket").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.bool_or("is_defn").alias("is_defn"))
+    b = rows.select(key, header, *entry).distinct().withColumn("opens", opens).withColumn("bucket", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    texts = [F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("texts")] if "text" in entry else []
+    b = b.groupBy(key, header, "bucket").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.bool_or("is_defn").alias("is_defn"), *texts)
+    if texts:
+        whole = F.filter("texts", lambda t: (t["start"] == F.col("start")) & (t["end"] == F.col("end")))
+        tail = lambda acc, t: F.substring(acc, (t["end"] - F.col("start") + 1).cast("int"), F.char_length(acc))
+        laid = F.aggregate("texts", F.lit(""), lambda acc, t: F.concat(F.substring(acc, F.lit(1), (t["start"] - F.col("start")).cast("int")), t["text"], tail(acc, t)))
+        b = b.withColumn("text", F.when(F.size(whole) > 0, whole[0]["text"]).otherwise(laid)).drop("texts")
     total = F.sum("n").over(Window.partitionBy(key))
     return b.withColumn("total", total).filter("n > 1 OR total = 1").drop("total", "bucket")
 
 
+def overlaps(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(l, r): pairs of rows of equal key whose intervals from ``start`` to ``end``, exclusive, overlap; both are whole rows.
+
+    An empty interval overlaps those that it lies strictly inside. Intervals are
+    dealt to cells as wide as they are, rounded up to a power of two: one touches two
+    cells of its own width at most, and two of any wider one. The wider one of
+    a pair stays in its cells, the narrower one looks there, for each width that
+    its key has; a pair counts in the cell where the later of the two starts. So the
+    join is on equality, and what meets in a cell is near, however many
+    intervals a key has. Null keys and ends match nothing.
+    """
+    wide = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int")
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), "level")).cast("long")
+    cells = F.explode(F.array_distinct(F.array(cell(F.col("start")), cell(F.greatest("start", F.col("end") - 1))))).alias("cell")
+    rows = lambda df: df.select(F.col(key).alias("k"), "start", "end", F.struct(*df.columns).alias("row"), wide.alias("own"))
+
+    def meet(narrow: DataFrame, wider: DataFrame, strictly: bool) -> DataFrame:
+        w = wider.withColumn("level", F.col("own")).select("k", "level", F.col("start").alias("ws"), F.col("end").alias("we"), F.col("row").alias("w"), cells)
+        levels = wider.select("k", F.col("own").alias("level")).distinct()
+        n = narrow.join(levels, "k").filter(F.col("own") < F.col("level") if strictly else F.col("own") <= F.col("level"))
+        n = n.select("k", "level", F.col("start").alias("ns"), F.col("end").alias("ne"), F.col("row").alias("n"), cells)
+        later = F.floor(F.greatest("ns", "ws") / F.pow(F.lit(2.0), "level")).cast("long")
+        return n.join(w, ["k", "level", "cell"]).filter((F.col("ns") < F.col("we")) & (F.col("ws") < F.col("ne")) & (F.col("cell") == later))
+
+    a, b = rows(left), rows(right)
+    return meet(a, b, False).select(F.col("n").alias("l"), F.col("w").alias("r")).union(meet(b, a, True).select(F.col("w").alias("l"), F.col("n").alias("r")))
+
+
 def sorted_edits(edits: DataFrame) -> DataFrame:
     """Edits in order of offset, those of one offset as given, numbered per file."""
     return edits.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("off", "ord")))
@@ -99,16 +137,19 @@ def unique_place(text: Column, part: Column, begin: Column | None = None, end: C
 
 
 def replicated_edits(edits: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Edits inside a definition, once for each definition of the same ``group``, at the same distance from its start.
+    """(file, ord, off, len, text): all edits, and those inside a definition once more for each one of its ``group`` in another file.
 
-    ``definitions`` is (group, def_file, start, end). An edit over a
-    definition's edge is an error when read.
+    ``definitions`` is (group, def_file, start, end). A copy stands at the same
+    distance from the start; equal edits of a file are one, with the least ord. An edit over a
+    definition's edge is an error when read; one that only touches it is outside.
     """
-    d = definitions
-    inside = edits.join(d, (edits["file"] == d["def_file"]) & (edits["off"] < d["end"]) & (edits["off"] + edits["len"] > d["start"]))
-    whole = F.assert_true((F.col("off") >= F.col("start")) & (F.col("off") + F.col("len") <= F.col("end")), F.lit("an edit crosses a definition's edge"))
-    based = inside.filter(F.coalesce(whole.cast("boolean"), F.lit(True))).select("group", (F.col("off") - F.col("start")).alias("rel"), "len", "text", "ord")
-    return based.join(d.select("group", "def_file", "start"), "group").select(F.col("def_file").alias("file"), "ord", (F.col("start") + F.col("rel")).alias("off"), "len", "text").distinct()
+    e = edits.select("file", "ord", "len", "text", F.col("off").alias("start"), (F.col("off") + F.col("len")).alias("end"))
+    d = definitions.select("group", F.col("def_file").alias("file"), "start", "end")
+    inside = overlaps(e, d, "file")
+    whole = F.assert_true((F.col("l.start") >= F.col("r.start")) & (F.col("l.end") <= F.col("r.end")), F.lit("an edit crosses a definition's edge"))
+    based = inside.filter(F.coalesce(whole.cast("boolean"), F.lit(True))).select("r.group", F.col("l.file").alias("of"), (F.col("l.start") - F.col("r.start")).alias("rel"), "l.len", "l.text", "l.ord")
+    copies = based.join(d, "group").filter("file <> of").select("file", "ord", (F.col("start") + F.col("rel")).alias("off"), "len", "text")
+    return edits.select("file", "ord", "off", "len", "text").union(copies).groupBy("file", "off", "len", "text").agg(F.min("ord").alias("ord")).select("file", "ord", "off", "len", "text")
 
 
 def erased(text: Column, off: Column, length: Column) -> Column:

@@ -422,11 +422,11 @@ ORACLE = {
       SELECT file, unnest - 1 AS line, bool_or(k) AS covered FROM (SELECT file, k, unnest(range(lo, hi + 1)) AS unnest FROM r WHERE hi >= lo) GROUP BY 1, 2""",
     "config_merge": """SELECT config, row_number() OVER (ORDER BY k) - 1 AS index FROM (
       SELECT DISTINCT o_orderpriority AS config, [o_orderpriority] AS k FROM orders UNION SELECT DISTINCT o_orderpriority || '+' || o_orderstatus, [o_orderpriority, o_orderstatus] FROM orders)""",
-    "overlap_buckets": "WITH " + _SPANS + """, m AS (SELECT spans.*, o_orderstatus AS header, o_totalprice > 250000 AS is_defn FROM spans JOIN orders ON o_orderkey = ord),
-      o AS (SELECT *, CASE WHEN "start" < lag("end") OVER w THEN 0 ELSE 1 END AS opens FROM m WINDOW w AS (PARTITION BY key, header ORDER BY "start", "end", ord)),
-      b AS (SELECT *, sum(opens) OVER (PARTITION BY key, header ORDER BY "start", "end", ord ROWS UNBOUNDED PRECEDING) AS bucket FROM o),
+    "overlap_buckets": "WITH " + _SPANS + """, m AS (SELECT DISTINCT key, o_orderstatus AS header, "start", "end", o_totalprice > 250000 AS is_defn FROM spans JOIN orders ON o_orderkey = ord),
+      o AS (SELECT *, CASE WHEN "start" < lag("end") OVER w THEN 0 ELSE 1 END AS opens FROM m WINDOW w AS (PARTITION BY key, header ORDER BY "start", "end", is_defn)),
+      b AS (SELECT *, sum(opens) OVER (PARTITION BY key, header ORDER BY "start", "end", is_defn ROWS UNBOUNDED PRECEDING) AS bucket FROM o),
       g AS (SELECT key, header, bucket, min("start") AS "start", max("end") AS "end", count(*) AS n, bool_or(is_defn) AS is_defn FROM b GROUP BY 1, 2, 3)
-      SELECT key, header, "start", "end", n, is_defn FROM g WHERE n > 1 OR key IN (SELECT key FROM spans GROUP BY 1 HAVING count(*) = 1)""",
+      SELECT key, header, "start", "end", n, is_defn FROM g WHERE n > 1 OR key IN (SELECT key FROM m GROUP BY 1 HAVING count(*) = 1)""",
     "edit_conflicts": "WITH " + _EDITS + """ SELECT file, first, ord AS second FROM (
       SELECT *, lag(off + len) OVER w AS pe, lag(ord) OVER w AS first FROM ded WHERE len > 0 WINDOW w AS (PARTITION BY file ORDER BY off, ord)) WHERE off < pe""",
     "edit_order": "WITH " + _EDITS + " SELECT file, ord, off, len, row_number() OVER (PARTITION BY file ORDER BY off, ord)::INT AS place FROM ded",
