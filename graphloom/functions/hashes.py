@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def djb2(data: Column) -> Column:
@@ -38,6 +39,40 @@ def jodyhash(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), step)
 
 
+#: Numbers of simple types, the word that mixes them in, and the hashes of what is not followed (fixed values).
+TYPE_NUMBERS = {"tinyint": 5, "smallint": 6, "int": 7, "bigint": 8, "boolean": 10}
+TYPE_MIX = 0x5A5A5A5A5A5A5A5A
+LEAF_ARRAY, LEAF_RECORD, NULL_POINTER = 0x797272414661654C, 0x647263526661654C, 0x726174536C6C754E
+DEPTH = 8
+
+
+def _signed(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def nested_hash(value: Column, kind: T.DataType, depth: int = DEPTH) -> Column:
+    """A 64-bit hash of a value of any type made of whole numbers, booleans, arrays and records, as a signed long.
+
+    Simple values are mixed with the number of their type, the parts of arrays and
+    records are hashed one level deeper and joined by ``jodyhash`` in order. Deeper
+    than ``depth`` levels an array or record has a hash of its own, whatever it holds; a null
+    has one too, at any depth. The type is compiled to one expression. Other types are a TypeError.
+    """
+    if isinstance(kind, T.StructType):
+        out = F.lit(LEAF_RECORD).cast("long")
+        if depth:
+            parts = [nested_hash(value.getField(f.name), f.dataType, depth - 1) for f in kind.fields]
+            out = jodyhash(F.array(*parts)) if parts else F.lit(0).cast("long")
+    elif isinstance(kind, T.ArrayType):
+        out = jodyhash(F.transform(value, lambda x: nested_hash(x, kind.elementType, depth - 1))) if depth else F.lit(LEAF_ARRAY).cast("long")
+    elif (name := kind.simpleString()) in TYPE_NUMBERS:
+        out = value.cast("int").cast("long") if name == "boolean" else value.cast("long")
+        out = out.bitwiseXOR(F.lit(_signed(TYPE_MIX * TYPE_NUMBERS[name] % (1 << 64))))
+    else:
+        raise TypeError(f"no hash for {kind.simpleString()}")
+    return F.when(value.isNull(), F.lit(NULL_POINTER).cast("long")).otherwise(out)
+
+
 def normal_path(path: Column) -> Column:
     """``.`` and ``..`` resolved in the text alone; a ``..`` with no named part before it stays."""
     up = lambda a: (F.size(a) > 0) & (F.get(a, F.size(a) - 1) != "..")
