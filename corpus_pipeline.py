@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from graphloom.llm import bpe, common, mixing, ngram_join, secret_scan, toxicity
 from graphloom.plans.iterate import cut
 
+#: Words that a worker keeps between batches of the last stage: fewer than the operator alone keeps, as workers of earlier stages stay.
+REMEMBER = 250_000
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled ones that this stage is given.
@@ -78,7 +81,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows have equal ids; an empty table gives no rows.
     """
-    out = bpe.encode(docs, decoded=True)
+    out = bpe.encode(docs, decoded=True, remember=REMEMBER)
     back = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
 

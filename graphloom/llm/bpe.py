@@ -26,8 +26,8 @@ from .common import map_texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Words whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 450_000
+#: Words whose ids a worker remembers, and bytes of them; beyond either the memory starts afresh.
+REMEMBERED, REMEMBERED_BYTES = 450_000, 24 << 20
 
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
 DECODED = T.StructField("decoded", T.BinaryType())
@@ -144,16 +144,23 @@ class Words:
         self.at: dict[str, int] = {}
         self.ids = np.empty(0, np.int32)
         self.start = np.zeros(1, np.int64)
+        self.size = 0
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: Iterable[str], most: int = REMEMBERED) -> None:
+        """The ids of all these words are there afterwards; what was there goes if there would be more than ``most`` words or too many bytes."""
         new = [w for w in words if w not in self.at]
         if not new:
             return
-        if len(self.at) + len(new) > REMEMBERED:
+        data = [w.encode("utf-8", "surrogatepass") for w in new]
+        size = sum(map(len, data))
+        if self.at and (len(self.at) + len(new) > most or self.size + size > REMEMBERED_BYTES):
             self.clear()
             new = list(words)
-        ids, counts = replay([w.encode("utf-8", "surrogatepass") for w in new], self.merges)
+            data = [w.encode("utf-8", "surrogatepass") for w in new]
+            size = sum(map(len, data))
+        ids, counts = replay(data, self.merges)
         at = len(self.at)
+        self.size += size
         self.at.update(zip(new, range(at, at + len(new)), strict=True))
         self.ids = np.concatenate([self.ids, ids])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
@@ -174,14 +181,15 @@ def _bytes_of(ids: pa.Array, ranks: str) -> pa.Array:
     return pa.array(data, pa.binary(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
 
-def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = PATTERN, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str = PATTERN, keep: list[str] | None = None, decoded: bool = False, remember: int = REMEMBERED) -> DataFrame:
     """Append ``ids``, the token ids of each text, and if asked for ``decoded``, the bytes that these ids stand for.
 
     Every match of ``pattern`` is encoded apart from the others; special tokens
     are ordinary text. Every token longer than a byte has to be the merge of two
     others, as in rank files made by merging. Null and empty texts have no ids,
     repeated rows equal ones; long words take n log n time; an empty table gives
-    no rows; columns of these names are replaced.
+    no rows; columns of these names are replaced. ``remember`` bounds the words that a
+    worker keeps between batches; it changes the time that is taken, never the ids.
     """
     find = regex.compile(pattern).findall
 
@@ -191,7 +199,7 @@ def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, pattern: str =
         counts = np.fromiter(map(len, found), np.int64, len(found))
         flat = [w for x in found for w in x]
         del found
-        words.learn(dict.fromkeys(flat))
+        words.learn(dict.fromkeys(flat), remember)
         which = np.fromiter(map(words.at.__getitem__, flat), np.int64, len(flat))
         del flat
         lengths = words.start[which + 1] - words.start[which]

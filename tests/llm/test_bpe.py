@@ -44,3 +44,16 @@ def test_edge_rows(spark, docs):
     assert (1, 0, b"") in got and (2, 0, b"") in got and sum(g[0] == 3 for g in got) == 2
     assert next(g[2] for g in got if g[0] == 4) == b"z" * 50_000
     assert bpe.decode(bpe.encode(df.limit(0))).count() == 0
+
+
+def test_memory_is_bounded_by_words_and_bytes(monkeypatch):
+    words = bpe.Words(bpe.Merges(bpe.load_ranks(bpe.RANKS)))
+    words.learn(dict.fromkeys(f"w{i}" for i in range(50)), 60)
+    kept = {w: words.ids[words.start[k] : words.start[k + 1]].tolist() for w, k in words.at.items()}
+    words.learn(dict.fromkeys(["w3", *(f"x{i}" for i in range(30))]), 60)
+    assert set(words.at) == {"w3", *(f"x{i}" for i in range(30))} and words.ids[words.start[words.at["w3"]] : words.start[words.at["w3"] + 1]].tolist() == kept["w3"]
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 10_000)
+    long = "ab" * 3000
+    words.learn({long: None})
+    words.learn({long[:-1] + "b": None})
+    assert set(words.at) == {long[:-1] + "b"} and words.size == len(long)
