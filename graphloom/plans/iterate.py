@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate, count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rounds of a fixpoint that stay apart before they are written as one.
@@ -55,11 +55,16 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int |
         delta = new
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut(spark.range(1))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like ``cut``, as Parquet in the same folder: for frames that are read many times by some of their columns."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        cut(df.sparkSession.range(1))
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

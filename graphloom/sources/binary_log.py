@@ -82,7 +82,9 @@ def encoded(row: Row | dict) -> bytes:
 
 
 def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    if "://" in path and not path.startswith("file:"):
+        return pyarrow.fs.FileSystem.from_uri(path)
+    return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 def _logs(path: str) -> list[str]:

@@ -5,12 +5,12 @@ import math
 import duckdb
 import pytest
 
-from graphloom.queries import flow, programs, sets, trees
+from graphloom.queries import flow, items, programs, sets, trees
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages"
-QUERIES = trees.QUERIES | sets.QUERIES | flow.QUERIES | programs.QUERIES
-ORACLE = trees.ORACLE | sets.ORACLE | flow.ORACLE | programs.ORACLE
+QUERIES = trees.QUERIES | sets.QUERIES | flow.QUERIES | programs.QUERIES | items.QUERIES
+ORACLE = trees.ORACLE | sets.ORACLE | flow.ORACLE | programs.ORACLE | items.ORACLE
 
 
 @pytest.fixture(scope="module")
