@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import along, components, cut, fixpoint, numbered, pushed
+from ..plans.iterate import along, components, cut, deleted, fixpoint, numbered, pushed, written
 
 #: Permission bits.
 READ, WRITE, UNIQUE, LINEAR, OFFSET_ADD, OFFSET_SUB, FREE, NON_NULL, HEAP, STACK = (1 << i for i in range(10))
@@ -39,7 +39,7 @@ def propagate(pointers: DataFrame, subsets: DataFrame, constraints: DataFrame |
         kept = _and(given, F.bitwise_not("f")).bitwiseOR(_and(F.col("perms"), F.col("f")))
         first = first.join(said, "id", "left").select("id", kept.alias("perms"), "f")
     edges = cut(subsets.select("a", "b", F.bitwise_not(F.coalesce("except_mask", F.lit(0)).cast("int")).alias("mask")).repartition("a"))
-    state = cut(first)
+    state, _, path = written(first)
     touched = edges
     while True:
         value = lambda n: state.select(F.col("id").alias(n), F.col("perms").alias(f"p{n}"))  # noqa: E731, B023
@@ -50,10 +50,12 @@ def propagate(pointers: DataFrame, subsets: DataFrame, constraints: DataFrame |
         per = both.select(F.explode(F.array(to_a, to_b)).alias("x")).select("x.*").groupBy("id").agg(F.bit_or("lose").alias("lose"), F.bit_or("gain").alias("gain"))
         moved = _and(F.col("perms").bitwiseOR(F.coalesce("gain", F.lit(0))), F.bitwise_not(F.coalesce("lose", F.lit(0))))
         new = _and(moved, F.bitwise_not("f")).bitwiseOR(_and(F.col("perms"), F.col("f")))
-        state = cut(state.join(per, "id", "left").select("id", new.alias("perms"), "f", (new != F.col("perms")).alias("changed")))
-        dirty = state.filter("changed").select("id")
-        if dirty.isEmpty():
+        before = path
+        state, _, path = written(state.join(per, "id", "left").select("id", new.alias("perms"), "f", (new != F.col("perms")).alias("changed")))
+        dirty, n, _ = written(state.filter("changed").select("id"))
+        if not n:
             break
+        deleted(state.sparkSession, [before])
         touched = edges.join(dirty, edges["a"] == dirty["id"], "left_semi").union(edges.join(dirty, edges["b"] == dirty["id"], "left_semi")).distinct()
     if constraints is None:
         return state.select("id", "perms")

@@ -50,9 +50,10 @@ def origins_live(facts: Facts, cfg: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Conflicts:
-    """``errors`` (func, loan, p), ``subset_errors`` (func, o1, o2, p) and the relations behind them."""
+    """``errors`` (func, loan, p), ``subset_errors`` (func, o1, o2, p), the loans that are ``held`` at a point (func, loan, p), and the relations behind them."""
 
     errors: DataFrame
+    held: DataFrame
     subset_errors: DataFrame
     subset: DataFrame
     contains: DataFrame
@@ -90,20 +91,20 @@ def conflicts(facts: Facts) -> Conflicts:
     seeds = {"subset": facts.base.select("func", "o1", "o2", "p").dropna(), "contains": facts.issued.select("func", "origin", "loan", "p").dropna()}
     rules = [Rule("subset", ("subset", "subset"), follows), Rule("subset", ("subset",), stays), Rule("contains", ("contains", "subset"), passes), Rule("contains", ("contains",), flows)]
     out = mutual(seeds, rules)
-    held = out["contains"].join(live, ["func", "origin", "p"], "left_semi").select("func", "loan", "p").distinct()
+    held = cut(out["contains"].join(live, ["func", "origin", "p"], "left_semi").select("func", "loan", "p").distinct())
     errors = facts.invalidated.select("func", "loan", "p").distinct().join(held, ["func", "loan", "p"], "left_semi")
     free = facts.universal.select("func", F.col("origin").alias("o1")).distinct()
     declared = fixpoint(facts.known.select("func", "o1", "o2"), lambda d: d.join(facts.known.select("func", F.col("o1").alias("o2"), F.col("o2").alias("o3")), ["func", "o2"]).select("func", "o1", F.col("o3").alias("o2")))
     both = out["subset"].join(free, ["func", "o1"], "left_semi").join(free.withColumnRenamed("o1", "o2"), ["func", "o2"], "left_semi")
     wrong = both.filter("o1 <> o2").join(declared, ["func", "o1", "o2"], "left_anti")
-    return Conflicts(errors, wrong, out["subset"], out["contains"], live)
+    return Conflicts(errors, held, wrong, out["subset"], out["contains"], live)
 
 
-def settled(pointers: DataFrame, subsets: DataFrame, facts: Callable[[DataFrame], Facts], owners: DataFrame, cap: int = 20) -> DataFrame:
-    """Permissions that the loan rules agree with: ``facts(permissions)`` are those of a hypothesis, ``owners`` (func, loan, id)
-    say which pointer a loan is of; the pointers of loans in error lose UNIQUE, round by round."""
+def settled(pointers: DataFrame, subsets: DataFrame, errors: Callable[[DataFrame], DataFrame], owners: DataFrame, cap: int = 20) -> DataFrame:
+    """Permissions that the loan rules agree with: ``errors(permissions)`` are the (func, loan, p) of a hypothesis, by ``conflicts``,
+    ``owners`` (func, loan, id) say which pointer a loan is of; the pointers of loans in error lose UNIQUE, round by round.
 
-    def loans(state: DataFrame) -> DataFrame:
-        return conflicts(facts(state)).errors.join(owners, ["func", "loan"]).select("id")
-
-    return lattice.refined(pointers, subsets, loans, cap)
+    Where permissions decide only which loans can be invalidated, what origins hold is the
+    same for all of them, so it is found once: ``errors`` then joins ``Conflicts.held`` with what is left.
+    """
+    return lattice.refined(pointers, subsets, lambda state: errors(state).join(owners, ["func", "loan"]).select("id"), cap)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate, count
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rounds of a fixpoint that stay apart before they are written as one.
@@ -38,21 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int | None = None) -> DataFrame:
     """All rows that ``step`` derives from ``seed``, directly or again.
 
-    Each round works on the new rows only and writes these only; the rounds are
-    put together once in ``TOGETHER``. It ends when a round finds nothing new; with
-    ``cap`` more rounds than that are an error.
+    Each round works on the new rows only and writes these only. It ends when a
+    round finds nothing new; with ``cap`` more rounds than that are an error.
     """
-    delta = cut(seed.distinct())
-    parts = [delta]
+    rounds = Rounds(seed.distinct())
     for n in count():
-        every = reduce(DataFrame.union, parts)
-        new = cut(step(delta).select(*every.columns).distinct().join(every, every.columns, "left_anti"))
-        if new.isEmpty():
-            return every
+        rounds.settle()
+        every = rounds.every()
+        rounds.add(step(rounds.last).select(*every.columns).distinct().join(every, every.columns, "left_anti"))
+        if not rounds.new:
+            return rounds.every()
         if n == cap:
             raise RuntimeError(f"no fixpoint after {cap} rounds")
-        parts = [*parts, new] if len(parts) < TOGETHER else [cut(every), new]
-        delta = new
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,11 +59,49 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as Parquet in the same folder: for frames that are read many times by some of their columns."""
-    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame) -> tuple[DataFrame, int, str]:
+    """``df`` as Parquet in the shared folder, read again, with its number of rows, counted on the way, and its path."""
+    path, seen = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"], path
+
+
+class Rounds:
+    """The rows that a fixpoint has found, round by round; a round writes its own rows only.
+
+    Once in ``TOGETHER`` rounds the earlier ones are written as one, and what they had written is deleted.
+    """
+
+    def __init__(self, seed: DataFrame, fold: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+        self.parts: list[DataFrame] = []
+        self.paths: list[str] = []
+        self.fold = fold
+        self.last, self.new = seed, 0
+        self.add(seed)
+
+    def every(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+    def add(self, rows: DataFrame) -> None:
+        """Write a round's rows: ``last`` has them, ``new`` is their number."""
+        self.last, self.new, path = written(rows)
+        if self.new or not self.parts:
+            self.parts.append(self.last)
+            self.paths.append(path)
+
+    def settle(self) -> None:
+        """Between two rounds: put the earlier ones together if they are many. Frames of ``every`` from before are void then."""
+        if len(self.parts) > TOGETHER:
+            old = self.paths[:-1]
+            one, _, path = written(self.fold(reduce(DataFrame.union, self.parts[:-1])))
+            self.parts, self.paths = [one, self.parts[-1]], [path, self.paths[-1]]
+            deleted(one.sparkSession, old)
+
+
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @dataclass(frozen=True)
@@ -87,23 +122,22 @@ def mutual(seeds: dict[str, DataFrame], rules: list[Rule]) -> dict[str, DataFram
     complete before, that is come from outside or from an earlier call. It ends when a round
     finds nothing new.
     """
-    parts = {name: [written(seed.distinct())] for name, seed in seeds.items()}
-    delta = {name: p[0] for name, p in parts.items() if not p[0].isEmpty()}
+    rounds = {name: Rounds(seed.distinct()) for name, seed in seeds.items()}
+    delta = {name: r.last for name, r in rounds.items() if r.new}
     while delta:
-        every = {name: reduce(DataFrame.union, p) for name, p in parts.items()}
+        for r in rounds.values():
+            r.settle()
+        every = {name: r.every() for name, r in rounds.items()}
         found: dict[str, list[DataFrame]] = {}
         for r in rules:
             for i, name in enumerate(r.body):
                 if name in delta:
                     frames = [delta[name] if k == i else every[other] for k, other in enumerate(r.body)]
                     found.setdefault(r.head, []).append(r.make(*frames).select(*every[r.head].columns))
-        delta = {}
         for head, frames in found.items():
-            new = written(reduce(DataFrame.union, frames).distinct().join(every[head], every[head].columns, "left_anti"))
-            if not new.isEmpty():
-                delta[head] = new
-                parts[head] = [*parts[head], new] if len(parts[head]) < TOGETHER else [written(every[head]), new]
-    return {name: reduce(DataFrame.union, p) for name, p in parts.items()}
+            rounds[head].add(reduce(DataFrame.union, frames).distinct().join(every[head], every[head].columns, "left_anti"))
+        delta = {head: rounds[head].last for head in found if rounds[head].new}
+    return {name: r.every() for name, r in rounds.items()}
 
 
 def fingerprint(df: DataFrame) -> tuple:
@@ -136,22 +170,22 @@ def along(edges: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]
 
 
 def pushed(state: DataFrame, send: Callable[[DataFrame], DataFrame], keys: list[str], values: dict[str, Callable]) -> DataFrame:
-    """``state`` (keys, values) with each value aggregated over all rows that ``send`` carries to a key, directly or again.
+    """``state`` (keys, values), one row a key, with each value aggregated over all rows that ``send`` carries to a key, directly or again.
 
     The aggregates are idempotent (``min``, ``max``, ``bool_or``). Only rows that
-    changed in a round send anything in the next one. Rows with a null key are not sent.
+    changed in a round are written, and send anything in the next one. Rows with a null key are not sent.
     """
-    state = delta = cut(state.select(*keys, *values))
-    while True:
-        sent = send(delta).dropna(subset=keys).groupBy(*keys).agg(*(f(F.col(v)).alias(f"__{v}") for v, f in values.items()))
-        both = state.join(sent, keys, "full")
+    folded = lambda df: df.groupBy(*keys).agg(*(f(v).alias(v) for v, f in values.items()))
+    rounds = Rounds(state.select(*keys, *values), folded)
+    while rounds.new:
+        rounds.settle()
+        sent = send(rounds.last).dropna(subset=keys).groupBy(*keys).agg(*(f(F.col(v)).alias(f"__{v}") for v, f in values.items()))
+        # of the state only the keys that something was sent to
+        now = folded(rounds.every().join(sent.select(*keys), keys, "left_semi")).withColumn("__here__", F.lit(True))
         new = {v: _of_two(f)(F.col(v), F.col(f"__{v}")) for v, f in values.items()}
-        changed = reduce(lambda a, b: a | b, (~new[v].eqNullSafe(F.col(v)) for v in values))
-        both = cut(both.select(*keys, *(new[v].alias(v) for v in values), changed.alias("__changed__")))
-        delta = both.filter("__changed__").drop("__changed__")
-        state = both.drop("__changed__")
-        if delta.isEmpty():
-            return state
+        changed = reduce(lambda a, b: a | b, (~new[v].eqNullSafe(F.col(v)) for v in values), F.col("__here__").isNull())
+        rounds.add(sent.join(now, keys, "left").filter(changed).select(*keys, *(new[v].alias(v) for v in values)))
+    return folded(rounds.every())
 
 
 def _of_two(f: Callable) -> Callable:

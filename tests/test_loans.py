@@ -4,6 +4,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from graphloom.operators import lattice, loans
+from graphloom.plans import iterate
 from graphloom.plans.iterate import Rule, mutual
 
 COLUMNS = {
@@ -61,15 +62,16 @@ def test_settled_takes_unique_until_no_error_is_left(spark):
     pointers = spark.createDataFrame([(1, lattice.UNIQUE | lattice.READ, 0), (2, lattice.UNIQUE, 0), (3, lattice.UNIQUE, 0)], "id long, perms int, forbidden int")
     subsets = spark.createDataFrame([(1, 2, 0)], "a long, b long, except_mask int")
     owners = spark.createDataFrame([(1, 7, 2)], "func long, loan long, id long")
-    out = loans.settled(pointers, subsets, lambda state: facts, owners)
+    out = loans.settled(pointers, subsets, lambda state: loans.conflicts(facts).errors, owners)
     assert {r.id: r.perms for r in out.collect()} == {1: lattice.READ, 2: lattice.READ, 3: lattice.UNIQUE}
 
 
-def test_mutual_relations(spark):
+def test_mutual_relations(spark, monkeypatch):
     """Ways of odd and even length from 0, each from the other; a relation that nothing is derived for stays."""
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(30, 3)], "a long, b long")
     seed = spark.createDataFrame([(0,)], "n long")
     on = lambda d: d.join(edges, d["n"] == edges["a"]).select(F.col("b").alias("n"))
+    monkeypatch.setattr(iterate, "TOGETHER", 3)
     out = mutual({"even": seed, "odd": seed.limit(0), "other": seed}, [Rule("odd", ("even",), on), Rule("even", ("odd",), on)])
     even, odd, n = {0}, set(), 0
     hop = {i: i + 1 for i in range(30)} | {30: 3}
