@@ -44,16 +44,20 @@ def leftovers(commands: DataFrame, joined: DataFrame) -> DataFrame:
     return commands.join(used, "idx", "left_anti")
 
 
-def common_ancestor(paths: DataFrame, group: str, path: str = "path", order: str | None = None) -> DataFrame:
+def common_ancestor(paths: DataFrame, group: str, path: str = "path", order: str | None = None, links: str | None = None) -> DataFrame:
     """(group, ancestor): the folder of a group's first file, cut to the leading parts that all its files share.
 
     A file is never its own ancestor. Of paths in order of parts the lowest and the
     highest differ no later than any two do. The first file is the one of the
-    lowest ``order``, else the lowest path; null paths do not count.
+    lowest ``order``, else the lowest path; null paths do not count. Files under
+    the folder ``links`` stand for links: they are passed over, but for the first file.
     """
     parts = F.split(path, "/")
-    first = F.min_by(F.size(parts), F.struct(order, path)) if order else F.size(F.min(parts))
-    ends = paths.filter(F.col(path).isNotNull()).groupBy(group).agg(F.min(parts).alias("a"), F.max(parts).alias("b"), first.alias("n"))
+    link = F.lit(False) if links is None else F.coalesce(F.col(path).startswith(f"{links}/") | (F.col(path) == links), F.lit(False))
+    first = F.min_by(parts, F.struct(order, path)) if order else F.min(parts)
+    counted = F.when(~link, parts)
+    ends = paths.filter(F.col(path).isNotNull()).groupBy(group).agg(F.min(counted).alias("low"), F.max(counted).alias("high"), first.alias("first"))
+    ends = ends.select(group, F.least("low", "first").alias("a"), F.greatest("high", "first").alias("b"), F.size("first").alias("n"))
     same = F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y))
     stop = F.array_position(same, F.lit(False))
     shared = F.when(stop > 0, stop - 1).otherwise(F.least(F.size("a"), F.size("b")))

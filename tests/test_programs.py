@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.hashes import nested_hash
-from graphloom.operators import bisection, graphs
+from graphloom.operators import bisection, graphs, keyed
 from graphloom.queries import programs
 
 SF = "/root/testdata/sf0.001"
@@ -113,3 +113,11 @@ def test_bisection_equals_one_by_one(spark):
     bisection.bisected(table.filter("key % 3 = 0").select("key", "place"), check).collect()
     assert len(jobs) <= 7  # levels and the last test, whatever the number of keys
     assert bisection.bisected(table.select("key", "place").limit(0), check).collect() == []
+
+
+def test_ancestors_pass_over_links(spark):
+    rows = [("a", 1, "/x/y/f"), ("a", 2, "/l/k/p"), ("a", 3, "/x/y/z/g"), ("b", 1, "/l/k/p"), ("b", 2, "/x/f"), ("c", 1, "/l/k/p"), ("c", 2, "/l/k/q"), ("d", 1, "/x/f"), ("d", 2, "/l/kk/f"), ("e", 1, "/x/y"), ("e", 2, None)]
+    df = spark.createDataFrame(rows, "g string, i int, path string")
+    got = {r.g: r.ancestor for r in keyed.common_ancestor(df, "g", order="i", links="/l/k").collect()}
+    assert got == {"a": "/x/y", "b": "", "c": "/l/k", "d": "", "e": "/x"}
+    assert {r.g: r.ancestor for r in keyed.common_ancestor(df, "g", order="i").collect()}["a"] == ""
