@@ -39,4 +39,28 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_all_queries_have_sql_or_a_test_of_their_own():
-    assert set(QUERIES) - set(ORACLE) == {"provenance_fold", "perm_masked", "glob_equal_runs", "nested_hashes"}
+    assert set(QUERIES) - set(ORACLE) == {"provenance_fold", "perm_masked", "glob_equal_runs", "nested_hashes", "scc_all_parts"}
+
+
+def test_components_of_all_parts(spark):
+    after, back = {}, {}
+    for r in trees._rings(spark, SF, "true").collect():
+        after.setdefault(r.src, set()).add(r.dst)
+        back.setdefault(r.dst, set()).add(r.src)
+
+    def reached(start, hop, inside):
+        seen, todo = {start}, [start]
+        while todo:
+            for y in hop.get(todo.pop(), ()):
+                if y in inside and y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    left, want = {r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect()}, {}
+    while left:
+        i = min(left)
+        both = reached(i, after, left) & reached(i, back, left)
+        want |= dict.fromkeys(both, i)
+        left -= both
+    assert {r.id: r.component for r in trees.scc_all_parts(spark, SF).collect()} == want
