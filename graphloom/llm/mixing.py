@@ -92,7 +92,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     size are interchangeable. Long texts are counted whole. What is left of a source at the end
     is one document with a fraction; it is rounded to the nearer side, so a
     source misses its target by half a document at most. An empty table gives
-    no rows. Draws hash the ids, so reruns agree.
+    no rows. Draws hash the ids, so reruns agree. Other columns are not read,
+    whatever their names.
     """
     sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     targets = cut(source_targets(sizes))

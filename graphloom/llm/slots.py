@@ -28,7 +28,10 @@ def slot_of(*key: Column, slots: int = SLOTS) -> Column:
 
 
 def first_map(weights: list[int], shards: int) -> list[int]:
-    """Version 1: slots, heaviest first, each to the shard with the fewest bytes so far."""
+    """Version 1: slots, heaviest first, each to the shard with the fewest bytes so far.
+
+    Of equal weights the lower slot goes first, of equal loads the lower shard is taken. No slots give an empty map.
+    """
     heap = [(0, s) for s in range(shards)]
     out = [0] * len(weights)
     for slot in sorted(range(len(weights)), key=lambda s: (-weights[s], s)):
@@ -42,7 +45,8 @@ def grow(slot_map: list[int], weights: list[int], shards: int) -> list[int]:
     """An edit of the map for more shards: slots move to the new shards only.
 
     Each new shard takes slots from the fullest old ones while that brings both
-    nearer to the mean.
+    nearer to the mean. Of equal loads the lower shard gives, of equal weights the lower
+    slot. An empty map, or no more shards than it has, stays as it is.
     """
     out, loads = list(slot_map), [0] * shards
     own: list[list[int]] = [[] for _ in range(shards)]
@@ -65,7 +69,10 @@ def grow(slot_map: list[int], weights: list[int], shards: int) -> list[int]:
 
 
 def rebalance(slot_map: list[int], weights: list[int], shards: int, tolerance: float = TOLERANCE) -> list[int]:
-    """An edit of the map for changed weights: the fullest shard gives slots to the emptiest while that brings it nearer to the mean."""
+    """An edit of the map for changed weights: the fullest shard gives slots to the emptiest while that brings it nearer to the mean.
+
+    Of equal loads the lower shard counts, of equal weights the lower slot; slots without weight stay. An empty map stays empty.
+    """
     out, loads = list(slot_map), [0] * shards
     for slot, shard in enumerate(out):
         loads[shard] += weights[slot]
@@ -125,7 +132,7 @@ def shard_documents(
     as a new version if need be, or made there; without a path it is stored in a new
     folder. ``slot`` is the row's place in its shard, from 0 without gaps: slots
     follow each other in order, rows in a slot by id, then by checksum; equal rows
-    take their places in any order. Very long texts weigh what they are. An empty
+    take their places in any order. Other columns are not read. Very long texts weigh what they are. An empty
     table gives no rows.
     """
     spark = docs.sparkSession

@@ -107,7 +107,9 @@ def similar_classes(prints: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
     ``prints`` has doc_id and fingerprint. Within a length partition and its
     upper neighbour, classes meet on the first spots in hash order only: of n
-    spots, n - ceil(t * n) + 1. Lengths are compared before sets are.
+    spots, n - ceil(t * n) + 1. Lengths are compared before sets are. Rows without an
+    id are in no class, empty fingerprints in no pair; equal fingerprints are one class, so no pair
+    either. An empty table gives no rows.
     """
     spot_list = F.when(F.length("fingerprint") == 0, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(0), (F.length("fingerprint") / 8 - 1).cast("int")), lambda i: F.substring("fingerprint", i * 8 + 1, 8))
@@ -147,7 +149,7 @@ def fingerprint(docs: DataFrame, per_bucket: int = 1000, most: int = 8192) -> Da
     The edited text has its last floor(n/2) code points replaced by the first as
     many of the next document in descending doc_id (rows of one id by text; null
     ids come last); after the last comes the first. Null is the empty text. A
-    lone document is its own next. An empty table gives no rows.
+    lone document is its own next. An empty table gives no rows. Other columns are not read.
 
     Documents are dealt to buckets of neighbouring ids; the first row of each
     bucket is dealt to the bucket before it as well, so every row meets its next.

@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     A byte goes if a string of ``length`` bytes covers it that starts anywhere
     else too, in this text or another. Null is the empty text; texts shorter
     than ``length`` stay whole, long ones are searched whole. Rows that are equal in id and text are repeats
-    of each other. An empty table gives no rows.
+    of each other. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = repeats(docs, length, gram).select(F.col("doc_id").alias("d"), "k", "spans")

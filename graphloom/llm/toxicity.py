@@ -203,7 +203,8 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None)
 
     Appends held_out, score and predicted (1 from 0.7 on). Rows with a null id
     are scored, never learnt from; null and empty texts score alike, long ones
-    whole, repeated rows equally. An empty table gives no rows.
+    whole, repeated rows equally. An empty table gives no rows. Columns of
+    these three names are replaced, others pass.
     """
     model = fit(docs.filter(~held_out()), labels.filter(~held_out()))
     out = score(docs, model, keep=keep)
