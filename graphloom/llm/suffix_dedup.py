@@ -24,7 +24,7 @@ from .run_index import RunIndex
 LENGTH = 200
 GRAM = 64
 #: Bytes of text hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of contexts that make an index.
 INDEX_BYTES = 1 << 19
 #: Different contexts up to which an anchor's are indexed in one task; the windows of an anchor
@@ -33,8 +33,10 @@ MOST_CONTEXTS = 15_000
 #: Bits of the filters that say which contexts need their bytes and which anchors have too many, least and most as a power
 #: of two: eight for each entry between these. Beyond the most a filter lets more through than is needed, and costs time.
 FILTER_BITS = (26, 30)
-#: Bytes of a text that are hashed at once; a longer text goes in pieces that overlap by a window less one byte.
-PIECE = 1 << 26
+#: Bytes of a text that are hashed at once, at some 80 bytes of memory each; a longer text goes in pieces that overlap by a window less one byte.
+PIECE = CHUNK
+#: Bytes of contexts that a task sends at once.
+PART = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(41).integers(0, 2**64, 256, np.uint64, endpoint=False)
 _LOW = np.uint64((1 << 28) - 1)
@@ -91,14 +93,25 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     return of[new], first, end, grams[at[new]], context
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last row (exclusive) of runs of about CHUNK bytes."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def _chunks(column: pa.Array, length: int, piece: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, where in it, bytes, bounds) of runs of texts of about CHUNK bytes, and of the pieces of long ones."""
     column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    offsets = _offsets(column)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+    for at, to in _runs(offsets):
         size = int(offsets[to] - offsets[at])
         if to == at + 1 and size > piece:
             for start in range(0, size - length + 1, piece):
@@ -106,7 +119,6 @@ def _chunks(column: pa.Array, length: int, piece: int) -> Iterator[tuple[int, in
                 yield at, start, part, np.array([0, len(part)])
         else:
             yield at, 0, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
 
 
 def _contexts(column: pa.Array, length: int, gram: int):
@@ -204,18 +216,21 @@ def _chosen(c: np.ndarray, bits) -> np.ndarray:
 
 
 def _needed(batch: pa.RecordBatch, needed, large, length: int, gram: int, of_large: bool):
-    """The contexts of a batch that are needed, each once: of large anchors or of the others."""
+    """The contexts of a batch that are needed, each once, of large anchors or of the others, about PART bytes of them at a time."""
     row, start, end, h, c = _contexts(batch.column(2), length, gram)
     if not len(row):
-        return row, start, end, h, c, []
+        return
     hit = np.flatnonzero(_chosen(c, needed) & (_chosen(h, large) == of_large))
     at = hit[np.unique(c[hit], return_index=True)[1]]
+    row, start, end, h, c = (x[at] for x in (row, start, end, h, c))
     texts = batch.column(2)
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :].astype(np.int64)
     data = memoryview(texts.buffers()[2] or b"")
-    base = offsets[row[at]]
-    found = [data[a:b].tobytes() for a, b in zip((base + start[at]).tolist(), (base + end[at]).tolist(), strict=True)]
-    return row[at], start[at], end[at], h[at], c[at], found
+    base = _offsets(texts)[row]
+    part = (np.cumsum(end - start) - 1) // PART
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(at) else at
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        found = [data[a:b].tobytes() for a, b in zip((base + start)[i:j].tolist(), (base + end)[i:j].tolist(), strict=True)]
+        yield row[i:j], start[i:j], end[i:j], h[i:j], c[i:j], found
 
 
 def _needed_bytes(needed, large, length: int, gram: int):
@@ -223,8 +238,7 @@ def _needed_bytes(needed, large, length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, start, _, h, c, found = _needed(batch, needed, large, length, gram, False)
-            if len(found):
+            for row, start, _, h, c, found in _needed(batch, needed, large, length, gram, False):
                 rows = pa.array(row)
                 yield _batch(_BYTES, [h.view(np.int64), c.view(np.int64), batch.column(0).take(rows), batch.column(1).take(rows), start, pa.array(found, pa.binary())])
 
@@ -236,19 +250,17 @@ def _large_windows(needed, large, length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, start, end, h, _, found = _needed(batch, needed, large, length, gram, True)
-            if not len(found):
-                continue
-            data = np.frombuffer(b"".join(found), np.uint8)
-            size = end - start
-            ends = np.cumsum(size)
-            of = np.repeat(np.arange(len(found)), size - length + 1)
-            place = np.arange(len(of)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
-            at = (ends - size)[of] + place
-            sums, inverse = _prefix(data)
-            w = _mix((sums[at + length] - sums[at]) * inverse[at])
-            rows = pa.array(row[of])
-            yield _batch(_WINDOWS, [h[of].view(np.int64), w.view(np.int64), batch.column(0).take(rows), batch.column(1).take(rows), start[of] + place])
+            for row, start, end, h, _, found in _needed(batch, needed, large, length, gram, True):
+                data = np.frombuffer(b"".join(found), np.uint8)
+                size = end - start
+                ends = np.cumsum(size)
+                of = np.repeat(np.arange(len(found)), size - length + 1)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
+                at = (ends - size)[of] + place
+                sums, inverse = _prefix(data)
+                w = _mix((sums[at + length] - sums[at]) * inverse[at])
+                rows = pa.array(row[of])
+                yield _batch(_WINDOWS, [h[of].view(np.int64), w.view(np.int64), batch.column(0).take(rows), batch.column(1).take(rows), start[of] + place])
 
     return run
 
@@ -257,16 +269,16 @@ def _match(rows: list[tuple], length: int) -> list[tuple]:
     """(doc_id, k, start, end) of the stretches of each context that stand in another one too."""
     data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
-    of = np.repeat(np.arange(len(rows)), np.diff(bounds))
     index = RunIndex(data, bounds)
     inside = np.ones(len(index.symbols), bool)
     inside[index.ends] = False
     hit = np.flatnonzero(index.longest_matches()[inside] >= length)
     if not len(hit):
         return []
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(of[hit]) != 0)]))
+    of = np.searchsorted(bounds, hit, "right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(of) != 0)]))
     a, b = hit[new], hit[np.concatenate([new[1:], [len(hit)]]) - 1] + length
-    who = of[a]
+    who = of[new]
     return [(rows[w][0], rows[w][1], rows[w][2] + int(x), rows[w][2] + int(y)) for w, x, y in zip(who.tolist(), a - bounds[who], b - bounds[who], strict=True)]
 
 
@@ -302,6 +314,41 @@ def _compare(length: int):
     return run
 
 
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of text and start: the spans of each text, joined where they meet."""
+    held: pa.Table | None = None  # joined spans of the text that goes on
+
+    def texts(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """A row for each joined span, and where texts begin among them."""
+        doc, null, k, start, end = (x.to_numpy() for x in (t.column(0).fill_null(0), t.column(0).is_null(), *t.columns[1:]))
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (null[1:] != null[:-1]) | (k[1:] != k[:-1])])
+        group = np.cumsum(new) << 32  # a text is shorter than that
+        reach = np.maximum.accumulate(end + group)
+        first = np.flatnonzero(new | np.concatenate([[True], (start + group)[1:] > reach[:-1]]))
+        stop = np.concatenate([first[1:], [len(start)]]) - 1
+        out = t.take(pa.array(first)).set_column(3, "end", pa.array((reach - group)[stop]))
+        return out, np.flatnonzero(new[first])
+
+    def lists(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        spans = pa.StructArray.from_arrays([t.column(i).combine_chunks() for i in (2, 3)], fields=list(_SPAN.value_type))
+        rows = pa.array(begin)
+        cols = [t.column(i).combine_chunks().take(rows) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(np.append(begin, t.num_rows), pa.int32()), spans).cast(_SPAN)], names=["doc_id", "k", "spans"])
+
+    for batch in batches:
+        if batch.num_rows:
+            t, begin = texts(pa.concat_tables(([held] if held is not None else []) + [pa.Table.from_batches([batch]).rename_columns(["doc_id", "k", "start", "end"])]))
+            held = t.slice(begin[-1])
+            if begin[-1]:
+                yield lists(t.slice(0, begin[-1]), begin[:-1])
+    if held is not None:
+        yield lists(held, np.zeros(1, np.int64))
+
+
 def _filter(values: DataFrame):
     """A broadcast bitmap of the low bits of column x, sized by the number of rows: 8 to 128 MB."""
     least, most = FILTER_BITS
@@ -315,7 +362,7 @@ def _filter(values: DataFrame):
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, k, spans) of texts that hold repeats; k is the hash of the text, spans are byte ranges, unmerged.
+    """(doc_id, k, spans) of texts that hold repeats; k is the hash of the text, spans are byte ranges in order, apart.
 
     Two passes over the texts and no shuffle of them: the first sends a sample
     of each run inside a batch, the second the bytes of the samples that a
@@ -337,7 +384,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         twice = each.groupBy("h", "w").count().filter("count > 1").select("h", "w")
         found = found.union(each.join(twice, ["h", "w"]).select("doc_id", "k", "start", (F.col("start") + length).alias("end")))
     whole = decided.filter("start IS NOT NULL").select("doc_id", "k", "start", "end")
-    return whole.union(found).groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = whole.union(found).repartition("doc_id", "k").sortWithinPartitions("doc_id", "k", "start")
+    return spans.mapInArrow(_join_spans, "doc_id long, k long, spans array<struct<start:bigint,end:bigint>>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -356,21 +404,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at, to in _runs(_offsets(batch.column(1))):
+                part = batch.slice(at, to - at)
                 n, out, kept = [], [], []
                 for text, spans in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    merged: list[list[int]] = []
-                    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    edges = [0, *(x for s in merged for x in s), len(text)]
+                    spans = spans or []
+                    edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
                     n.append(len(text))
-                    out.append([{"start": a, "end": b} for a, b in merged])
+                    out.append(spans)
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(out, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(out, _SPAN), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     return both.mapInArrow(run, schema)

@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from graphloom.llm import queries, suffix_dedup
 from graphloom.llm.run_index import RunIndex
@@ -93,3 +96,60 @@ def test_long_texts_in_pieces_equal_brute_force(spark, docs, monkeypatch):
     assert whole == {(r, k) for r, t in enumerate(texts) for k in range(len(t) - 19)}
     monkeypatch.undo()
     assert result(suffix_dedup.remove_repeats(docs(rows), length=20, gram=8)) == brute(rows, 20)
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_the_index_of_one_anchor():
+    rng = random.Random(1)
+    passage = bytes(rng.choice(b"abcdefghij klmnop") for _ in range(210))
+    rows = [(i, i, 0, passage[rng.randrange(20) :] + bytes(rng.choice(b"abcdefghij klmnop") for _ in range(rng.randrange(60, 120)))) for i in range(2000)]
+    out, mb = peak_mb(lambda: suffix_dedup._match(rows, 200))
+    assert mb < 90 * sum(len(r[3]) for r in rows) / 1e6
+    assert {r[0] for r in out} >= {r[0] for r in rows if r[3][:200] in passage}  # at least the strings of the passage itself
+
+
+def test_memory_of_a_long_text():
+    text = np.random.default_rng(1).integers(97, 123, 8 << 20).astype(np.uint8).tobytes().decode()
+    (row, start, end, _, _), mb = peak_mb(lambda: suffix_dedup._contexts(pa.array([text]), 200, 64))
+    assert mb < 200
+    assert start[0] == 0 and end[-1] == len(text) and (end - 199)[:-1].tolist() == start[1:].tolist()
+
+
+def test_needed_contexts_come_in_parts(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 900))) for _ in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(range(30)), pa.array(texts)], names=["doc_id", "k", "text"])
+    every, none = SimpleNamespace(value=b"\xff" * 64), SimpleNamespace(value=bytes(64))
+    monkeypatch.setattr(suffix_dedup, "PART", 1000)
+    for large, of_large in ((none, False), (every, True)):
+        parts = list(suffix_dedup._needed(batch, every, large, 200, 64, of_large))
+        assert len(parts) > 5 and all(sum(map(len, p[5])) < 1000 + 400 for p in parts)
+        got = sorted((int(r), int(a), int(b), x) for p in parts for r, a, b, x in zip(p[0], p[1], p[2], p[5], strict=True))
+        assert got == sorted((int(r), int(a), int(b), texts[r].encode()[a:b]) for r, a, b, _, _ in zip(*suffix_dedup._contexts(batch.column(2), 200, 64), strict=True))
+        assert not list(suffix_dedup._needed(batch, every, large, 200, 64, not of_large))
+
+
+def test_spans_join_across_batches():
+    rng = random.Random(2)
+    rows = sorted({(rng.choice([None, 0, 1, 2]), rng.choice([5, 6]), s := rng.randint(0, 60), s + rng.randint(1, 9)) for _ in range(90)}, key=lambda r: (r[0] is not None, r))
+    want = {}
+    for d, k, a, b in rows:
+        spans = want.setdefault((d, k), [])
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    for size in (1, 7, 90):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=["doc_id", "k", "start", "end"]) for i in range(0, len(rows), size)]
+        out = [r for x in suffix_dedup._join_spans(iter(batches)) for r in x.to_pylist()]
+        assert [(r["doc_id"], r["k"]) for r in out] == list(want)
+        assert {(r["doc_id"], r["k"]): [[s["start"], s["end"]] for s in r["spans"]] for r in out} == want
+    assert not list(suffix_dedup._join_spans(iter([])))
