@@ -82,3 +82,19 @@ def test_stream_over_a_restart(spark, tmp_path):
     write_binary_log(spark.createDataFrame(second, KIND), path)
     run()
     assert sorted(map(tuple, spark.read.parquet(sink).select(*[c.split()[0] for c in KIND.split(", ")]).collect()), key=str) == sorted(first + second, key=str)
+
+
+def test_many_runs_share_tasks(spark, tmp_path):
+    rows = made([f"r{i:03}" for i in range(450)], 4)
+    write_binary_log(spark.createDataFrame(rows, KIND), str(tmp_path / "logs"))
+    back = read_binary_log(spark, str(tmp_path / "logs"))
+    assert len(os.listdir(tmp_path / "logs")) == 450 and back.rdd.getNumPartitions() <= 2 * binary_log.TASKS
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_values_without_room_are_errors(spark, tmp_path):
+    from decimal import Decimal
+
+    for ptr, place in ((Decimal(2**64), 0), (Decimal(-1), 0), (Decimal(1), 2**32), (Decimal(1), -1)):
+        with pytest.raises(Exception, match="room"):
+            write_binary_log(spark.createDataFrame([("r", 0, place, "Free", ptr)], "run_id string, seq long, mir_loc long, kind string, ptr decimal(20,0)"), str(tmp_path / "bad"))
