@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,14 @@ def _rotated(x: Column, n: int) -> Column:
     return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n))
 
 
+def wrapped_product(a: Column, factor: int) -> Column:
+    """A long times a whole number modulo 2^64, as a signed long, under any overflow setting: limbs of 32 bits times limbs of 31, none of which overflows."""
+    low, high = a.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(a, 32)
+    limbs = [(F.lit((factor % (1 << 64) >> at) & ((1 << 31) - 1)).cast("long"), at) for at in (0, 31, 62)]
+    parts = [F.shiftleft(x * k, at + by) for x, by in ((low, 0), (high, 32)) for k, at in limbs if at + by < 64]
+    return reduce(_add, parts)
+
+
 def jodyhash(words: Column) -> Column:
     """A 64-bit hash of an array of 64-bit words, as a signed long; of an empty array 0."""
     salt = F.lit(0x1F3D5B79).cast("long")  # fixed value

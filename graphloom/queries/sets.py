@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashes import djb2, jodyhash, normal_path
+from ..functions.hashes import djb2, jodyhash, normal_path, wrapped_product
 from ..operators import conflicts, coverage, intervals, keyed, metrics
 
 
@@ -371,7 +371,7 @@ def highest_numbered(spark: SparkSession, sf: str) -> DataFrame:
 
 def word_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as three words of 64 bits."""
-    words = F.array((F.col("o_orderkey") + 1) * 4_611_686_018_427, F.col("o_custkey") - 1_000_000, -F.col("o_orderkey") * 87_178_291_199)
+    words = F.array(wrapped_product(F.col("o_orderkey") + 1, 4_611_686_018_427), F.col("o_custkey") - 1_000_000, wrapped_product(F.col("o_orderkey"), -87_178_291_199))
     return _t(spark, sf, "orders").select("o_orderkey", jodyhash(words).alias("hash"))
 
 

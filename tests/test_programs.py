@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.hashes import nested_hash
+from graphloom.functions.hashes import nested_hash, wrapped_product
 from graphloom.operators import bisection, graphs, keyed
-from graphloom.queries import programs
+from graphloom.queries import programs, sets
 
 SF = "/root/testdata/sf0.001"
 M = (1 << 64) - 1
@@ -121,3 +121,17 @@ def test_ancestors_pass_over_links(spark):
     got = {r.g: r.ancestor for r in keyed.common_ancestor(df, "g", order="i", links="/l/k").collect()}
     assert got == {"a": "/x/y", "b": "", "c": "/l/k", "d": "", "e": "/x"}
     assert {r.g: r.ancestor for r in keyed.common_ancestor(df, "g", order="i").collect()}["a"] == ""
+
+
+def test_products_wrap(spark):
+    words = [0, 1, -1, 2**63 - 1, -(2**63), 9_000_000, 2**40 + 7]
+    for k in (0, 1, -1, 4_611_686_018_427, -87_178_291_199, 2**63 - 1, -(2**63)):
+        got = spark.createDataFrame([(w,) for w in words], "w long").select("w", wrapped_product(F.col("w"), k).alias("p")).collect()
+        assert {r.w: r.p for r in got} == {w: signed(w * k & M) for w in words}
+
+
+def test_word_hashes_of_large_keys(spark, tmp_path):
+    keys = [3, 2_000_000, 8_999_999, 200_000_000, 5 * 10**9]
+    spark.createDataFrame([(k, k // 10) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.hash for r in sets.word_hashes(spark, str(tmp_path)).collect()}
+    assert got == {k: signed(jody(x & M for x in ((k + 1) * 4_611_686_018_427, k // 10 - 1_000_000, -k * 87_178_291_199))) for k in keys}
