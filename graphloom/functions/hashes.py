@@ -1,9 +1,12 @@
-"""Hashes and path functions as column expressions."""
+"""Hashes and path functions as columns; hashes of 64-bit words run over Arrow batches, as numbers must wrap there."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +29,6 @@ def _add(a: Column, b: Column) -> Column:
     return F.shiftleft(top.bitwiseAND(F.lit(3)), 62).bitwiseOR(s.bitwiseAND(low))
 
 
-def _rotated(x: Column, n: int) -> Column:
-    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n))
-
-
 def wrapped_product(a: Column, factor: int) -> Column:
     """A long times a whole number modulo 2^64, as a signed long, under any overflow setting: limbs of 32 bits times limbs of 31, none of which overflows."""
     low, high = a.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(a, 32)
@@ -38,15 +37,52 @@ def wrapped_product(a: Column, factor: int) -> Column:
     return reduce(_add, parts)
 
 
+#: The word that is mixed in, and the rotation (fixed values).
+SALT, TURN = 0x1F3D5B79, 14
+
+
+def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hashes h with a word more each; numpy's 64-bit numbers without sign wrap."""
+    turned = lambda x: (x << np.uint64(TURN)) | (x >> np.uint64(64 - TURN))
+    return (turned(turned(h + w + np.uint64(SALT)) ^ w) ^ np.uint64(SALT)) + w
+
+
+def _folded(starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The hash of each run ``words[start:end]``: the n-th words of all runs that have one are mixed in at once."""
+    out = np.zeros(len(starts), np.uint64)
+    order = np.argsort(starts - ends, kind="stable")  # the longest first
+    shorter, first, h = (starts - ends)[order], starts[order], out[order]
+    for n in range(-int(shorter[0]) if len(shorter) else 0):
+        have = np.searchsorted(shorter, -n)  # runs longer than n
+        h[:have] = _mixed(h[:have], words[first[:have] + n])
+    out[order] = h
+    return out
+
+
+def _bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends among the values of lists; null lists are empty."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    null = lists.is_null().to_numpy(zero_copy_only=False)
+    return at[:-1], np.where(null, at[:-1], at[1:])
+
+
 def jodyhash(words: Column) -> Column:
-    """A 64-bit hash of an array of 64-bit words, as a signed long; of an empty array 0."""
-    salt = F.lit(0x1F3D5B79).cast("long")  # fixed value
+    """A 64-bit hash of an array of 64-bit words, as a signed long; of an empty array 0, of null or with a null word null."""
+
+    def run(a: pa.Array) -> pa.Array:
+        starts, ends = _bounds(a)
+        holes = np.concatenate([[0], np.cumsum(a.values.is_null().to_numpy(zero_copy_only=False))])
+        null = a.is_null().to_numpy(zero_copy_only=False) | (holes[ends] > holes[starts])
+        return pa.array(_folded(starts, ends, a.values.fill_null(0).to_numpy().view(np.uint64)).view(np.int64), mask=null)
 
-    def step(h: Column, w: Column) -> Column:
-        x = _rotated(_add(_add(h, w), salt), 14).bitwiseXOR(w)
-        return _add(_rotated(x, 14).bitwiseXOR(salt), w)
+    return _arrow(run)(words.cast("array<bigint>"))
 
-    return F.aggregate(words, F.lit(0).cast("long"), step)
+
+def _arrow(run: Callable[[pa.Array], pa.Array]) -> Callable[[Column], Column]:
+    def hashed(a: pa.Array) -> pa.Array:
+        return run(a)
+
+    return F.arrow_udf(hashed, "long")
 
 
 #: Numbers of simple types, the word that mixes them in, and the hashes of what is not followed (fixed values).
@@ -66,21 +102,36 @@ def nested_hash(value: Column, kind: T.DataType, depth: int = DEPTH) -> Column:
     Simple values are mixed with the number of their type, the parts of arrays and
     records are hashed one level deeper and joined by ``jodyhash`` in order. Deeper
     than ``depth`` levels an array or record has a hash of its own, whatever it holds; a null
-    has one too, at any depth. The type is compiled to one expression. Other types are a TypeError.
+    has one too, at any depth. A batch of values is hashed level by level, all values of a
+    level at once. Other types are a TypeError.
     """
+    _check(kind, depth)
+    return _arrow(lambda a: pa.array(_hashed(a, kind, depth).view(np.int64)))(value)
+
+
+def _check(kind: T.DataType, depth: int) -> None:
     if isinstance(kind, T.StructType):
-        out = F.lit(LEAF_RECORD).cast("long")
+        for f in kind.fields if depth else ():
+            _check(f.dataType, depth - 1)
+    elif isinstance(kind, T.ArrayType):
         if depth:
-            parts = [nested_hash(value.getField(f.name), f.dataType, depth - 1) for f in kind.fields]
-            out = jodyhash(F.array(*parts)) if parts else F.lit(0).cast("long")
+            _check(kind.elementType, depth - 1)
+    elif kind.simpleString() not in TYPE_NUMBERS:
+        raise TypeError(f"no hash for {kind.simpleString()}")
+
+
+def _hashed(a: pa.Array, kind: T.DataType, depth: int) -> np.ndarray:
+    if isinstance(kind, T.StructType):
+        out = np.full(len(a), 0 if depth else LEAF_RECORD, np.uint64)
+        for i, f in enumerate(kind.fields if depth else ()):
+            out = _mixed(out, _hashed(a.field(i), f.dataType, depth - 1))
     elif isinstance(kind, T.ArrayType):
-        out = jodyhash(F.transform(value, lambda x: nested_hash(x, kind.elementType, depth - 1))) if depth else F.lit(LEAF_ARRAY).cast("long")
-    elif (name := kind.simpleString()) in TYPE_NUMBERS:
-        out = value.cast("int").cast("long") if name == "boolean" else value.cast("long")
-        out = out.bitwiseXOR(F.lit(_signed(TYPE_MIX * TYPE_NUMBERS[name] % (1 << 64))))
+        out = _folded(*_bounds(a), _hashed(a.values, kind.elementType, depth - 1)) if depth else np.full(len(a), LEAF_ARRAY, np.uint64)
     else:
-        raise TypeError(f"no hash for {kind.simpleString()}")
-    return F.when(value.isNull(), F.lit(NULL_POINTER).cast("long")).otherwise(out)
+        name = kind.simpleString()
+        plain = a.fill_null(False if name == "boolean" else 0).to_numpy(zero_copy_only=False)
+        out = plain.astype(np.int64).view(np.uint64) ^ np.uint64(TYPE_MIX * TYPE_NUMBERS[name] % (1 << 64))
+    return np.where(a.is_null().to_numpy(zero_copy_only=False), np.uint64(NULL_POINTER), out)
 
 
 def normal_path(path: Column) -> Column:

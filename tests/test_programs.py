@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.hashes import nested_hash, wrapped_product
+from graphloom.functions.hashes import jodyhash, nested_hash, wrapped_product
 from graphloom.operators import bisection, graphs, keyed
 from graphloom.queries import programs, sets
 
@@ -135,3 +135,10 @@ def test_word_hashes_of_large_keys(spark, tmp_path):
     spark.createDataFrame([(k, k // 10) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.hash for r in sets.word_hashes(spark, str(tmp_path)).collect()}
     assert got == {k: signed(jody(x & M for x in ((k + 1) * 4_611_686_018_427, k // 10 - 1_000_000, -k * 87_178_291_199))) for k in keys}
+
+
+def test_hashes_of_words_with_gaps_and_long_runs(spark):
+    runs = [[], [5], None, [1, None], list(range(400)), [-1, 2**63 - 1]]
+    df = spark.createDataFrame(list(enumerate(runs)), "i int, w array<bigint>").coalesce(1)
+    got = {r.i: r.h for r in df.select("i", jodyhash(F.col("w")).alias("h")).collect()}
+    assert got == {i: None if w is None or None in w else signed(jody(x & M for x in w)) for i, w in enumerate(runs)}
