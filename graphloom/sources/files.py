@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,36 +127,64 @@ def write_graph(nodes: DataFrame, path: str) -> None:
     (w.partitionBy("run_id") if "run_id" in nodes.columns else w).parquet(path)
 
 
+#: Bytes of a bitmap that are packed or unpacked at a time.
+CHUNK = 1 << 13
+
+
 def lines_of_bitmaps(rows: DataFrame, column: str, name: str = "line") -> DataFrame:
-    """(file, line) of base64 bitmaps: bit n of the little-endian bytes is line n; compression is identity, zlib or zstd."""
+    """(file, line) of base64 bitmaps: bit n of the little-endian bytes is line n; compression is identity, zlib or zstd.
+
+    A bitmap is held as its bytes; its lines are laid out a piece of it at a time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         unpack = {"identity": bytes, "zlib": zlib.decompress, "zstd": lambda b: zstandard.ZstdDecompressor().decompressobj().decompress(b)}
         for pdf in batches:
-            out = []
+            held: list[pd.DataFrame] = []
             for file, kind, data in pdf.itertuples(index=False):
-                raw = unpack[kind](base64.b64decode(data or ""))
-                out += [(file, 8 * i + b) for i, x in enumerate(raw) for b in range(8) if x >> b & 1]
-            yield pd.DataFrame(out, columns=["file", name])
+                raw = np.frombuffer(unpack[kind](base64.b64decode(data or "")), np.uint8)
+                for at in range(0, len(raw), CHUNK):
+                    lines = np.flatnonzero(np.unpackbits(raw[at : at + CHUNK], bitorder="little")) + 8 * at
+                    held.append(pd.DataFrame({"file": file, name: lines}, columns=["file", name]))
+                    if sum(map(len, held)) >= 8 * CHUNK:
+                        yield pd.concat(held)
+                        held = []
+            if held:
+                yield pd.concat(held)
 
     return rows.select("file", "compression", column).mapInPandas(run, f"file string, {name} long")
 
 
 def bitmaps_of_lines(lines: DataFrame, compression: str = "identity") -> DataFrame:
-    """(file, bitmap) of (file, line), the inverse of ``lines_of_bitmaps``."""
+    """(file, bitmap) of (file, line), the inverse of ``lines_of_bitmaps``.
+
+    Distinct lines are packed to pieces of 8 kB first, which one task after the other
+    puts together: of a file no more is held than its bitmap. A negative or missing line is a ValueError.
+    """
+
+    def piece(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if pd.isna(key[1]) or key[1] < 0:
+            raise ValueError("lines are whole numbers from 0 on")
+        bits = np.zeros(8 * CHUNK, bool)
+        bits[pdf["line"].to_numpy() - 8 * CHUNK * key[1]] = True
+        raw = np.packbits(bits, bitorder="little").tobytes()
+        return pd.DataFrame({"file": [key[0]], "piece": [key[1]], "raw": [raw.rstrip(b"\0")]})
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
-        raw = bytearray(int(pdf["line"].max()) // 8 + 1)
-        for n in pdf["line"]:
-            raw[n >> 3] |= 1 << (n & 7)
+        raw = bytearray(int(pdf["piece"].max()) * CHUNK + len(pdf["raw"][pdf["piece"].idxmax()]))
+        for n, x in zip(pdf["piece"], pdf["raw"], strict=True):
+            raw[n * CHUNK : n * CHUNK + len(x)] = x
         pack = {"identity": bytes, "zlib": lambda b: zlib.compress(bytes(b)), "zstd": lambda b: zstandard.ZstdCompressor().compress(bytes(b))}
         return pd.DataFrame({"file": [key[0]], "bitmap": [base64.b64encode(pack[compression](raw)).decode()]})
 
-    return lines.groupBy("file").applyInPandas(run, "file string, bitmap string")
+    each = lines.select("file", "line", F.floor(F.col("line") / (8 * CHUNK)).cast("long").alias("piece"))
+    # the distinct rows are dealt by file and piece, as the pieces are
+    pieces = each.repartition("file", "piece").distinct().groupBy("file", "piece").applyInPandas(piece, "file string, piece long, raw binary")
+    return pieces.groupBy("file").applyInPandas(whole, "file string, bitmap string")
 
 
 def read_checks(spark: SparkSession, path: str) -> DataFrame:

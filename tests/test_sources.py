@@ -1,5 +1,6 @@
 """Readers, writers, edits, coverage exports and capture on small files."""
 
+import base64
 import json
 import os
 import struct
@@ -217,3 +218,18 @@ def test_capture(spark, tmp_path):
     q.awaitTermination(120)
     last = spark.table("counts").orderBy(F.desc(F.col("events") + F.col("before_main") + F.col("after_done"))).first()
     assert tuple(last) == (7, 4, 1, 2)
+
+
+def test_bitmaps_of_one_large_file_go_in_pieces(spark):
+    n = 600_000
+    lines = spark.range(n).select(F.lit("f").alias("file"), (F.col("id") * 5).alias("line"))
+    twice = lines.union(spark.createDataFrame([("f", 5), ("g", 65_535), ("g", 65_536), ("h", 0), (None, 7)], "file string, line long"))
+    packed = files.bitmaps_of_lines(twice).withColumn("compression", F.lit("identity"))
+    by_file = {r.file: base64.b64decode(r.bitmap) for r in packed.collect()}
+    assert {k: len(v) for k, v in by_file.items()} == {"f": (n - 1) * 5 // 8 + 1, "g": 8193, "h": 1, None: 1}
+    back = files.lines_of_bitmaps(packed, "bitmap")
+    assert back.filter("file <> 'f'").count() == 3 and back.filter("file IS NULL").first().line == 7
+    assert back.filter("file = 'f'").agg(F.count("*"), F.sum("line"), F.max("line")).first()[:] == (n, 5 * n * (n - 1) // 2, 5 * (n - 1))
+    for bad in (-1, None):
+        with pytest.raises(Exception, match="from 0 on"):
+            files.bitmaps_of_lines(spark.createDataFrame([("f", bad)], "file string, line long")).collect()
