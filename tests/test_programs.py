@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from graphloom.functions.hashes import jodyhash, nested_hash, wrapped_product
 from graphloom.operators import bisection, graphs, keyed
+from graphloom.plans.iterate import shared_folder
 from graphloom.queries import programs, sets
 
 SF = "/root/testdata/sf0.001"
@@ -142,3 +143,12 @@ def test_hashes_of_words_with_gaps_and_long_runs(spark):
     df = spark.createDataFrame(list(enumerate(runs)), "i int, w array<bigint>").coalesce(1)
     got = {r.i: r.h for r in df.select("i", jodyhash(F.col("w")).alias("h")).collect()}
     assert got == {i: None if w is None or None in w else signed(jody(x & M for x in w)) for i, w in enumerate(runs)}
+
+
+def test_candidates_are_kept_in_columns(spark):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    used = lambda: folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    before = used()
+    rows = spark.range(200_000).select(F.floor(F.col("id") / 4).alias("key"), (F.col("id") % 4).alias("place"))
+    got = bisection.bisected(rows, lambda g: g.groupBy("group").agg(F.lit("x").alias("error")).limit(0))
+    assert used() - before < 8_000_000 and got.filter("accepted").count() == 200_000
