@@ -151,4 +151,4 @@ def test_candidates_are_kept_in_columns(spark):
     before = used()
     rows = spark.range(200_000).select(F.floor(F.col("id") / 4).alias("key"), (F.col("id") % 4).alias("place"))
     got = bisection.bisected(rows, lambda g: g.groupBy("group").agg(F.lit("x").alias("error")).limit(0))
-    assert used() - before < 8_000_000 and got.filter("accepted").count() == 200_000
+    assert used() - before < 2_000_000 and got.filter("accepted").count() == 200_000
